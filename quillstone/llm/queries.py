@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, packing, token_codec
+from .common import Scratch
+from .tokenizing import default_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,15 +19,25 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'ids').base}/files"
+    token_codec.write_ids(read(spark, sf_dir, "documents"), path, default_path("byte_bpe_50k.json"))
+    return token_codec.read_ids(spark, path, with_ids=False).drop("crc_written")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), 2048)
+
+
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op6_mix_sources, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op2_content_sort, op3_huffman_ids, op6_mix_sources, op9_best_fit, op10_setsketch)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
