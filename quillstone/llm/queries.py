@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, token_codec
+from . import exact_dedup, language_id, mixing, near_dedup, packing, token_codec
 from .common import Scratch
 from .tokenizing import default_path
 
@@ -25,6 +25,14 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read_ids(spark, path, with_ids=False).drop("crc_written")
 
 
+def op4_segment_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~F.coalesce(language_id.held_out_fold(F.col("doc_id")), F.lit(False))), default_path("piece_bpe_32k.model"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    fold = F.coalesce(language_id.held_out_fold(F.col("row.doc_id")), F.lit(False))
+    return found.select(F.col("row.doc_id").alias("doc_id"), fold.alias("held_out"), "lang_pred", "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_huffman_ids, op6_mix_sources, op9_best_fit, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op2_content_sort, op3_huffman_ids, op4_segment_unigrams, op6_mix_sources, op9_best_fit, op10_setsketch)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
