@@ -2,17 +2,21 @@
 
 1. One pass over the texts makes each document's set of distinct word shingles (64-bit hashes of the words' bytes), its size, a 128-bit digest of the
    set and its registers. Documents with equal sets are one class at once (similarity 1), so copies cost one row from here on.
-2. Classes meet in buckets: one for each band of registers. A link of similarity 0.8 misses all 40 bands of 5 with a probability under 1e-6.
-3. A bucket never emits its pairs. In each round it has a few hubs, and every other member of another component is paired with them: at most HUBS
-   pairs a member. Linked members join their hub's component, so a group of thousands of near copies is done after one round. A bucket stays
-   until its members are of one component or all have been hubs: every pair of a bucket is compared, or is connected already. No cap drops a pair.
+2. Classes meet in buckets: one for each band of registers. A link of similarity 0.8 misses all 48 bands of 6 with a probability under 1e-6.
+3. A bucket never emits its pairs. In the first round each bucket has one hub, drawn by hash, and every other member is paired with it; linked
+   members join its component, so a group of thousands of near copies is mostly done. Later rounds take up to HUBS hubs in each bucket that still
+   holds several components, the rarest components' members first, and pair them with members of other components. A bucket stays until its
+   members are of one component or all have been hubs: every pair of a bucket is compared, or is connected already. No cap drops a pair.
 4. A pair is dropped unseen only if sizes exclude the similarity, or if the sketches make it e^-20 times as likely as the best similarity.
-   All others are compared on whole sets.
+   Of the others, each class's most similar one is compared on whole sets first, then all that are not connected by then.
 5. Components come from large-star / small-star rounds over the links, on tables in the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,8 +26,8 @@ from . import setsketch
 from .common import Scratch, ship, slices
 from .textbytes import LOWER, shingles, span_hashes, utf8, words
 
-#: Bands and registers in each; at similarity s a pair shares a bucket with probability 1 - (1 - s^5)^40, over 0.9999998 from 0.8.
-BANDS, ROWS = 40, 5
+#: Bands and registers in each; at similarity s a pair shares a bucket with probability 1 - (1 - s^6)^48, over 0.9999995 from 0.8.
+BANDS, ROWS = 48, 6
 HUBS = 16
 #: A pair whose similarity may reach the threshold only with a likelihood e^-20 times the best one's is not verified.
 DOUBT = 20.0
@@ -48,8 +52,6 @@ def document_sets(at: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def _digests(elements: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    import hashlib
-
     return [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
@@ -70,13 +72,13 @@ def _sketcher(width: int):
 
 
 def _set_maker(width: int):
-    schema = pa.schema([("class", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    schema = pa.schema([("class", pa.int64()), ("digest", pa.binary()), ("elements", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 elements, begin = document_sets(*utf8(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("class").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(elements.view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("class").cast(pa.int64()), pa.array(_digests(elements, begin), pa.binary()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(elements.view(np.int64)))], schema=schema)
 
     return run
 
@@ -121,71 +123,105 @@ def connected_components(edges: DataFrame, work: Scratch, name: str) -> DataFram
         mark = tuple(now)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are similar on whole sets. A hub in many pairs has its set copied once for PAIRS_PER_COPY of them."""
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = texts.join(needed, "class", "left_semi").mapInArrow(_set_maker(width), "class bigint, elements array<bigint>")
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies"))
     dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     hubs = sets.join(copies, F.col("class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("elements").alias("elements_a"))
     both = dealt.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("elements_b")), "b").join(hubs, ["a", "copy"])
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
-    return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b", "shared")
+    return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b")
+
+
+class _Components:
+    """The growing links and the component of every linked class."""
+
+    def __init__(self, work: Scratch, empty: DataFrame):
+        self.work, self.links, self.step = work, [], 0
+        self.labels = work.table(empty, "labels-0")
+
+    def of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        known = self.labels.select(F.col("class").alias(column), F.col("component").alias("_known"))
+        return rows.join(known, column, "left").withColumn(name, F.coalesce("_known", column)).drop("_known")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are of different components as yet."""
+        return self.of(self.of(pairs, "a", "c_a"), "b", "c_b").filter("c_a <> c_b").drop("c_a", "c_b")
+
+    def add(self, links: DataFrame) -> None:
+        """links: a table (a, b). Components are contracted first, so each call works on what is new only."""
+        self.step += 1
+        self.links.append(links)
+        edges = self.of(self.of(links, "a", "c_a"), "b", "c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        joined = connected_components(edges, self.work, f"components-{self.step}").withColumnRenamed("component", "after")
+        ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).unionByName(self.labels.select("class")).distinct()
+        before = self.of(ends, "class", "component")
+        after = before.join(joined.withColumnRenamed("node", "component"), "component", "left").select("class", F.coalesce("after", "component").alias("component"))
+        self.labels = self.work.table(after, f"labels-{self.step}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept, n_links (of its class with other classes).
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept, n_links (verified links of its class that were needed).
 
     Texts are lower-cased (A-Z) and parted at space and 0x09 to 0x0D. Fewer words than `width` are one shingle; null, empty and blank texts have
-    none and link with nothing. A null id gets a null component and is kept. Repeated ids are rows of one document: each gets the same component.
+    none and link with nothing. A null id gets a null component and is kept. Rows repeated with the same id get the same result; of an id with
+    several texts one text is compared, and rows with another keep their own id as component.
     """
     ship(spark := docs.sparkSession)
     work = Scratch(spark, "near")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     made = work.table(base.mapInArrow(_sketcher(width), "doc_id bigint, n bigint, digest binary, registers binary, keys array<bigint>"), "sketches")
-    classes = made.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("class"))
-    # one row a class: the class's smallest document (rows that repeat its id and set are equal)
-    heads = made.filter("n > 0 and doc_id is not null").join(classes, ["digest", "n"]).filter("doc_id = class").groupBy("digest", "n").agg(F.min("class").alias("class"), F.first("registers").alias("registers"), F.first("keys").alias("keys"))
-    heads = work.table(heads.withColumn("node", F.col("class")), "classes")
-    # ids may repeat with other texts: such rows meet as one document through their id
-    texts = base.filter("doc_id is not null").withColumnRenamed("doc_id", "class").join(heads.select("class").distinct(), "class", "left_semi")
+    usable = made.filter("n > 0 and doc_id is not null")
+    classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("class"))
+    heads = work.table(usable.join(classes, ["digest", "n"]).filter("doc_id = class").select("class", "n", "digest", "registers", "keys").dropDuplicates(["class"]), "classes")
     signs = heads.select("class", "n", "registers")
     buckets = heads.select("class", F.posexplode("keys").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("class").alias("hub")).filter("members > 1")
-    buckets = work.table(buckets.join(shared, ["band", "key"]).select("band", "key", "class", "hub"), "buckets")
-    pairs = buckets.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
-    links, labels, round_ = None, None, 0
+    # each bucket has its own hub, so a class meets as many different members as it shares buckets
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members"), F.min_by("class", F.xxhash64("band", "key", "class")).alias("hub")).filter("members > 1")
+    buckets = work.table(buckets.join(shared, ["band", "key"]).select("band", "key", "class", "hub"), "buckets-0")
+    texts = base.filter("doc_id is not null").withColumnRenamed("doc_id", "class").join(buckets.select("class").distinct(), "class", "left_semi")
+    sets = texts.mapInArrow(_set_maker(width), "class bigint, digest binary, elements array<bigint>").join(heads.select("class", "digest"), ["class", "digest"], "left_semi")
+    sets = work.table(sets.select("class", "elements").dropDuplicates(["class"]), "sets")
+    components = _Components(work, heads.select("class", F.col("class").alias("component")).limit(0))
+    pairs = buckets.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    tested, round_ = None, 0
     while True:
-        tested = pairs.distinct().join(signs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a")), "a").join(signs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b")), "b")
-        tested = tested.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        tested = work.table(tested.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}")
-        found = work.table(_verified(tested, texts, width, percent), f"links-{round_}")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, work, f"components-{round_}")
-        labels = work.table(labels, f"labels-{round_}")
+        sides = pairs.join(signs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a")), "a").join(signs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b")), "b")
+        sides = sides.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        likely = work.table(sides.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}")
+        # each class with its most similar hub first; then all pairs that these links have not connected
+        best = likely.groupBy("b").agg(F.max_by(F.struct("a", "n_a", "n_b"), F.struct("estimate", "a")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
+        components.add(work.table(_verified(best, sets, percent), f"links-{round_}-best"))
+        rest = work.table(components.across(likely.join(best, ["a", "b"], "left_anti")), f"rest-{round_}")
+        if not rest.isEmpty():
+            components.add(work.table(_verified(rest, sets, percent), f"links-{round_}-rest"))
         # what is left: members of buckets that still hold several components, without the hubs that have met everyone
         member = buckets.filter("class <> hub") if round_ == 0 else buckets.filter("not spent")
-        member = member.select("band", "key", "class").join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        member = components.of(member.select("band", "key", "class"), "class", "component")
         mixed = member.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
-        member = member.join(mixed, ["band", "key"])
+        member = work.table(member.join(mixed, ["band", "key"]), f"mixed-{round_}")
+        if member.isEmpty():
+            break
+        # members of the rarer components are the next hubs: they have the fewest to be met by
         sizes = member.groupBy("band", "key", "component").agg(F.count("*").alias("in_component"))
-        member = member.join(sizes, ["band", "key", "component"])
-        # members of the rarer components are the first hubs: they have the fewest to be met by
         place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
-        chosen = work.table(member.withColumn("place", place).filter(F.col("place") <= HUBS).select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), "place"), f"hubs-{round_}")
-        if chosen.isEmpty():
-            break
+        chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
+        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), "place"), f"hubs-{round_}")
+        done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}")
         round_ += 1
-        rest = member.select("band", "key", "class", "component")
-        own = chosen.select("band", "key", F.col("hub").alias("class"), F.lit(True).alias("is_hub"), F.col("place").alias("own_place"))
-        buckets = work.table(rest.join(own, ["band", "key", "class"], "left").select("band", "key", "class", "component", F.coalesce("is_hub", F.lit(False)).alias("spent"), F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}")
-        pairs = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").select(F.col("hub").alias("a"), F.col("class").alias("b"))
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    by_class = heads.select("digest", "n", "class").join(labels.select(F.col("node").alias("class"), "component"), "class", "left").join(degree, "class", "left")
-    by_class = by_class.select("digest", "n", F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        own = chosen.select("band", "key", F.col("hub").alias("class"), F.col("place").alias("own_place"))
+        left = member.join(own, ["band", "key", "class"], "left").withColumn("spent", F.col("own_place").isNotNull())
+        buckets = work.table(left.select("band", "key", "class", "component", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}")
+        met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        met = met.join(tested, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
+        pairs = work.table(met, f"pairs-{round_}")
+    degree = functools.reduce(DataFrame.unionByName, [x.select(F.col(c).alias("class")) for x in components.links for c in "ab"]).groupBy("class").agg(F.count("*").alias("n_links"))
+    by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(degree, "class", "left")
+    by_class = by_class.select("digest", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = made.select("doc_id", "n", "digest").join(by_class, ["digest", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
