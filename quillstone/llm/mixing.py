@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is repeated more often than this.
 MAX_EPOCHS = 3
