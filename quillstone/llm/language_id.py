@@ -11,6 +11,7 @@ Scoring is one pass over whole texts. Words of a batch are scored once each, all
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ class Model:
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, n, strict=True)], np.where(n > 0, share[np.arange(len(best)), best], 0.0)
 
 
-_held: dict[bytes, Model] = {}
+_held: dict = {}
 
 
 def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
@@ -218,12 +219,12 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
     """
     ship(spark := docs.sparkSession)
     pieces, languages, p = model
-    shared = spark.sparkContext.broadcast((pieces, languages, p))  # vocabulary times languages
+    shared, mark = spark.sparkContext.broadcast((pieces, languages, p)), uuid.uuid4().hex  # vocabulary times languages
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
-        if "model" not in _held or _held["key"] != shared.value[1:2] + (id(shared.value),):
-            _held["model"], _held["key"] = Model(*shared.value) if languages else None, shared.value[1:2] + (id(shared.value),)
+        if _held.get("mark") != mark:  # one model for each fit and Python worker
+            _held.update(mark=mark, model=Model(*shared.value) if languages else None)
         model = _held["model"]
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, token_codec
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, token_codec, url_filter
 from .common import Scratch
 from .tokenizing import default_path
 
@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_score.fit(lm_score.labelled_target(docs, read(spark, sf_dir, "labels")), F.col("is_target"))
+    return lm_score.score(docs, model).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+
+
 def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.content_sort(read(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -33,6 +39,10 @@ def op4_segment_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), fold.alias("held_out"), "lang_pred", "score")
 
 
+def op5_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), default_path("byte_bpe_50k.json"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
@@ -45,7 +55,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_huffman_ids, op4_segment_unigrams, op6_mix_sources, op9_best_fit, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_content_sort, op3_huffman_ids, op4_segment_unigrams, op5_host_words, op6_mix_sources, op9_best_fit, op10_setsketch)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
