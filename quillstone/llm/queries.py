@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, token_codec, url_filter
+from . import exact_dedup, language_id, license_scan, lm_score, mixing, near_dedup, nn_descent, packing, token_codec, url_filter
 from .common import Scratch
 from .tokenizing import default_path
 
@@ -47,6 +47,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nn_descent.search(nn_descent.build(rows), rows.filter("vec_id % 50 = 0"), 5)
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), 2048)
 
@@ -55,7 +64,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_content_sort, op3_huffman_ids, op4_segment_unigrams, op5_host_words, op6_mix_sources, op9_best_fit, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_cross_entropy, op2_content_sort, op3_huffman_ids, op4_segment_unigrams, op5_host_words, op6_mix_sources, op7_license_windows, op8_nn_descent, op9_best_fit, op10_setsketch)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
