@@ -4,10 +4,11 @@
    set and its registers. Documents with equal sets are one class at once (similarity 1), so copies cost one row from here on.
 2. Classes meet in buckets: one for each band of registers. A link of similarity 0.8 misses all 48 bands of 6 with a probability under 1e-6.
 3. A bucket never emits its pairs. In the first round each bucket has one hub, drawn by hash, and every other member is paired with it; linked
-   members join its component, so a group of thousands of near copies is mostly done. Later rounds take up to HUBS hubs in each bucket that still
-   holds several components, the rarest components' members first, and pair them with members of other components. A bucket stays until its
+   members join its component, so a group of thousands of near copies is mostly done. Two more rounds take the member with most links, which is near a
+   group's centre, as the hub of each bucket that still holds several components; then up to HUBS members, the rarest components' first, are hubs.
+   Hubs are paired with members of other components only. A bucket stays until its
    members are of one component or all have been hubs: every pair of a bucket is compared, or is connected already. No cap drops a pair.
-4. A pair is dropped unseen only if sizes exclude the similarity, or if the sketches make it e^-20 times as likely as the best similarity.
+4. A pair is dropped unseen only if sizes exclude the similarity, or if the sketches make it e^-12 times as likely as the best similarity.
    Of the others, each class's most similar one is compared on whole sets first, then all that are not connected by then.
 5. Components come from large-star / small-star rounds over the links, on tables in the shared folder.
 """
@@ -29,8 +30,10 @@ from .textbytes import LOWER, shingles, span_hashes, utf8, words
 #: Bands and registers in each; at similarity s a pair shares a bucket with probability 1 - (1 - s^6)^48, over 0.9999995 from 0.8.
 BANDS, ROWS = 48, 6
 HUBS = 16
-#: A pair whose similarity may reach the threshold only with a likelihood e^-20 times the best one's is not verified.
-DOUBT = 20.0
+#: A pair whose similarity may reach the threshold only with a likelihood e^-12 times the best one's (about five standard errors) is not verified.
+DOUBT = 12.0
+#: Rounds with one hub a bucket, the member with most links, before those with up to HUBS.
+CENTRAL_ROUNDS = 2
 #: Pairs that share one copy of a hub's set in the verifying join.
 PAIRS_PER_COPY = 500
 
@@ -148,6 +151,9 @@ class _Components:
         """The pairs whose ends are of different components as yet."""
         return self.of(self.of(pairs, "a", "c_a"), "b", "c_b").filter("c_a <> c_b").drop("c_a", "c_b")
 
+    def degree(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [x.select(F.col(c).alias("class")) for x in self.links for c in "ab"]).groupBy("class").agg(F.count("*").alias("n_links"))
+
     def add(self, links: DataFrame) -> None:
         """links: a table (a, b). Components are contracted first, so each call works on what is new only."""
         self.step += 1
@@ -204,8 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # members of the rarer components are the next hubs: they have the fewest to be met by
         sizes = member.groupBy("band", "key", "component").agg(F.count("*").alias("in_component"))
-        place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
-        chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
+        if round_ < CENTRAL_ROUNDS:
+            centre = member.join(components.degree(), "class", "left").groupBy("band", "key").agg(F.max_by(F.struct("class", "component"), F.struct(F.coalesce("n_links", F.lit(0)), "class")).alias("m"))
+            chosen = centre.select("band", "key", "m.class", "m.component", F.lit(1).alias("place"))
+        else:
+            place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
+            chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
         chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), "place"), f"hubs-{round_}")
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}")
@@ -216,8 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
         met = met.join(tested, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
         pairs = work.table(met, f"pairs-{round_}")
-    degree = functools.reduce(DataFrame.unionByName, [x.select(F.col(c).alias("class")) for x in components.links for c in "ab"]).groupBy("class").agg(F.count("*").alias("n_links"))
-    by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(degree, "class", "left")
+        work.release()
+    by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(components.degree(), "class", "left")
     by_class = by_class.select("digest", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = made.select("doc_id", "n", "digest").join(by_class, ["digest", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
