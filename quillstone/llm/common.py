@@ -54,6 +54,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete shuffle files of finished steps now: it learns of them when the driver collects its garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Removes a table that no pending plan reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -211,6 +211,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     ordered = packed.repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc32")
     ordered.mapInArrow(_block_maker(), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
     work.drop("ids")
+    work.release()
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
