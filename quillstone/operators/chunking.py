@@ -148,6 +148,6 @@ def chunks(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
 
 def entities(c):
     """Company names, and upper-case words of two to five letters in the first 600 characters; sorted, once each."""
-    names = F.regexp_extract_all(c, F.lit(r"\b[A-Z][A-Za-z&]+(?: [A-Z][A-Za-z&]+)*(?:[ ](?:Inc|Corp|Ltd|LLC|Co|Group|Holdings|Technologies|Solutions))\.?\b"), F.lit(0))
-    tickers = F.regexp_extract_all(F.substring(c, 1, 600), F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0))
+    names = F.regexp_extract_all(c, F.lit(r"(?U)\b[A-Z][A-Za-z&]+(?: [A-Z][A-Za-z&]+)*(?:[ ](?:Inc|Corp|Ltd|LLC|Co|Group|Holdings|Technologies|Solutions))\.?\b"), F.lit(0))
+    tickers = F.regexp_extract_all(F.substring(c, 1, 600), F.lit(r"(?U)\b[A-Z]{2,5}\b"), F.lit(0))
     return F.array_sort(F.array_distinct(F.concat(names, tickers)))
