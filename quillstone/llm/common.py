@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship  # noqa: F401  the operators take it from here
+
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
@@ -30,20 +28,6 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once a session, for drivers that were not started with it on everyone's path."""
-    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if getattr(context, "_quillstone_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="quillstone-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(path := f"{folder}/{package.name}.zip", "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, str(file.relative_to(package.parent)))
-    context.addPyFile(path)  # Spark serves it from the driver to every executor
-    context._quillstone_shipped = True
-
-
 class Scratch:
     """Intermediate Parquet tables of one operator call. Writing one cuts the lineage: a lost executor costs a reread, not a rerun."""
 
