@@ -1 +1,316 @@
+"""Context, prompts, citations, verification, multi-hop retrieval."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import agent, context, evaluate, retrieval, verify
+from ..streaming import cache
+from . import base
+from .base import CHUNKS, QUESTIONS, RERANKED, SEARCH, content_sql, fixture, literal, query, sentences_sql, values
+
+
+def ranked(spark, d, k: int = 8):
+    chunks, asked = base.chunks(spark, d), base.questions(spark, d)
+    return retrieval.lexical_rerank(retrieval.hybrid(asked, chunks, 50), asked, k)
+
+
+_EXPAND = f"""WITH RECURSIVE {CHUNKS}, hits AS (SELECT chunk_id AS key, doc_id, chunk_index, char_start, char_end FROM chunks WHERE chunk_index % 7 = 0),
+ near AS (SELECT h.key, min(c.char_start) AS a, max(c.char_end) AS b, list(c.chunk_index ORDER BY c.char_start, c.char_end) AS chunk_indices FROM hits h JOIN chunks c ON c.doc_id = h.doc_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY 1)
+ SELECT n.key, md5(substring(d.text, CAST(n.a + 1 AS BIGINT), CAST(n.b - n.a AS BIGINT))) AS digest, n.chunk_indices, n.a AS range_start, n.b AS range_end FROM near n JOIN chunks h ON h.chunk_id = n.key JOIN documents d ON d.doc_id = h.doc_id"""
+
+
+@query("g01_expand", _EXPAND)
+def expand(spark, d):
+    rows = base.chunks(spark, d)
+    hits = rows.filter("chunk_index % 7 = 0").select(F.col("chunk_id").alias("key"), "chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "text")
+    return context.expand(hits, rows, 1).select("key", F.md5("merged_text").alias("digest"), "chunk_indices", "range_start", "range_end")
+
+
+SPAN = "doc_id bigint, chunk_id string, chunk_index int, char_start int, char_end int, text string"
+SPANS = [(1, "a", 0, 0, 10, "0123456789"), (1, "b", 1, 6, 16, "6789abcdef"), (1, "c", 2, 16, 20, "ghij"), (1, "d", 3, 25, 28, "xyz"), (1, "e", 4, 25, 27, "xy"), (2, "f", 0, 0, 4, "wxyz"), (3, "g", 0, 5, 5, "none")]
+_MERGED = [("a", "0123456789abcdef", [0, 1], 0, 16), ("b", "0123456789abcdefghij", [0, 1, 2], 0, 20), ("c", "6789abcdefghij … xyz", [1, 2, 3], 6, 28), ("d", "ghij … xyz", [2, 3, 4], 16, 28), ("e", "xyz", [3, 4], 25, 28), ("f", "wxyz", [0], 0, 4), ("g", "none", [0], 5, 5)]
+
+
+@query("g01_expand_fixture", "SELECT * FROM (VALUES " + ", ".join(literal(r).replace("[", "(", 1)[:-1] + ")" for r in _MERGED) + ") v(key, merged_text, chunk_indices, range_start, range_end)")
+def expand_fixture(spark, d):
+    rows = fixture(spark, SPAN, SPANS)
+    return context.expand(rows.withColumn("key", F.col("chunk_id")), rows, 1)
+
+
+@query("g02_token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def token_estimate(spark, d):
+    return base.read(spark, d, "documents").select("doc_id", context.estimate(F.col("text")).alias("tokens"))
+
+
+@query("g03_token_budget")
+def token_budget(spark, d):
+    lists = ranked(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("texts"))
+    return context.budgeted(lists, 600).select("query_id", F.explode("texts").alias("t")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum(context.estimate(F.col("t"))).alias("tokens"))
+
+
+_BLOCK = "'[' || r.rank || '] (' || d.source || ', p.1)' || chr(10) || c.text"
+
+
+@query("g04_prompts", SEARCH + RERANKED + f", b AS (SELECT r.query_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY r.rank) AS blocks FROM ranked r JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = c.doc_id WHERE r.rank <= 3 GROUP BY 1), p AS (SELECT q.query_id, {literal(context.INSTRUCTIONS)} || chr(10) || chr(10) || 'SOURCES:' || chr(10) || coalesce(b.blocks, '(no sources retrieved)') || chr(10) || chr(10) || 'QUESTION: ' || q.text || chr(10) || chr(10) || 'ANSWER:' AS prompt FROM questions q LEFT JOIN b USING (query_id)) SELECT query_id, md5(prompt) AS digest, length(prompt) // 4 AS tokens FROM p")
+def prompts(spark, d):
+    docs = base.read(spark, d, "documents").select("doc_id", "source")
+    sources = ranked(spark, d, 3).join(docs, "doc_id").select("query_id", "rank", "source", "page_number", "text")
+    asked = base.questions(spark, d).withColumns({"kind": F.lit("informational"), "task": F.lit("answer"), "thin": F.lit(False)})
+    return context.prompts(sources, asked).select("query_id", F.md5("prompt").alias("digest"), "tokens")
+
+
+ANSWERS = [
+    (1, "The pump runs at 85 bar [1]. It is made of steel [2]. Nothing else is known."),
+    (2, "The GX-4200 holds 45°C [1, 2]. The valve opens slowly [3-1]. See also [99] and [0]."),
+    (3, "I don’t have enough information to answer [1]."),
+    (4, "No markers at all here."),
+    (5, ""),
+    (6, "Steel pump housing rated at 85 bar under load [2][3]! The filter GX-4200 is new [1]."),
+    (7, "the steel housing of the pump is rated at eighty five bar under load [1]. Short copy here [2]."),
+]
+SOURCES = [(a, r, f"c{r}", t) for a in range(1, 8) for r, t in [(1, "The pump GX-4200 runs at 85 bar and 145°C. The steel housing of the pump is rated at eighty five bar under load."), (2, "Its housing is made of steel and rated at 85 bar."), (3, "A valve opens when pressure falls; slowly at first.")]]
+JUDGED = [(2, 1, "This is not supported by the source"), (2, 2, "supported"), (6, 1, "It contradicts the source"), (6, 3, "no idea")]
+_A, _S, _J = values("answers", "answer_id int, answer string", ANSWERS), values("sources", "answer_id int, rank int, chunk_id string, text string", SOURCES), values("judged", "answer_id int, index int, reply string", JUDGED)
+
+
+def _answers(spark):
+    return fixture(spark, "answer_id int, answer string", ANSWERS)
+
+
+def _sources(spark):
+    return fixture(spark, "answer_id int, rank int, chunk_id string, text string", SOURCES)
+
+
+def _cited_sql(source: str, key: str, text: str) -> str:
+    """Common table expressions ending in cites (key, idx) with all distinct markers from 1."""
+    return f"""groups AS (SELECT {key}, unnest(regexp_extract_all({text}, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', 1)) AS g FROM {source}),
+ tokens AS (SELECT {key}, list_transform(string_split(t, '-'), lambda x: CAST(trim(x) AS INTEGER)) AS e FROM (SELECT {key}, unnest(string_split(g, ',')) AS t FROM groups)),
+ cites AS (SELECT DISTINCT {key}, idx FROM (SELECT {key}, unnest(range(list_min(e), list_max(e) + 1)) AS idx FROM tokens) WHERE idx >= 1)"""
+
+
+@query("g05_citations", f"WITH {_A}, {_cited_sql('answers', 'answer_id', 'answer')} SELECT a.answer_id, coalesce((SELECT list(CAST(idx AS INTEGER) ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id), []) AS cited, coalesce((SELECT list(CAST(idx AS INTEGER) ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id AND idx <= 3), []) AS valid FROM answers a")
+def citations(spark, d):
+    return _answers(spark).select("answer_id", verify.cited(F.col("answer")).alias("cited"), verify.cited(F.col("answer"), F.lit(3)).alias("valid"))
+
+
+_ABSTAINS = "(" + " OR ".join(f"contains(replace(lower(answer), '’', ''''), {literal(p)})" for p in verify.ABSTENTIONS) + ")"
+
+
+@query("g06_abstention", f"WITH {_A} SELECT answer_id, {_ABSTAINS} AS abstains FROM answers")
+def abstention(spark, d):
+    return _answers(spark).select("answer_id", verify.abstains(F.col("answer")).alias("abstains"))
+
+
+_CLAIMS = f"""{_cited_sql('answers', 'answer_id', 'answer')},
+ sents AS (SELECT answer_id, s, i FROM (SELECT answer_id, unnest({sentences_sql('answer')}) AS s, generate_subscripts({sentences_sql('answer')}, 1) AS i FROM answers)),
+ keyed AS (SELECT answer_id || '#' || i AS sk, answer_id, i, s FROM sents),
+ sgroups AS (SELECT sk, unnest(regexp_extract_all(s, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', 1)) AS g FROM keyed),
+ stokens AS (SELECT sk, list_transform(string_split(t, '-'), lambda x: CAST(trim(x) AS INTEGER)) AS e FROM (SELECT sk, unnest(string_split(g, ',')) AS t FROM sgroups)),
+ scites AS (SELECT DISTINCT sk, unnest(range(list_min(e), list_max(e) + 1)) AS idx FROM stokens),
+ claims AS (SELECT c.answer_id, c.idx, coalesce((SELECT string_agg(trim(k.s), ' ' ORDER BY k.i) FROM keyed k JOIN scites x ON x.sk = k.sk WHERE k.answer_id = c.answer_id AND x.idx = c.idx), trim(a.answer)) AS claim_text FROM cites c JOIN answers a ON a.answer_id = c.answer_id)"""
+
+
+@query("g07_claims", f"WITH {_A}, {_CLAIMS} SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text FROM claims")
+def claims(spark, d):
+    rows = _answers(spark).select("answer_id", "answer", F.explode(verify.cited(F.col("answer"))).alias("index"))
+    return rows.select("answer_id", "index", verify.claim(F.col("answer"), F.col("index")).alias("claim_text"))
+
+
+_FACTS = "list_sort(list_distinct(list_concat(list_transform(list_filter(regexp_extract_all({b}, '[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*'), lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '\\d')), lambda x: lower(x)), regexp_extract_all({b}, '\\d+(?:\\.\\d+)?'))))"
+
+
+def _facts_sql(c: str) -> str:
+    return _FACTS.replace("{b}", f"regexp_replace({c}, '\\[[^\\]]*\\]', ' ', 'g')")
+
+
+@query("g08_facts", f"WITH {_A} SELECT answer_id, {_facts_sql('answer')} AS facts FROM answers")
+def facts(spark, d):
+    return _answers(spark).select("answer_id", verify.facts(F.col("answer")).alias("facts"))
+
+
+_MINE = f"list_distinct(list_filter({base.words_sql('regexp_replace(claim_text, ' + literal(chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']') + ', ' + literal(' ') + ', ' + literal('g') + ')')}, lambda w: NOT list_contains({literal(T.CITATION_STOPWORDS)}, w)))"
+_JUDGE = "CASE WHEN regexp_matches(lower(reply), 'contradict') THEN 'contradicted' WHEN regexp_matches(lower(reply), 'not_mentioned|not mentioned|no mention|not support') THEN 'not_mentioned' WHEN contains(lower(reply), 'support') THEN 'supported' ELSE 'unverified' END"
+_VERDICTS = f"""{_CLAIMS},
+ met AS (SELECT c.answer_id, c.idx, s.chunk_id, CASE WHEN s.chunk_id IS NULL THEN '' ELSE c.claim_text END AS claim_text, lower(s.text) AS chunk FROM claims c JOIN answers a ON a.answer_id = c.answer_id AND a.answer <> '' AND NOT {_ABSTAINS} LEFT JOIN sources s ON s.answer_id = c.answer_id AND s.rank = c.idx),
+ seen AS (SELECT *, {_facts_sql('claim_text')} AS facts, {_MINE} AS mine FROM met),
+ tier1 AS (SELECT *, CASE WHEN chunk_id IS NULL THEN 'invalid' WHEN len(facts) > 0 THEN CASE WHEN len(list_filter(facts, lambda f: NOT contains(chunk, f))) = 0 THEN 'supported' ELSE 'unverified' END
+   WHEN len(mine) = 0 OR len(list_intersect(mine, {base.words_sql('chunk')})) / len(mine) >= 0.6 THEN 'supported' ELSE 'unverified' END AS v1 FROM seen)"""
+
+
+@query("g09_verdicts", f"WITH {_A}, {_S}, {_VERDICTS} SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text, chunk_id, v1 AS verdict, CASE v1 WHEN 'supported' THEN 0.9 ELSE 0.0 END AS confidence, CASE v1 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM tier1")
+def verdicts(spark, d):
+    return verify.validate(_answers(spark), _sources(spark))
+
+
+@query("g10_judged", f"WITH {_A}, {_S}, {_J}, {_VERDICTS}, t2 AS (SELECT t.*, CASE WHEN v1 = 'unverified' THEN CASE WHEN j.reply IS NULL THEN 'unverified' ELSE {_JUDGE} END ELSE v1 END AS v2 FROM tier1 t LEFT JOIN judged j ON j.answer_id = t.answer_id AND j.index = t.idx) SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text, chunk_id, v2 AS verdict, CASE WHEN v2 = 'supported' AND v1 <> 'supported' THEN 0.75 WHEN v2 = 'supported' THEN 0.9 WHEN v2 = 'contradicted' THEN 0.9 WHEN v2 = 'not_mentioned' THEN 0.75 ELSE 0.0 END AS confidence, CASE v2 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM t2")
+def judged(spark, d):
+    return verify.validate(_answers(spark), _sources(spark), fixture(spark, "answer_id int, index int, reply string", JUDGED))
+
+
+_EXTRACT = f"""
+ said AS (SELECT query_id, rank, i AS pos, trim(s) AS sentence FROM (SELECT r.query_id, r.rank, unnest({sentences_sql('c.text')}) AS s, generate_subscripts({sentences_sql('c.text')}, 1) AS i FROM ranked r JOIN chunks c USING (chunk_id)) WHERE regexp_matches(s, '\\S')),
+ scored AS (SELECT a.*, len(list_intersect(list_distinct({content_sql('q.text')}), list_distinct({content_sql('a.sentence')}))) AS n_shared FROM said a JOIN questions q USING (query_id)),
+ chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_shared DESC, rank, pos) AS n FROM scored QUALIFY n <= 3 AND (n_shared > 0 OR n = 1)),
+ extracted AS (SELECT q.query_id, coalesce(string_agg(regexp_replace(sentence, '^\\s+|\\s+$', '', 'g'), ' ' ORDER BY n), '') AS answer FROM questions q LEFT JOIN chosen USING (query_id) GROUP BY 1)"""
+
+
+@query("g15_extractive", SEARCH + RERANKED + "," + _EXTRACT + " SELECT query_id, answer FROM extracted")
+def extractive(spark, d):
+    return evaluate.extractive_answers(base.questions(spark, d), ranked(spark, d))
+
+
+_ISLANDS = f"""
+ bare AS (SELECT answer_id, regexp_replace(answer, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', ' ', 'g') AS t FROM answers),
+ spoken AS (SELECT answer_id, sn, {base.words_sql('s')} AS w FROM (SELECT answer_id, unnest({sentences_sql('trim(t)')}) AS s, generate_subscripts({sentences_sql('trim(t)')}, 1) AS sn FROM bare) WHERE len({base.words_sql('s')}) >= 6),
+ aw AS (SELECT answer_id, sn, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM spoken),
+ cw AS (SELECT answer_id, rank, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM (SELECT answer_id, rank, {base.words_sql('text')} AS w FROM sources)),
+ met AS (SELECT answer_id, sn, n, rank, i, i - j AS d FROM aw JOIN cw USING (answer_id, word)),
+ isl AS (SELECT *, i - row_number() OVER (PARTITION BY answer_id, sn, rank, d ORDER BY i) AS g FROM met),
+ best AS (SELECT answer_id, sn, max(c / n) AS share FROM (SELECT answer_id, sn, n, count(*) AS c FROM isl GROUP BY answer_id, sn, n, rank, d, g) GROUP BY 1, 2),
+ per AS (SELECT s.answer_id, count(*) AS total, count(*) FILTER (b.share > 0.8) AS flagged FROM spoken s LEFT JOIN best b USING (answer_id, sn) GROUP BY 1),
+ rep AS (SELECT a.answer_id, coalesce(total, 0) AS total, coalesce(flagged, 0) AS flagged, CASE WHEN total > 0 THEN round(flagged / total, 3) ELSE 0.0 END AS ratio FROM answers a LEFT JOIN per USING (answer_id))
+ SELECT answer_id, total, flagged, ratio, CASE WHEN ratio > 0.5 THEN 'high_verbatim' END AS warning FROM rep"""
+
+
+@query("g11_verbatim_fixture", f"WITH {_A}, {_S},{_ISLANDS}")
+def verbatim_fixture(spark, d):
+    return verify.verbatim(_answers(spark), _sources(spark))
+
+
+@query("g11_verbatim", SEARCH + RERANKED + "," + _EXTRACT + f", answers AS (SELECT query_id AS answer_id, answer FROM extracted), sources AS (SELECT r.query_id AS answer_id, r.rank, c.text FROM ranked r JOIN chunks c USING (chunk_id)),{_ISLANDS}")
+def verbatim(spark, d):
+    sources = ranked(spark, d)
+    answers = evaluate.extractive_answers(base.questions(spark, d), sources).withColumnRenamed("query_id", "answer_id")
+    return verify.verbatim(answers, sources.select(F.col("query_id").alias("answer_id"), "rank", "text"))
+
+
+VERIFIER = [
+    (1, "None.", "One. Two."), (2, "No unsupported claims.", "One."), (3, "", "One."), (4, "Unsupported claims:\n- The pump is made of gold.\n- Everything is supported", "One. Two. Three."),
+    (5, "- The claim that it runs is supported by the source, fully\n* The colour is not supported at all", "A. B. C. D."), (6, "The following:\nshort", "One."), (7, None, "One."), (8, "1. First wrong claim here\n2. Second wrong claim here\n3. Third wrong claim", "Only one sentence"),
+]
+
+
+def _phrases(c: str, cues: list[str]) -> str:
+    return f"regexp_matches({c}, {literal('|'.join(cues))})"
+
+
+_GROUND = f"""WITH {values('replies', 'id int, reply string, answer string', VERIFIER)}, t AS (SELECT id, regexp_replace(coalesce(reply, ''), '^\\s+|\\s+$', '', 'g') AS text, answer FROM replies),
+ f AS (SELECT *, regexp_replace(trim(string_split(lower(text), chr(10))[1]), '[.:]+$', '') AS first, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(trim(s), '^[-•*0123456789.) ]+', ''))) AS lines FROM t),
+ b AS (SELECT *, list_filter(lines, lambda s: length(s) > 8 AND NOT {_phrases('lower(s)', verify.NOT_CLAIMS)} AND NOT ({_phrases('lower(s)', verify.AFFIRMING)} AND NOT {_phrases('lower(s)', verify.NEGATING)})) AS bad,
+   greatest(len(list_filter(string_split(answer, '.'), lambda s: trim(s) <> '')), 1) AS total, ({_phrases('first', verify.ALL_GROUNDED)} OR starts_with(first, 'none') OR list_contains({literal(verify.CLEAR)}, first)) AS clean FROM f)
+ SELECT id, CASE WHEN text = '' THEN false WHEN clean THEN true ELSE len(bad) = 0 END AS grounded, CASE WHEN text = '' THEN 0.0 WHEN clean THEN 1.0 WHEN len(bad) = 0 THEN 0.85 ELSE round(greatest(0.0, 1 - len(bad) / total), 3) END AS confidence,
+  CASE WHEN text = '' OR clean THEN [] ELSE bad END AS unsupported, text <> '' AS verified FROM b"""
+
+
+@query("g12_groundedness", _GROUND)
+def groundedness(spark, d):
+    rows = fixture(spark, "id int, reply string, answer string", VERIFIER)
+    return rows.select("id", verify.groundedness(F.col("reply"), F.col("answer")).alias("g")).select("id", "g.*")
+
+
+SIGNALS = [(1, 0.8, 3, 1, 0.95, True), (2, 0.9, 0, 0, 0.5, True), (3, 0.7, 2, 0, 0.7, True), (4, 0.2, 1, 1, 1.0, False), (5, 1.0, 4, 0, 1.0, True)]
+_SIGNALS = "answer_id int, retrieval double, n_valid int, n_dropped int, groundedness double, verified boolean"
+
+
+@query("g13_confidence", f"WITH {values('s', _SIGNALS, SIGNALS)}, c AS (SELECT *, CASE WHEN n_valid + n_dropped > 0 THEN round(n_valid / (n_valid + n_dropped), 3) ELSE 0.0 END AS citation_coverage FROM s) SELECT *, verified AND groundedness > least(retrieval, citation_coverage) + 1e-9 AS capped FROM c")
+def confidence(spark, d):
+    return verify.confidence(fixture(spark, _SIGNALS, SIGNALS))
+
+
+@query("g14_answers")
+def answers(spark, d):
+    from ..engine import Engine
+
+    engine = Engine(spark, base.read(spark, d, "documents").select("doc_id", "text", "source"))
+    out = engine.answer(base.questions(spark, d), 5)
+    states = out["citations"].groupBy("answer_id").agg(F.count_if(F.col("state") == "valid").alias("n_valid"), F.count_if(F.col("state") == "dropped").alias("n_dropped"), F.count_if(F.col("state") == "unverified").alias("n_unverified"))
+    return out["answers"].join(states, "answer_id", "left").join(out["copied"].select("answer_id", "ratio", "warning"), "answer_id")
+
+
+@query("g17_cache_probe", "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS set_at FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT r.event_id, CAST(r.user_id AS VARCHAR) AS key, e.set_at IS NOT NULL AND e.set_at + INTERVAL 3600 SECOND > n.now AS hit FROM events r CROSS JOIN n LEFT JOIN e ON e.key = CAST(r.user_id AS VARCHAR) WHERE r.event_type = 'click'")
+def cache_probe(spark, d):
+    events = base.read(spark, d, "events")
+    stored = events.filter("event_type = 'view'").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max("ts").alias("set_at")).withColumn("answer", F.lit("x"))
+    now = events.agg(F.max("ts")).first()[0]
+    asked = events.filter("event_type = 'click'").select("event_id", F.col("user_id").cast("string").alias("key"))
+    return cache.probe(asked, stored, F.lit(now)).select("event_id", "key", "hit")
+
+
+@query("g17_cache_lru", "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS used_at FROM events GROUP BY 1) SELECT key, used_at, row_number() OVER (ORDER BY used_at DESC, key) AS place FROM l QUALIFY place <= 50")
+def cache_lru(spark, d):
+    return cache.lru(base.read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "ts"), 50)
+
+
+FOUND = [(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "a", 1), (1, 2, "c", 2), (2, 1, "x", 1), (1, 3, "c", 1), (1, 3, "d", 5)]
+_FOUND = "query_id int, step int, chunk_id string, rank int"
+
+
+@query("l03_collect_first", f"WITH {values('f', _FOUND, FOUND)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY step, rank) AS n FROM f) SELECT query_id, step, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY step, rank, chunk_id) AS seen FROM k WHERE n = 1")
+def collect_first(spark, d):
+    return agent.collect_first(fixture(spark, _FOUND, FOUND))
+
+
+@query("l02_fallback", f"WITH {values('f', _FOUND, FOUND)} SELECT query_id, chunk_id, rank FROM (VALUES (1, 'p', 1), (3, 'q', 1), (3, 'r', 2)) p(query_id, chunk_id, rank) WHERE query_id NOT IN (SELECT query_id FROM f)")
+def fallback(spark, d):
+    plain = fixture(spark, "query_id int, chunk_id string, rank int", [(1, "p", 1), (3, "q", 1), (3, "r", 2)])
+    asked = fixture(spark, "query_id int", [(1,), (2,), (3,)])
+    return agent.fallback(asked, fixture(spark, _FOUND, FOUND), plain)
+
+
+@query("l04_tool_limits", "SELECT k, CAST(greatest(1, least(coalesce(k, 8), 20)) AS INTEGER) AS top_k FROM (VALUES (-3), (0), (1), (8), (20), (99), (NULL)) v(k)")
+def tool_limits(spark, d):
+    return fixture(spark, "k int", [(x,) for x in (-3, 0, 1, 8, 20, 99, None)]).select("k", agent.clamp_k(F.col("k")).alias("top_k"))
+
+
+@query("l05_parse_action")
+def parse_actions(spark, d):
+    replies = ['Thought: x {"tool": "retrieve_docs", "args": {"query": "a}b", "top_k": 3}} then', '{"action": "fetch_document", "doc_id": "7"}', "no json", '{"broken": }{"tool": "finish"}', None]
+    return fixture(spark, "id int, tool string, n_args int", [(i, a and a["tool"], len(a["args"]) if a else None) for i, a in enumerate(map(agent.parse_action, replies))])
+
+
+def _multi(spark, d):
+    asked = base.questions(spark, d).withColumn("text", F.concat(F.substring("text", 1, 60), F.lit(" and "), F.substring("text", 61, 60)))
+    rows = base.chunks(spark, d)
+    gathered = agent.run_offline(asked, lambda q: retrieval.bm25_top(q, rows, 5).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank")))
+    return asked, gathered
+
+
+_MULTI = f"""WITH asked0 AS (SELECT item_id AS qid, substring(text, 1, 60) || ' and ' || substring(text, 61, 60) AS text FROM benchmark),
+ parts AS (SELECT qid, i, regexp_replace(s, '^[ ,.\\-]+|[ ,.\\-]+$', '', 'g') AS s FROM (SELECT qid, unnest(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?')) AS s, generate_subscripts(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?'), 1) AS i FROM asked0)),
+ uniq AS (SELECT *, row_number() OVER (PARTITION BY qid, lower(s) ORDER BY i) AS copy FROM parts WHERE length(s) > 3),
+ subs AS (SELECT qid, s AS text, row_number() OVER (PARTITION BY qid ORDER BY i) AS step FROM uniq WHERE copy = 1 QUALIFY step <= 3),
+ questions AS (SELECT qid || '#' || step AS query_id, text FROM subs),{CHUNKS},{base.BM25},
+ found AS (SELECT qid, step, chunk_id, bm25_rank AS rank FROM bm25 b JOIN subs s ON b.query_id = s.qid || '#' || s.step WHERE bm25_rank <= 5),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY step, rank) AS n FROM found QUALIFY n = 1)"""
+
+
+@query("l06_offline_agent", _MULTI + " SELECT qid AS query_id, CAST(step AS INTEGER) AS step, chunk_id, rank, row_number() OVER (PARTITION BY qid ORDER BY step, rank, chunk_id) AS seen FROM kept")
+def offline_agent(spark, d):
+    return _multi(spark, d)[1]
+
+
+@query("l07_trajectory", _MULTI + ", s AS (SELECT qid, count(*) AS steps FROM subs GROUP BY 1), c AS (SELECT qid, count(*) AS chunks FROM kept GROUP BY 1), t AS (SELECT qid, coalesce(steps, 0) AS steps, coalesce(chunks, 0) AS chunks, chunks IS NULL AS fb FROM asked0 LEFT JOIN s USING (qid) LEFT JOIN c USING (qid)) SELECT round(sum(steps) / count(*), 3) AS avg_steps, round(sum(steps) / count(*), 3) AS avg_tool_calls, round(sum(chunks) / count(*), 3) AS avg_chunks_gathered, count(*) FILTER (steps > 1) AS multi_hop_queries, count(*) FILTER (fb) AS fallback_queries, count(*) FILTER (steps >= 5) AS hit_max_steps FROM t")
+def trajectory(spark, d):
+    asked, gathered = _multi(spark, d)
+    return agent.trajectory_stats(agent.trajectory(gathered, agent.offline_plan(asked), asked))
+
+
+@query("l01_agent_loop")
+def agent_loop(spark, d):
+    rows = base.chunks(spark, d)
+    questions = [(str(r["query_id"]), r["text"]) for r in base.questions(spark, d).orderBy("query_id").limit(5).collect()]  # an interactive loop serves a few open questions
+
+    def planner(q, text, history):
+        return '{"tool": "finish"}' if len(history) > 1 else '{"tool": "retrieve_docs", "args": {"query": "%s"}}' % " ".join(text.split()[len(history) * 4 : len(history) * 4 + 8]).replace('"', "")
+
+    def retrieve(batch):
+        asked = fixture(spark, "query_id string, text string", [(q, a["query"]) for q, a in batch])
+        out: dict[str, list[str]] = {}
+        for r in retrieval.bm25_top(asked, rows, 5).orderBy("query_id", "bm25_rank").collect():  # five a question
+            out.setdefault(r["query_id"], []).append(r["chunk_id"])
+        return out
+
+    state = agent.run_loop(questions, planner, {"retrieve_docs": retrieve})
+    return fixture(spark, "query_id string, stop string, steps int, chunks int", [(q, s["stop"], len(s["history"]), len(s["collected"])) for q, s in state.items()])
