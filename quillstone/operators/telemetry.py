@@ -20,6 +20,11 @@ PRICES = {
 RUPEES = 83.0
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half up on the scaled binary value, as other engines round doubles; Spark's own round looks at the decimal digits."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
     """One column p<percent> for each: the k-th smallest value, k = percent / 100 * n + 0.5 rounded half to even, from 1 to n.
 
@@ -55,8 +60,8 @@ def priced(calls: DataFrame, prices: dict = PRICES, rate: float = RUPEES) -> Dat
     met = names.join(price_table(calls.sparkSession, prices), F.startswith("model", F.col("entry")))
     best = met.groupBy("model").agg(F.max_by(F.struct("entry", "price_in", "price_out"), F.length("entry")).alias("p")).select("model", "p.*")
     out = calls.join(best, "model", "left")
-    usd = F.round(F.col("input_tokens") / 1e6 * F.col("price_in") + F.col("output_tokens") / 1e6 * F.col("price_out"), 8)
-    return out.withColumn("cost_usd", usd).withColumn("cost_inr", F.round(usd * rate, 6)).drop("price_in", "price_out")
+    usd = rounded(F.col("input_tokens") / 1e6 * F.col("price_in") + F.col("output_tokens") / 1e6 * F.col("price_out"), 8)
+    return out.withColumn("cost_usd", usd).withColumn("cost_inr", rounded(usd * rate, 6)).drop("price_in", "price_out")
 
 
 def cost_report(calls: DataFrame, key: str) -> DataFrame:
@@ -73,7 +78,7 @@ def cost_report(calls: DataFrame, key: str) -> DataFrame:
 
 def run_totals(calls: DataFrame, key: str) -> DataFrame:
     """Sums a run; its cost is null if no call is priced."""
-    return calls.groupBy(key).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 8).alias("cost_usd"), F.round(F.sum("cost_inr"), 6).alias("cost_inr"))
+    return calls.groupBy(key).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), rounded(F.sum("cost_usd"), 8).alias("cost_usd"), rounded(F.sum("cost_inr"), 6).alias("cost_inr"))
 
 
 def benchmark_summary(calls: DataFrame, key: str) -> DataFrame:
