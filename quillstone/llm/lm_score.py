@@ -200,5 +200,6 @@ def _score_joined(base: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
 def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs (doc_id, text) with a column is_target: some label says quality 1 and none says toxic 1. One row stays one row."""
-    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.coalesce(F.max("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic"))
+    # labels grow with the documents, so they are never broadcast: texts ride one shuffle by id at every size
+    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.coalesce(F.max("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic")).hint("merge")
     return docs.join(marks, F.col(f"`{id_col}`") == F.col("label_id"), "left").withColumn("is_target", F.coalesce(F.col("good") & ~F.col("toxic"), F.lit(False))).drop("label_id", "good", "toxic")
