@@ -7,7 +7,8 @@
    members join its component, so a group of thousands of near copies is mostly done. Two more rounds take the member with most links, which is near a
    group's centre, as the hub of each bucket that still holds several components; then up to HUBS members, the rarest components' first, are hubs.
    Hubs are paired with members of other components only. A bucket stays until its
-   members are of one component or all have been hubs: every pair of a bucket is compared, or is connected already. No cap drops a pair.
+   members are of one component or all have been hubs: every pair of a bucket is compared, connected already, or proved too far apart: shingles that
+   no other remaining document has bound what two documents can share. No cap drops a pair.
 4. A pair is dropped unseen only if sizes exclude the similarity, or if the sketches make it e^-12 times as likely as the best similarity.
    Of the others, each class's most similar one is compared on whole sets first, then all that are not connected by then.
 5. Components come from large-star / small-star rounds over the links, on tables in the shared folder.
@@ -29,7 +30,7 @@ from .textbytes import LOWER, shingles, span_hashes, utf8, words
 
 #: Bands and registers in each; at similarity s a pair shares a bucket with probability 1 - (1 - s^6)^48, over 0.9999995 from 0.8.
 BANDS, ROWS = 48, 6
-HUBS = 16
+HUBS = 32
 #: A pair whose similarity may reach the threshold only with a likelihood e^-12 times the best one's (about five standard errors) is not verified.
 DOUBT = 12.0
 #: Rounds with one hub a bucket, the member with most links, before those with up to HUBS.
@@ -136,6 +137,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b")
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    several = member.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
+    return member.join(several, ["band", "key"])
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """(class, n, common): how many of a class's shingles some other of these classes has too, which bounds what it can share with any of them.
+
+    Shingles are counted by 32 bits of their hashes: where two meet by chance, the bound is only looser.
+    """
+    rows = sets.select("class", F.explode("elements").alias("e")).select("class", F.col("e").bitwiseAND(0xFFFFFFFF).alias("e"))
+    alone = rows.groupBy("e").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
+    return sets.select("class", F.size("elements").cast("long").alias("n")).join(alone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _linkable(member: DataFrame, percent: int) -> DataFrame:
+    """Without the members that can't reach the similarity with any member of their bucket: |x & y| is at most `common`, and |y| at least the bucket's least."""
+    least = member.groupBy("band", "key").agg(F.min("n").alias("least"))
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    return member.join(least, ["band", "key"]).filter(F.col("common") * (100 + percent) >= (F.col("n") + other) * percent).drop("least")
+
+
 class _Components:
     """The growing links and the component of every linked class."""
 
@@ -202,28 +226,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not rest.isEmpty():
             components.add(work.table(_verified(rest, sets, percent), f"links-{round_}-rest"))
         # what is left: members of buckets that still hold several components, without the hubs that have met everyone
-        member = buckets.filter("class <> hub") if round_ == 0 else buckets.filter("not spent")
-        member = components.of(member.select("band", "key", "class"), "class", "component")
-        mixed = member.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "key")
-        member = work.table(member.join(mixed, ["band", "key"]), f"mixed-{round_}")
+        if round_ == 0:
+            member = components.of(buckets.filter("class <> hub").select("band", "key", "class"), "class", "component")
+            left = work.table(_mixed(member).select("class").distinct(), "left")
+            common = work.table(_common(sets.join(left, "class", "left_semi")), "common")
+            member = member.join(common, "class")
+        else:
+            member = components.of(buckets.filter("not spent").select("band", "key", "class", "n", "common"), "class", "component")
+        member = work.table(_mixed(_linkable(_mixed(member), percent)), f"mixed-{round_}")
         if member.isEmpty():
             break
         # members of the rarer components are the next hubs: they have the fewest to be met by
         sizes = member.groupBy("band", "key", "component").agg(F.count("*").alias("in_component"))
         if round_ < CENTRAL_ROUNDS:
-            centre = member.join(components.degree(), "class", "left").groupBy("band", "key").agg(F.max_by(F.struct("class", "component"), F.struct(F.coalesce("n_links", F.lit(0)), "class")).alias("m"))
-            chosen = centre.select("band", "key", "m.class", "m.component", F.lit(1).alias("place"))
+            centre = member.join(components.degree(), "class", "left").groupBy("band", "key").agg(F.max_by(F.struct("class", "component", "n", "common"), F.struct(F.coalesce("n_links", F.lit(0)), "class")).alias("m"))
+            chosen = centre.select("band", "key", "m.class", "m.component", "m.n", "m.common", F.lit(1).alias("place"))
         else:
             place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
             chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
-        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), "place"), f"hubs-{round_}")
+        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), "place"), f"hubs-{round_}")
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}")
         round_ += 1
         own = chosen.select("band", "key", F.col("hub").alias("class"), F.col("place").alias("own_place"))
         left = member.join(own, ["band", "key", "class"], "left").withColumn("spent", F.col("own_place").isNotNull())
-        buckets = work.table(left.select("band", "key", "class", "component", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}")
-        met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        buckets = work.table(left.select("band", "key", "class", "component", "n", "common", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}")
+        may = F.least("common", "hub_common") * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
+        met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").filter(may).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
         met = met.join(tested, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
         pairs = work.table(met, f"pairs-{round_}")
         work.release()
