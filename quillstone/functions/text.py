@@ -87,5 +87,5 @@ def chunk_id(doc: Column, start: Column, end: Column) -> Column:
 def hash_bucket(token: Column, dim: int = 384) -> Column:
     """The first eight bytes of the token's MD5, read as a little-endian integer, modulo dim."""
     h = F.md5(token)
-    little = F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])
-    return (F.conv(little, 16, 10).cast("decimal(20,0)") % F.lit(dim).cast("decimal(20,0)")).cast("int")
+    half = lambda at: F.conv(F.concat(*[F.substring(h, i, 2) for i in range(at + 6, at - 1, -2)]), 16, 10).cast("bigint") % dim
+    return ((half(9) * ((1 << 32) % dim) + half(1)) % dim).cast("int")

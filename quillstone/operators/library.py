@@ -68,4 +68,4 @@ def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 def run_artifacts(calls: DataFrame) -> DataFrame:
     """One row a run from its steps (run_id, step, stage, ms, ...): totals, and the steps in order as an array of structs."""
-    return calls.groupBy("run_id").agg(F.round(F.sum("ms"), 1).alias("total_ms"), F.count("*").alias("step_count"), F.array_sort(F.collect_list(F.struct("step", "stage", "ms"))).alias("steps"))
+    return calls.groupBy("run_id").agg(F.round(F.sum(F.col("ms").cast("decimal(20,6)")), 1).cast("double").alias("total_ms"), F.count("*").alias("step_count"), F.array_sort(F.collect_list(F.struct("step", "stage", "ms"))).alias("steps"))

@@ -48,7 +48,8 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column |
     asked = queries.select("query_id", (F.lit("all") if scope is None else F.col("scope").cast("string")).alias("scope"), F.explode(T.words(F.col("text"))).alias("term"))
     asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times")).join(idf, ["scope", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posted.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # decimal parts add up to the same sum in any order
+    scored = posted.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part.cast("decimal(24,10)")).cast("double"), 6).alias("score"))
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "bm25_rank")
 
 

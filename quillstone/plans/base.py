@@ -112,7 +112,7 @@ BM25 = rf"""
  raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posted, totals GROUP BY term, n),
  idfs AS (SELECT term, CASE WHEN idf < 0 THEN (SELECT sum(idf) / count(*) * 0.25 FROM raw) ELSE idf END AS idf FROM raw),
  asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({words_sql('text')}) AS term FROM questions) GROUP BY ALL),
- bm25_all AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+ bm25_all AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS DECIMAL(24, 10))) AS DOUBLE), 6) AS score
               FROM posted JOIN asked USING (term) JOIN idfs USING (term), totals GROUP BY ALL),
  bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS bm25_rank FROM bm25_all QUALIFY bm25_rank <= 50)"""
 

@@ -37,7 +37,7 @@ _SCOPED = f"""WITH {QUESTIONS},{CHUNKS},
  raw AS (SELECT scope, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posted JOIN totals USING (scope) GROUP BY scope, term, n),
  idfs AS (SELECT scope, term, CASE WHEN idf < 0 THEN sum(idf) OVER (PARTITION BY scope) / count(*) OVER (PARTITION BY scope) * 0.25 ELSE idf END AS idf FROM raw),
  asked AS (SELECT query_id, CAST(query_id % 20 AS VARCHAR) AS scope, term, count(*) AS times FROM (SELECT query_id, unnest({base.words_sql('text')}) AS term FROM questions) GROUP BY ALL),
- found AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posted JOIN asked USING (scope, term) JOIN idfs USING (scope, term) JOIN totals USING (scope) GROUP BY ALL)
+ found AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS DECIMAL(24, 10))) AS DOUBLE), 6) AS score FROM posted JOIN asked USING (scope, term) JOIN idfs USING (scope, term) JOIN totals USING (scope) GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS bm25_rank FROM found QUALIFY bm25_rank <= 10"""
 
 

@@ -105,7 +105,7 @@ def evaluation_export(spark, d):
     return base.questions(spark, d).select("query_id", F.col("text").alias("question"), F.col("text").alias("answer"), F.array(F.substring("text", 1, 40)).alias("contexts"), F.when(F.col("query_id") % 2 == 0, F.col("text")).alias("reference"))
 
 
-@query("s17_run_artifacts", "SELECT user_id AS run_id, round(sum(value), 1) AS total_ms, count(*) AS step_count, list(event_type ORDER BY event_id) AS stages FROM events GROUP BY 1")
+@query("s17_run_artifacts", "SELECT user_id AS run_id, CAST(round(sum(CAST(value AS DECIMAL(20, 6))), 1) AS DOUBLE) AS total_ms, count(*) AS step_count, list(event_type ORDER BY event_id) AS stages FROM events GROUP BY 1")
 def run_artifacts(spark, d):
     rows = read(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
     return library.run_artifacts(rows).select("run_id", "total_ms", "step_count", F.col("steps.stage").alias("stages"))

@@ -29,10 +29,10 @@ def lru(accesses: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     return evict(last, most).withColumn("place", F.row_number().over(Window.orderBy(F.col("used_at").desc(), "key")))
 
 
-def cached_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def cached_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
     """(key, ts, hit) of a stream of requests (key, ts): a hit if the key was set within the time to live before, by the requests' own times.
 
-    Each key keeps one timestamp, which a timeout removes; requests that miss set the key.
+    Each key keeps one timestamp; requests that miss set it, and it goes when the watermark passes its time to live.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,7 +47,8 @@ def cached_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFr
             set_at = set_at if hit else now
             rows.append((key[0], ts, hit))
         state.update((set_at,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        mark = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(int((set_at + ttl_seconds) * 1000), mark + 1))
         yield pd.DataFrame(rows, columns=["key", "ts", "hit"])
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, hit boolean", "set_at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, hit boolean", "set_at double", "append", GroupStateTimeout.EventTimeTimeout)
