@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +22,50 @@ def top_by(rows: DataFrame, group: str, order: list[Column], n: int, name: str)
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(name) <= n)
 
 
-def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
+def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: list, n: int):
+    """For blocks of chunks (chunk_id, norm2, cells): each query's n best of the block and what ties with the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cells")
+            at, flat = cells.offsets.to_numpy(), cells.values
+            x = np.zeros((batch.num_rows, queries.shape[1]))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            x[row, flat.field("bucket").to_numpy()[at[0] : at[-1]]] = flat.field("tf").to_numpy()[at[0] : at[-1]]
+            # counts are integers, so products are exact; scores are rounded as the join's are
+            score = np.floor((queries @ x.T) / np.sqrt(lengths[:, None] * batch.column("norm2").to_numpy().astype(float)) * 1e9 + 0.5) / 1e9
+            if batch.num_rows > n:
+                score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = 0
+            q, c = np.nonzero(score > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50, block_queries: int = 4096) -> DataFrame:
     """(query_id, chunk_id, score, dense_rank) by cosine of hashed word counts; chunks that share no bucket with a query are not ranked.
 
-    A join on buckets in place of all pairs; products are integers, so scores don't depend on the order of summation.
+    Up to block_queries queries travel with the code as a matrix and meet all chunks in blocks, each of which passes on its best. More queries are
+    joined on buckets instead. Products are integers, so scores don't depend on the order of summation.
     """
-    q = embedding.sparse_vectors(queries, "query_id").select("query_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm2").alias("q_norm2"))
+    n = min(n, DENSE_CAP)
+    sparse = embedding.sparse_vectors(queries, "query_id")
     c = embedding.sparse_vectors(chunks, "chunk_id")
-    dots = c.join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("d"), F.first("norm2").alias("n"), F.first("q_norm2").alias("qn"))
-    scored = dots.select("query_id", "chunk_id", F.round(F.col("d") / F.sqrt(F.col("n").cast("double") * F.col("qn")), 9).alias("score"))
-    return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], min(n, DENSE_CAP), "dense_rank")
+    rows = sparse.groupBy("query_id").agg(F.collect_list(F.struct("bucket", "tf")).alias("cells"), F.first("norm2").alias("norm2")).limit(block_queries + 1).collect()
+    if len(rows) > block_queries:
+        q = sparse.select("query_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm2").alias("q_norm2"))
+        dots = c.join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("d"), F.first("norm2").alias("n"), F.first("q_norm2").alias("qn"))
+        scored = dots.select("query_id", "chunk_id", (F.floor(F.col("d") / F.sqrt(F.col("n").cast("double") * F.col("qn")) * 1e9 + 0.5) / 1e9).alias("score"))
+    else:
+        matrix = np.zeros((len(rows), embedding.DIM))
+        for i, r in enumerate(rows):
+            matrix[i, [x["bucket"] for x in r["cells"]]] = [x["tf"] for x in r["cells"]]
+        kind = queries.schema["query_id"].dataType.simpleString()
+        blocks = c.groupBy("chunk_id").agg(F.first("norm2").alias("norm2"), F.collect_list(F.struct("bucket", "tf")).alias("cells"))
+        scored = blocks.select("chunk_id", "norm2", "cells").mapInArrow(_best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), [r["query_id"] for r in rows], n), f"query_id {kind}, chunk_id string, score double")
+    return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "dense_rank")
 
 
 def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column | None = None) -> DataFrame:
