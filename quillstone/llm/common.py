@@ -34,7 +34,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """few: state of a round, which an eighth of the shuffle's tasks write, one partition after another, so that rounds don't leave many small files."""
+        if few:
+            df = df.coalesce(max(8, shuffle_partitions(self.spark) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -108,7 +108,7 @@ def connected_components(edges: DataFrame, work: Scratch, name: str) -> DataFram
 
     Each round links nodes to smaller ones only, so no node gathers a list: every step is a minimum over neighbours, combined on the map side.
     """
-    current = work.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
+    current = work.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0", few=True)
     mark, round_ = None, 0
     while True:
         round_ += 1
@@ -118,7 +118,7 @@ def connected_components(edges: DataFrame, work: Scratch, name: str) -> DataFram
         large = large.unionByName(least.select("a", F.col("m").alias("b")).filter("a <> b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        after = work.table(small, f"{name}-{round_}")
+        after = work.table(small, f"{name}-{round_}", few=True)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         work.drop(f"{name}-{round_ - 1}")
         current = after
@@ -187,7 +187,7 @@ class _Components:
         ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).unionByName(self.labels.select("class")).distinct()
         before = self.of(ends, "class", "component")
         after = before.join(joined.withColumnRenamed("node", "component"), "component", "left").select("class", F.coalesce("after", "component").alias("component"))
-        self.labels = self.work.table(after, f"labels-{self.step}")
+        self.labels = self.work.table(after, f"labels-{self.step}", few=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -218,22 +218,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         sides = pairs.join(signs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a")), "a").join(signs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b")), "b")
         sides = sides.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        likely = work.table(sides.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}")
+        likely = work.table(sides.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}", few=True)
         # each class with its most similar hub first; then all pairs that these links have not connected
         best = likely.groupBy("b").agg(F.max_by(F.struct("a", "n_a", "n_b"), F.struct("estimate", "a")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
-        components.add(work.table(_verified(best, sets, percent), f"links-{round_}-best"))
-        rest = work.table(components.across(likely.join(best, ["a", "b"], "left_anti")), f"rest-{round_}")
+        components.add(work.table(_verified(best, sets, percent), f"links-{round_}-best", few=True))
+        rest = work.table(components.across(likely.join(best, ["a", "b"], "left_anti")), f"rest-{round_}", few=True)
         if not rest.isEmpty():
-            components.add(work.table(_verified(rest, sets, percent), f"links-{round_}-rest"))
+            components.add(work.table(_verified(rest, sets, percent), f"links-{round_}-rest", few=True))
         # what is left: members of buckets that still hold several components, without the hubs that have met everyone
         if round_ == 0:
             member = components.of(buckets.filter("class <> hub").select("band", "key", "class"), "class", "component")
-            left = work.table(_mixed(member).select("class").distinct(), "left")
-            common = work.table(_common(sets.join(left, "class", "left_semi")), "common")
+            left = work.table(_mixed(member).select("class").distinct(), "left", few=True)
+            common = work.table(_common(sets.join(left, "class", "left_semi")), "common", few=True)
             member = member.join(common, "class")
         else:
             member = components.of(buckets.filter("not spent").select("band", "key", "class", "n", "common"), "class", "component")
-        member = work.table(_mixed(_linkable(_mixed(member), percent)), f"mixed-{round_}")
+        member = work.table(_mixed(_linkable(_mixed(member), percent)), f"mixed-{round_}", few=True)
         if member.isEmpty():
             break
         # members of the rarer components are the next hubs: they have the fewest to be met by
@@ -244,17 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
             chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
-        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), "place"), f"hubs-{round_}")
+        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), "place"), f"hubs-{round_}", few=True)
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}")
+        tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}", few=True)
         round_ += 1
         own = chosen.select("band", "key", F.col("hub").alias("class"), F.col("place").alias("own_place"))
         left = member.join(own, ["band", "key", "class"], "left").withColumn("spent", F.col("own_place").isNotNull())
-        buckets = work.table(left.select("band", "key", "class", "component", "n", "common", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}")
+        buckets = work.table(left.select("band", "key", "class", "component", "n", "common", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}", few=True)
         may = F.least("common", "hub_common") * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
         met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").filter(may).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
         met = met.join(tested, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
-        pairs = work.table(met, f"pairs-{round_}")
+        pairs = work.table(met, f"pairs-{round_}", few=True)
         work.release()
     by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(components.degree(), "class", "left")
     by_class = by_class.select("digest", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
