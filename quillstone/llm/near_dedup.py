@@ -35,6 +35,8 @@ HUBS = 32
 DOUBT = 12.0
 #: Rounds with one hub a bucket, the member with most links, before those with up to HUBS.
 CENTRAL_ROUNDS = 2
+#: Hash groups in which shared shingles are bounded.
+GROUPS = 128
 #: Pairs that share one copy of a hub's set in the verifying join.
 PAIRS_PER_COPY = 500
 
@@ -144,13 +146,17 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 
 def _common(sets: DataFrame) -> DataFrame:
-    """(class, n, common): how many of a class's shingles some other of these classes has too, which bounds what it can share with any of them.
+    """(class, n, common, profile): how many of a class's shingles some other of these classes has too, in all and by hash group.
 
-    Shingles are counted by 32 bits of their hashes: where two meet by chance, the bound is only looser.
+    Two classes share at most the smaller of their counts in each group. Shingles are counted by 32 bits of their hashes: where two meet by chance,
+    the bound is only looser.
     """
     rows = sets.select("class", F.explode("elements").alias("e")).select("class", F.col("e").bitwiseAND(0xFFFFFFFF).alias("e"))
-    alone = rows.groupBy("e").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
-    return sets.select("class", F.size("elements").cast("long").alias("n")).join(alone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    group = F.pmod(F.col("e"), F.lit(GROUPS)).cast("int").alias("g")
+    alone = rows.groupBy("e").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    counts = rows.select("class", group, F.lit(1).alias("d")).unionByName(alone.select("class", group, F.lit(-1).alias("d"))).groupBy("class", "g").agg(F.sum("d").alias("c"), F.count_if(F.col("d") > 0).alias("n"))
+    per = counts.groupBy("class").agg(F.sum("n").alias("n"), F.sum("c").alias("common"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("m"))
+    return per.select("class", "n", "common", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("int")).alias("profile"))
 
 
 def _linkable(member: DataFrame, percent: int) -> DataFrame:
@@ -188,6 +194,7 @@ class _Components:
         before = self.of(ends, "class", "component")
         after = before.join(joined.withColumnRenamed("node", "component"), "component", "left").select("class", F.coalesce("after", "component").alias("component"))
         self.labels = self.work.table(after, f"labels-{self.step}", few=True)
+        self.work.drop(f"labels-{self.step - 1}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -232,29 +239,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             common = work.table(_common(sets.join(left, "class", "left_semi")), "common", few=True)
             member = member.join(common, "class")
         else:
-            member = components.of(buckets.filter("not spent").select("band", "key", "class", "n", "common"), "class", "component")
+            member = components.of(buckets.filter("not spent").select("band", "key", "class", "n", "common", "profile"), "class", "component")
         member = work.table(_mixed(_linkable(_mixed(member), percent)), f"mixed-{round_}", few=True)
         if member.isEmpty():
             break
         # members of the rarer components are the next hubs: they have the fewest to be met by
         sizes = member.groupBy("band", "key", "component").agg(F.count("*").alias("in_component"))
         if round_ < CENTRAL_ROUNDS:
-            centre = member.join(components.degree(), "class", "left").groupBy("band", "key").agg(F.max_by(F.struct("class", "component", "n", "common"), F.struct(F.coalesce("n_links", F.lit(0)), "class")).alias("m"))
-            chosen = centre.select("band", "key", "m.class", "m.component", "m.n", "m.common", F.lit(1).alias("place"))
+            centre = member.join(components.degree(), "class", "left").groupBy("band", "key").agg(F.max_by(F.struct("class", "component", "n", "common", "profile"), F.struct(F.coalesce("n_links", F.lit(0)), "class")).alias("m"))
+            chosen = centre.select("band", "key", "m.class", "m.component", "m.n", "m.common", "m.profile", F.lit(1).alias("place"))
         else:
             place = F.row_number().over(Window.partitionBy("band", "key").orderBy("in_component", "component", "class"))
             chosen = member.join(sizes, ["band", "key", "component"]).withColumn("place", place).filter(F.col("place") <= HUBS)
-        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), "place"), f"hubs-{round_}", few=True)
+        chosen = work.table(chosen.select("band", "key", F.col("class").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("profile").alias("hub_profile"), "place"), f"hubs-{round_}", few=True)
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = work.table(done if tested is None else tested.unionByName(done), f"tested-{round_}", few=True)
         round_ += 1
         own = chosen.select("band", "key", F.col("hub").alias("class"), F.col("place").alias("own_place"))
         left = member.join(own, ["band", "key", "class"], "left").withColumn("spent", F.col("own_place").isNotNull())
-        buckets = work.table(left.select("band", "key", "class", "component", "n", "common", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}", few=True)
-        may = F.least("common", "hub_common") * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent
+        buckets = work.table(left.select("band", "key", "class", "component", "n", "common", "profile", "spent", F.coalesce("own_place", F.lit(HUBS + 1)).alias("own_place")), f"buckets-{round_}", few=True)
+        shared = F.aggregate(F.zip_with("profile", "hub_profile", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+        needed = (F.col("n") + F.col("hub_n")) * percent
+        may = F.when(F.least("common", "hub_common") * (100 + percent) >= needed, shared * (100 + percent) >= needed).otherwise(F.lit(False))
         met = buckets.join(chosen, ["band", "key"]).filter("component <> hub_component and own_place > place").filter(may).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
         met = met.join(tested, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
         pairs = work.table(met, f"pairs-{round_}", few=True)
+        for name in ("likely", "rest", "mixed", "hubs", "buckets"):
+            work.drop(f"{name}-{round_ - 1}")
+        if round_ > 1:
+            work.drop(f"tested-{round_ - 2}")
         work.release()
     by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(components.degree(), "class", "left")
     by_class = by_class.select("digest", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
