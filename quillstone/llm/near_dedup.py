@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sides = pairs.join(signs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a")), "a").join(signs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b")), "b")
         sides = sides.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         likely = work.table(sides.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}", few=True)
+        work.release()
         # each class with its most similar hub first; then all pairs that these links have not connected
         best = likely.groupBy("b").agg(F.max_by(F.struct("a", "n_a", "n_b"), F.struct("estimate", "a")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
         components.add(work.table(_verified(best, sets, percent), f"links-{round_}-best", few=True))
@@ -237,10 +238,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             member = components.of(buckets.filter("class <> hub").select("band", "key", "class"), "class", "component")
             left = work.table(_mixed(member).select("class").distinct(), "left", few=True)
             common = work.table(_common(sets.join(left, "class", "left_semi")), "common", few=True)
-            member = member.join(common, "class")
+            # neither sizes nor bounds change later, so this filter is needed once
+            member = _linkable(_mixed(member.join(common, "class")), percent)
         else:
             member = components.of(buckets.filter("not spent").select("band", "key", "class", "n", "common", "profile"), "class", "component")
-        member = work.table(_mixed(_linkable(_mixed(member), percent)), f"mixed-{round_}", few=True)
+        member = work.table(_mixed(member), f"mixed-{round_}", few=True)
         if member.isEmpty():
             break
         # members of the rarer components are the next hubs: they have the fewest to be met by
