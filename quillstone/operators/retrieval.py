@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from . import embedding, index
@@ -22,7 +23,11 @@ def top_by(rows: DataFrame, group: str, order: list[Column], n: int, name: str)
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(name) <= n)
 
 
-def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: list, n: int):
+def _ids(rows: list, queries: DataFrame) -> pa.Array:
+    return pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+
+
+def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: pa.Array, n: int):
     """For blocks of chunks (chunk_id, norm2, cells): each query's n best of the block and what ties with the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +44,7 @@ def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: list, n: int):
             if batch.num_rows > n:
                 score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = 0
             q, c = np.nonzero(score > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -64,15 +69,44 @@ def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50, block_queries:
             matrix[i, [x["bucket"] for x in r["cells"]]] = [x["tf"] for x in r["cells"]]
         kind = queries.schema["query_id"].dataType.simpleString()
         blocks = c.groupBy("chunk_id").agg(F.first("norm2").alias("norm2"), F.collect_list(F.struct("bucket", "tf")).alias("cells"))
-        scored = blocks.select("chunk_id", "norm2", "cells").mapInArrow(_best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), [r["query_id"] for r in rows], n), f"query_id {kind}, chunk_id string, score double")
+        scored = blocks.select("chunk_id", "norm2", "cells").mapInArrow(_best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), _ids(rows, queries), n), f"query_id {kind}, chunk_id string, score double")
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "dense_rank")
 
 
-def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column | None = None) -> DataFrame:
+def _sum_of_block(first: np.ndarray, asked: np.ndarray, times: np.ndarray, ids: pa.Array, n: int):
+    """For blocks of chunks (chunk_id, hits of (term, weight)): each query's n best of the block and ties. Term t is asked by asked[first[t]:first[t + 1]].
+
+    Parts are whole multiples of 1e-10, which a double adds up exactly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                hits = batch.column("hits")
+                at = hits.offsets.to_numpy()
+                flat = hits.values.slice(at[0], at[-1] - at[0])
+                term, weight = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
+                by = first[term + 1] - first[term]
+                chunk = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(at)), by)
+                entry = np.repeat(first[term] - (np.cumsum(by) - by), by) + np.arange(by.sum())
+                part = np.floor(np.repeat(weight, by) * times[entry] * 1e10 + 0.5)
+                score = np.bincount(asked[entry] * batch.num_rows + chunk, part, len(ids) * batch.num_rows).reshape(len(ids), -1)
+                met = np.bincount(asked[entry] * batch.num_rows + chunk, minlength=len(ids) * batch.num_rows).reshape(len(ids), -1) > 0
+                score = np.where(met, np.floor(score / 1e4 + 0.5) / 1e6, -np.inf)
+                if batch.num_rows > n:
+                    met &= score >= -np.partition(-score, n - 1, 1)[:, n - 1 : n]
+                q, c = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column | None = None, block_queries: int = 4096) -> DataFrame:
     """(query_id, chunk_id, score, bm25_rank). Only chunks with a query word are ranked; repeated query words count as often as they occur.
 
     Inverse document frequencies below 0 are set to a quarter of the mean over the scope's vocabulary. Queries have a column `scope` if one is given:
-    statistics are the scope's own.
+    statistics are the scope's own. Up to block_queries queries without a scope meet postings in blocks of chunks; others are joined with them.
     """
     posted = index.postings(chunks, scope)
     stats = index.scope_stats(posted, chunks, scope)
@@ -81,10 +115,21 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column |
     mean = raw.groupBy("scope").agg((F.sum("idf") / F.count("*") * EPSILON).alias("floor"))
     idf = raw.join(mean, "scope").select("scope", "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", (F.lit("all") if scope is None else F.col("scope").cast("string")).alias("scope"), F.explode(T.words(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times")).join(idf, ["scope", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # decimal parts add up to the same sum in any order
-    scored = posted.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part.cast("decimal(24,10)")).cast("double"), 6).alias("score"))
+    asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("terms")).limit(block_queries + 1).collect() if scope is None else []
+    if scope is None and len(rows) <= block_queries:
+        number: dict[str, int] = {}
+        entries = sorted((number.setdefault(t["term"], len(number)), q, t["times"]) for q, r in enumerate(rows) for t in r["terms"])
+        first = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(number) + 1))
+        terms = queries.sparkSession.createDataFrame(list(number.items()), "term string, term_no int")
+        hits = posted.join(terms.join(idf, "term"), ["scope", "term"]).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("term_no").alias("term"), weight.alias("weight"))).alias("hits"))
+        kind = queries.schema["query_id"].dataType.simpleString()
+        scored = hits.mapInArrow(_sum_of_block(first, np.array([e[1] for e in entries], np.int64), np.array([float(e[2]) for e in entries]), _ids(rows, queries), n), f"query_id {kind}, chunk_id string, score double")
+    else:
+        part = (F.col("times") * weight).cast("decimal(24,10)")  # decimal parts add up to the same sum in any order
+        met = posted.join(asked.join(idf, ["scope", "term"]), ["scope", "term"])
+        scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part).cast("double"), 6).alias("score"))
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "bm25_rank")
 
 
