@@ -168,3 +168,13 @@ def test_vectors(spark):
     few = table.filter("vec_id < 3")
     assert nn_descent.search(nn_descent.build(few), few.filter("vec_id = 0"), 5).count() == 2
     assert nn_descent.search(nn_descent.build(table.limit(0)), table, 5).count() == 0
+
+
+def test_vectors_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(64) + 0.005 * rng.standard_normal((200, 64)), rng.standard_normal((200, 64))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = nn_descent.search(nn_descent.build(table), table.filter("vec_id % 5 = 0 and vec_id < 200"), 5).toPandas()
+    exact = nn_descent.brute_force(x.astype(np.float64), np.arange(400), np.arange(0, 200, 5))
+    got = {q: g.sort_values("rank").vec_id.tolist() for q, g in found.groupby("query_id")}
+    assert np.mean([len(set(got[q]) & set(exact[q])) / 5 for q in exact]) >= 0.95
