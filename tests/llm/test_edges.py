@@ -178,3 +178,17 @@ def test_vectors_near_copies(spark):
     exact = nn_descent.brute_force(x.astype(np.float64), np.arange(400), np.arange(0, 200, 5))
     got = {q: g.sort_values("rank").vec_id.tolist() for q, g in found.groupby("query_id")}
     assert np.mean([len(set(got[q]) & set(exact[q])) / 5 for q in exact]) >= 0.95
+
+
+def test_vectors_in_clusters_without_starting_points(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "ENTRIES", 4)  # as with many more clusters than starting points
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.standard_normal((30, 64)), 40, 0) + 0.2 * rng.standard_normal((1200, 64))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    index = nn_descent.build(table)
+    moved = spark.createDataFrame([(i, (x[i] + 0.01 * rng.standard_normal(64)).tolist()) for i in range(1, 1200, 40)], "vec_id bigint, embedding array<float>")
+    exact = nn_descent.brute_force(x.astype(np.float64), np.arange(1200), np.arange(1, 1200, 20))
+    for queries, asked in ((table.filter("vec_id % 20 = 1"), 60), (moved, 30)):
+        found = nn_descent.search(index, queries, 5).toPandas()
+        got = {q: set(g.vec_id) for q, g in found.groupby("query_id")}
+        assert len(got) == asked and np.mean([len(got[q] & set(exact[q])) / 5 for q in got]) >= 0.85
