@@ -48,6 +48,15 @@ def bm25_scoped(spark, d):
     return retrieval.bm25_top(asked, rows, 10, F.col("doc_id"))
 
 
+@query("r03_bm25_scoped_whole")
+def bm25_scoped_whole(spark, d):
+    """Every question asked of every source, over all chunks; query_id is the question's id, # and the source."""
+    sources = read(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    rows = base.chunks(spark, d).join(sources, "doc_id")
+    asked = base.questions(spark, d).join(sources.select(F.col("source").alias("scope")).distinct(), F.lit(True))
+    return retrieval.bm25_top(asked.withColumn("query_id", F.concat_ws("#", "query_id", "scope")), rows, 10, F.col("source"))
+
+
 @query("r04_postings", f"WITH {CHUNKS}, w AS (SELECT chunk_id, {base.words_sql('text')} AS w FROM chunks) SELECT 'all' AS scope, chunk_id, term, len(w) AS dl, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM w) GROUP BY ALL")
 def postings(spark, d):
     return index.postings(base.chunks(spark, d))
