@@ -25,3 +25,20 @@ def test_scoped_search_asks_every_source(spark):
     of = found[found.query_id.str.endswith(f"#{one}")]
     assert sorted(zip(of.query_id, of.chunk_id, of.bm25_rank)) == sorted(zip(alone.query_id.astype(str) + f"#{one}", alone.chunk_id, alone.bm25_rank))
     assert set(found.query_id.str.split("#").str[1]) == {r["source"] or "" for r in docs.distinct().collect()}
+
+
+def test_sources_take_all_rows(spark):
+    read = lambda t: base.read(spark, str(SF), t)
+    values = {r["event_id"]: r["value"] for r in read("events").collect()}
+    assert {r["event_id"]: r["distance"] for r in run(spark, "s13_distance_whole").collect()} == {k: 1 - v for k, v in values.items()}
+    found = run(spark, "s11_fan_out_whole")
+    assert {r["query_id"] for r in found.select("query_id").distinct().collect()} == {r["vec_id"] for r in read("embeddings").filter("vec_id % 50 = 0").collect()}
+    assert sorted(found.filter("query_id < 5").collect()) == sorted(run(spark, "s11_fan_out").filter("query_id % 50 = 0").collect())
+    known = {r["conv_id"] for r in read("conversations").select("conv_id").distinct().collect()}
+    assert {r["conv_id"] for r in run(spark, "b04_blank_sessions_whole").collect()} == set(range(max(known) + 1)) - known
+
+
+def test_stream_takes_all_documents(spark):
+    rows = base.chunks(spark, str(SF))
+    want = rows.agg(F.count("*"), F.countDistinct("doc_id"), F.sum("token_count")).first()
+    assert tuple(run(spark, "s10_ingest_stream_whole").select("chunks", "documents", "tokens").first()) == tuple(want)
