@@ -23,8 +23,16 @@ _EXPAND = f"""WITH RECURSIVE {CHUNKS}, hits AS (SELECT chunk_id AS key, doc_id,
 
 @query("g01_expand", _EXPAND)
 def expand(spark, d):
-    rows = base.chunks(spark, d)
-    hits = rows.filter("chunk_index % 7 = 0").select(F.col("chunk_id").alias("key"), "chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "text")
+    return _expand(base.chunks(spark, d), "chunk_index % 7 = 0")
+
+
+@query("g01_expand_whole")
+def expand_whole(spark, d):
+    return _expand(base.chunks(spark, d), "true")
+
+
+def _expand(rows, which):
+    hits = rows.filter(which).select(F.col("chunk_id").alias("key"), "chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "text")
     return context.expand(hits, rows, 1).select("key", F.md5("merged_text").alias("digest"), "chunk_indices", "range_start", "range_end")
 
 
@@ -300,7 +308,7 @@ def trajectory(spark, d):
 @query("l01_agent_loop")
 def agent_loop(spark, d):
     rows = base.chunks(spark, d)
-    questions = [(str(r["query_id"]), r["text"]) for r in base.questions(spark, d).orderBy("query_id").limit(5).collect()]  # an interactive loop serves a few open questions
+    questions = [(str(r["query_id"]), r["text"]) for r in base.questions(spark, d).orderBy("query_id").collect()]  # the benchmark; the loop works in batches
 
     def planner(q, text, history):
         return '{"tool": "finish"}' if len(history) > 1 else '{"tool": "retrieve_docs", "args": {"query": "%s"}}' % " ".join(text.split()[len(history) * 4 : len(history) * 4 + 8]).replace('"', "")

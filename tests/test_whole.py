@@ -42,3 +42,10 @@ def test_stream_takes_all_documents(spark):
     rows = base.chunks(spark, str(SF))
     want = rows.agg(F.count("*"), F.countDistinct("doc_id"), F.sum("token_count")).first()
     assert tuple(run(spark, "s10_ingest_stream_whole").select("chunks", "documents", "tokens").first()) == tuple(want)
+
+
+def test_answers_take_all_chunks_and_questions(spark):
+    found = run(spark, "g01_expand_whole").collect()
+    assert sorted(r["key"] for r in found) == sorted(r["chunk_id"] for r in base.chunks(spark, str(SF)).collect())
+    assert {repr(r) for r in run(spark, "g01_expand").collect()} < {repr(r) for r in found}
+    assert run(spark, "l01_agent_loop").count() == base.questions(spark, str(SF)).count() > 5
