@@ -73,9 +73,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
+#: Letters of names whose words are remembered.
+MEMO_LETTERS = 2_000_000
+
+
 class Judge:
     def __init__(self, words: dict[str, float], rules=RULES, prior: float = PRIOR_BLOCK):
-        self.words, self.memo = words, {}
+        self.words, self.memo, self.held = words, {}, 0
         self.rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))
         counts = {k: Counter(t for url in urls for t in self.tokens(*split_url(f"http://{url}"))) for k, urls in (("block", BLOCKED), ("allow", ALLOWED))}
         known = counts["block"].keys() | counts["allow"].keys()
@@ -88,9 +92,11 @@ class Judge:
         out = []
         for name in re.findall("[a-z]+", ".".join(host.split(".")[:-1]) + " " + path.lower()):
             if name not in self.memo:
-                if len(self.memo) > 100_000:
+                if self.held > MEMO_LETTERS:
                     self.memo.clear()
-                self.memo[name] = segment(name, self.words) if len(name) <= 200 else [name]
+                    self.held = 0
+                self.memo[name] = segment(name, self.words)
+                self.held += len(name)
             out += self.memo[name]
         return out
 

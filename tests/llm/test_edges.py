@@ -192,3 +192,8 @@ def test_vectors_in_clusters_without_starting_points(spark, monkeypatch):
         found = nn_descent.search(index, queries, 5).toPandas()
         got = {q: set(g.vec_id) for q, g in found.groupby("query_id")}
         assert len(got) == asked and np.mean([len(got[q] & set(exact[q])) / 5 for q in got]) >= 0.85
+
+
+def test_long_name_is_segmented():
+    judge = url_filter.Judge(url_filter.lexicon(default_path("byte_bpe_50k.json")))
+    assert judge.tokens(f"{'cheapflights' * 20}.example", "") == ["cheap", "flights"] * 20
