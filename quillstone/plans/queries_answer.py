@@ -278,8 +278,9 @@ def parse_actions(spark, d):
     return fixture(spark, "id int, tool string, n_args int", [(i, a and a["tool"], len(a["args"]) if a else None) for i, a in enumerate(map(agent.parse_action, replies))])
 
 
-def _multi(spark, d):
-    asked = base.questions(spark, d).withColumn("text", F.concat(F.substring("text", 1, 60), F.lit(" and "), F.substring("text", 61, 60)))
+def _multi(spark, d, asked=None):
+    if asked is None:
+        asked = base.questions(spark, d).withColumn("text", F.concat(F.substring("text", 1, 60), F.lit(" and "), F.substring("text", 61, 60)))
     rows = base.chunks(spark, d)
     gathered = agent.run_offline(asked, lambda q: retrieval.bm25_top(q, rows, 5).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank")))
     return asked, gathered
@@ -299,6 +300,17 @@ def offline_agent(spark, d):
     return _multi(spark, d)[1]
 
 
+@query("l06_offline_agent_whole")
+def offline_agent_whole(spark, d):
+    return _multi(spark, d, base.questions(spark, d))[1]
+
+
+@query("l07_trajectory_whole")
+def trajectory_whole(spark, d):
+    asked, gathered = _multi(spark, d, base.questions(spark, d))
+    return agent.trajectory_stats(agent.trajectory(gathered, agent.offline_plan(asked), asked))
+
+
 @query("l07_trajectory", _MULTI + ", s AS (SELECT qid, count(*) AS steps FROM subs GROUP BY 1), c AS (SELECT qid, count(*) AS chunks FROM kept GROUP BY 1), t AS (SELECT qid, coalesce(steps, 0) AS steps, coalesce(chunks, 0) AS chunks, chunks IS NULL AS fb FROM asked0 LEFT JOIN s USING (qid) LEFT JOIN c USING (qid)) SELECT round(sum(steps) / count(*), 3) AS avg_steps, round(sum(steps) / count(*), 3) AS avg_tool_calls, round(sum(chunks) / count(*), 3) AS avg_chunks_gathered, count(*) FILTER (steps > 1) AS multi_hop_queries, count(*) FILTER (fb) AS fallback_queries, count(*) FILTER (steps >= 5) AS hit_max_steps FROM t")
 def trajectory(spark, d):
     asked, gathered = _multi(spark, d)

@@ -49,3 +49,22 @@ def test_answers_take_all_chunks_and_questions(spark):
     assert sorted(r["key"] for r in found) == sorted(r["chunk_id"] for r in base.chunks(spark, str(SF)).collect())
     assert {repr(r) for r in run(spark, "g01_expand").collect()} < {repr(r) for r in found}
     assert run(spark, "l01_agent_loop").count() == base.questions(spark, str(SF)).count() > 5
+
+
+def test_truth_takes_whole_texts(spark):
+    from quillstone.plans import queries_reports as reports
+
+    texts = {r["query_id"]: r["text"] for r in base.questions(spark, str(SF)).collect()}
+    parts: dict[int, list] = {}
+    for r in reports._whole_snippets(spark, str(SF)).orderBy("query_id", "snippet_id").collect():
+        parts.setdefault(r["query_id"], []).append(r["text"])
+    assert {q: "".join(p) for q, p in parts.items()} == texts and max(map(len, texts.values())) > 120 >= max(len(x) for p in parts.values() for x in p)
+    found = run(spark, "v01_ground_truth_whole").collect()
+    bodies = {r["chunk_id"]: " ".join(r["text"].split()) for r in base.chunks(spark, str(SF)).collect()}
+    want = {(q, i, c) for q, p in parts.items() for i, x in enumerate(p) for c, b in bodies.items() if " ".join(x.split()) in b}
+    assert {tuple(r) for r in found} == want and any(i > 0 for _, i, _ in want)
+    left = {(q, i) for q, p in parts.items() for i in range(len(p))} - {(q, i) for q, i, _ in want}
+    assert {tuple(r) for r in run(spark, "v01_unmatched_whole").collect()} == left
+    assert {r["query_id"] for r in run(spark, "v10_agent_gain_whole").collect()} == {q for q, _, _ in want}
+    assert run(spark, "v10_budget_sweep_whole").count() == 4 and run(spark, "l07_trajectory_whole").count() == 1
+    assert run(spark, "l06_offline_agent_whole").count() > 0 and run(spark, "v02_retrieval_metrics_whole").count() == len(texts)
