@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,6 +81,36 @@ def bucket_of(keys: list[Column], splitters: list[tuple], types: list[str]) -> C
     return F.when(above == 0, 0).otherwise((above - 1) * width + F.size(F.filter(F.element_at(rest, F.greatest(above, F.lit(1))), lambda s: s <= key))).cast("int")
 
 
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between the tasks of a stage: make()'s value. Workers are reused by later stages, so there is room for one key only."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, without what an earlier stage left in this worker; at the end of a task freed memory goes back to the system, for the executor to use."""
+
+    def frugally(batches):
+        _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return frugally
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about max_bytes of the string column; one longer text is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -3,8 +3,9 @@
 The kinds of file that are recognised cut a text into pre-tokens before merging. A chunk here is a run of bytes that no pre-token leaves: it begins
 at white space (a last single space belongs to what follows), after other white space, or at ASCII punctuation after an ASCII letter. So a text's
 ids are those of its chunks, put together. The library encodes each chunk that is new; a table of fixed size, addressed by the chunk's hash, remembers
-it, and all lookups of a batch are array operations. Texts with white space outside ASCII, and all texts under other kinds of file, are given to
-the library whole. The results equal the library's on the whole text (tests/llm hold that).
+it, and all lookups of a batch are array operations. Texts with white space outside ASCII, texts that hold the name of an added token, such as an
+end mark, and all texts under other kinds of file, are given to the library whole. The results equal those of the library as it is loaded from the
+file (tests/llm hold that).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
 from .textbytes import SPACE, span_hashes, utf8
 
 #: Slots of the table in each Python worker, of 22 bytes; with FILL of them taken it starts anew.
@@ -23,7 +25,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(128) if not (chr(b).isalnum() or SPACE[b])]] = True
-_encoders: dict[str, Encoder] = {}
 
 
 def default_path(name: str) -> str:
@@ -61,20 +62,47 @@ def _wide_space(at: np.ndarray, data: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _naming(at: np.ndarray, data: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Rows that hold one of the names."""
+    rows, raw = np.zeros(len(at) - 1, bool), data.tobytes()
+    for name in names:
+        found = raw.find(name)
+        while found >= 0:
+            row = int(np.searchsorted(at, found, "right")) - 1
+            rows[row] = True  # a name that lies across two texts marks the first one for nothing
+            found = raw.find(name, int(at[row + 1]))
+    return rows
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The letters in which byte-level vocabularies write the 256 bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         bytes_only = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and norm is None
         spaces_dropped = before.get("type") == "Sequence" and [p["type"] for p in before["pretokenizers"]] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed"
-        self.known = bytes_only or spaces_dropped
+        added = [t for t in spec.get("added_tokens", []) if t["content"]]
+        self.names = [t["content"].encode() for t in added]
+        self.known = (bytes_only or spaces_dropped) and not any(t.get("normalized") for t in added)
+        # bytes that each id stands for, where every id stands for its own bytes
+        self.widths = None
+        if self.known and bytes_only:
+            alphabet, vocab = _byte_alphabet(), self.tokenizer.get_vocab()
+            if all(c in alphabet for p in vocab for c in p):
+                self.widths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+                self.widths[list(vocab.values())] = [len(p) for p in vocab]
         self._clear()
 
     def _clear(self) -> None:
@@ -97,15 +125,44 @@ class Encoder:
             rest, slot = rest[go], (slot[go] + 1) & (SLOTS - 1)
         return out
 
-    def _learn(self, key: np.ndarray, head: np.ndarray, chunks: list[bytes]) -> None:
-        """Puts chunks that are not there, each once, into the table."""
-        ids, cuts = [], []
+    def _each(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, one after another, and how many each has."""
+        ids, cuts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for i in range(0, len(chunks), 4096):
             part = [c.decode() for c in chunks[i : i + 4096]]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(found.ids, self.dtype))
             cuts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
-        ids, cuts = np.concatenate(ids), np.concatenate(cuts)
+        return np.concatenate(ids), np.concatenate(cuts)
+
+    def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, for chunks that are a space and then bytes without white space: put together they are a text with the same pre-tokens.
+
+        The library need not make offsets of it, since ids tell their own length.
+        """
+        ids, cuts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            (found,) = self._whole([b"".join(part).decode()])
+            ends = np.concatenate([[0], np.cumsum(self.widths[found])])
+            at = np.searchsorted(ends, np.cumsum([len(c) for c in part]))
+            if ends[-1] != sum(map(len, part)) or at[-1] != len(found) or (ends[at] != np.cumsum([len(c) for c in part])).any():
+                raise AssertionError("ids of joined chunks don't part where the chunks do")
+            ids.append(found)
+            cuts.append(np.diff(np.concatenate([[0], at])))
+        return np.concatenate(ids), np.concatenate(cuts)
+
+    def _learn(self, key: np.ndarray, head: np.ndarray, chunks: list[bytes]) -> None:
+        """Puts chunks that are not there, each once, into the table."""
+        if self.widths is not None:
+            second = (head >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64)
+            plain = ((head & np.uint64(0xFF)) == 0x20) & (second != 0) & ~SPACE[second]
+            order = np.argsort(~plain, kind="stable")
+            key, head, chunks, n = key[order], head[order], [chunks[i] for i in order.tolist()], int(plain.sum())
+            (ids, cuts), (more_ids, more_cuts) = self._joined(chunks[:n]), self._each(chunks[n:])
+            ids, cuts = np.concatenate([ids, more_ids]), np.concatenate([cuts, more_cuts])
+        else:
+            ids, cuts = self._each(chunks)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -124,7 +181,7 @@ class Encoder:
         """All ids of a string column, one text after another, and each text's first (rows + 1 values). Null counts as empty."""
         at, data = utf8(column)
         rows = len(at) - 1
-        alone = _wide_space(at, data) if self.known else at[1:] > at[:-1]
+        alone = _wide_space(at, data) | _naming(at, data, self.names) if self.known else at[1:] > at[:-1]
         starts = chunk_starts(at, data)
         row = np.searchsorted(at, starts, "right") - 1
         if alone.any():
@@ -172,7 +229,5 @@ def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarra
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for a file in a Python worker, for as long as no stage needs another."""
+    return kept(("encoder", path), lambda: Encoder(path))
