@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .common import Scratch, ship, slices
+from .common import Scratch, frugal, ship, slices
 from .textbytes import LOWER, shingles, span_hashes, utf8, words
 
 #: Bands and registers in each; at similarity s a pair shares a bucket with probability 1 - (1 - s^6)^48, over 0.9999995 from 0.8.
@@ -78,13 +78,13 @@ def _sketcher(width: int):
 
 
 def _set_maker(width: int):
-    schema = pa.schema([("class", pa.int64()), ("digest", pa.binary()), ("elements", pa.list_(pa.int64()))])
+    schema = pa.schema([("least", pa.int64()), ("digest", pa.binary()), ("elements", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 elements, begin = document_sets(*utf8(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("class").cast(pa.int64()), pa.array(_digests(elements, begin), pa.binary()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(elements.view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("least").cast(pa.int64()), pa.array(_digests(elements, begin), pa.binary()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(elements.view(np.int64)))], schema=schema)
 
     return run
 
@@ -201,23 +201,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept, n_links (verified links of its class that were needed).
 
     Texts are lower-cased (A-Z) and parted at space and 0x09 to 0x0D. Fewer words than `width` are one shingle; null, empty and blank texts have
-    none and link with nothing. A null id gets a null component and is kept. Rows repeated with the same id get the same result; of an id with
-    several texts one text is compared, and rows with another keep their own id as component.
+    none and link with nothing. A null id gets a null component and is kept. Rows are compared by their texts: those of an id with several texts may
+    be of several components, each with the links of its text.
     """
     ship(spark := docs.sparkSession)
     work = Scratch(spark, "near")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    made = work.table(base.mapInArrow(_sketcher(width), "doc_id bigint, n bigint, digest binary, registers binary, keys array<bigint>"), "sketches")
+    made = work.table(base.mapInArrow(frugal(_sketcher(width)), "doc_id bigint, n bigint, digest binary, registers binary, keys array<bigint>"), "sketches")
     usable = made.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("class"))
-    heads = work.table(usable.join(classes, ["digest", "n"]).filter("doc_id = class").select("class", "n", "digest", "registers", "keys").dropDuplicates(["class"]), "classes")
+    # a class is a set, known by its digest; it is numbered here, since one id may stand for several texts. Its smallest id is joined, not aggregated, to its sketch
+    least = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("least"))
+    heads = usable.join(least, ["digest", "n"]).filter("doc_id = least").dropDuplicates(["digest", "n"]).withColumn("class", F.monotonically_increasing_id())
+    heads = work.table(heads.select("class", "least", "n", "digest", "registers", "keys"), "classes")
     signs = heads.select("class", "n", "registers")
     buckets = heads.select("class", F.posexplode("keys").alias("band", "key"))
     # each bucket has its own hub, so a class meets as many different members as it shares buckets
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members"), F.min_by("class", F.xxhash64("band", "key", "class")).alias("hub")).filter("members > 1")
     buckets = work.table(buckets.join(shared, ["band", "key"]).select("band", "key", "class", "hub"), "buckets-0")
-    texts = base.filter("doc_id is not null").withColumnRenamed("doc_id", "class").join(buckets.select("class").distinct(), "class", "left_semi")
-    sets = texts.mapInArrow(_set_maker(width), "class bigint, digest binary, elements array<bigint>").join(heads.select("class", "digest"), ["class", "digest"], "left_semi")
+    met = heads.select("class", "least", "digest").join(buckets.select("class").distinct(), "class", "left_semi")
+    texts = base.filter("doc_id is not null").withColumnRenamed("doc_id", "least").join(met.select("least").distinct(), "least", "left_semi")
+    sets = texts.mapInArrow(frugal(_set_maker(width)), "least bigint, digest binary, elements array<bigint>").join(met, ["least", "digest"])
     sets = work.table(sets.select("class", "elements").dropDuplicates(["class"]), "sets")
     components = _Components(work, heads.select("class", F.col("class").alias("component")).limit(0))
     pairs = buckets.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         sides = pairs.join(signs.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a")), "a").join(signs.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b")), "b")
         sides = sides.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        likely = work.table(sides.mapInArrow(_likely(percent / 100), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}", few=True)
+        likely = work.table(sides.mapInArrow(frugal(_likely(percent / 100)), "a bigint, b bigint, n_a bigint, n_b bigint, estimate double"), f"likely-{round_}", few=True)
         work.release()
         # each class with its most similar hub first; then all pairs that these links have not connected
         best = likely.groupBy("b").agg(F.max_by(F.struct("a", "n_a", "n_b"), F.struct("estimate", "a")).alias("m")).select("m.a", "b", "m.n_a", "m.n_b")
@@ -271,8 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if round_ > 1:
             work.drop(f"tested-{round_ - 2}")
         work.release()
-    by_class = components.of(heads.select("digest", "n", "class"), "class", "component").join(components.degree(), "class", "left")
-    by_class = by_class.select("digest", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_class = work.table(components.of(heads.select("digest", "n", "least", "class"), "class", "component").join(components.degree(), "class", "left"), "joined")
+    named = by_class.groupBy("component").agg(F.min("least").alias("named"))
+    by_class = by_class.join(named, "component").select("digest", "n", F.col("named").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = made.select("doc_id", "n", "digest").join(by_class, ["digest", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
