@@ -10,22 +10,25 @@ Scoring is one pass over whole texts. Words of a batch are scored once each, all
 
 from __future__ import annotations
 
-import re
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, slices
+from .common import Scratch, frugal, ship, slices
 
 #: Labelled rows used for each language, about; rounds of expectation-maximisation; added to every expected count.
 ROWS_PER_LANG, ROUNDS, SMOOTHING = 1_500, 2, 0.01
 #: Probability of one letter that no piece covers, the same in every language.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Positions after which forward and backward sums are scaled.
+SCALED = 12
+#: Bytes of scores and, about, of words that a model remembers within one task.
+MEMO_BYTES = 32_000_000
+#: A run of letters, which are the categories L* of Unicode: digits in rings or in superscript are none.
+_WORD = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str) -> list[str]:
@@ -95,32 +98,36 @@ class Lattice:
         alpha[:, 0] = 1
         scale = np.zeros((m, width + 1, 1))
         for i in range(width):
-            if i and i % 12 == 0:  # keep long words away from underflow
+            if i and i % SCALED == 0:  # keep long words away from underflow
                 top = alpha[:, i].max(1, keepdims=True)
                 top[top <= 0] = 1
                 alpha[:, i : i + self.longest + 1] /= top[:, None]
                 scale[:, i:] += np.log(top)[:, None]
             for rows, k, piece in self.edges_from(codes, i):
                 alpha[rows, i + k] += alpha[rows, i] * (UNKNOWN if piece is None else p[piece])
-        last = alpha[np.arange(m), n]
-        # a word's end may lie past the last scaling that touched it
-        return alpha, scale, np.log(np.maximum(last, 1e-300)) + scale[np.arange(m), np.maximum(n - 1, 0) // 12 * 12]
+        rows = np.arange(m)
+        return alpha, scale, np.log(np.maximum(alpha[rows, n], 1e-300)) + scale[rows, n]
 
     def expected(self, codes: np.ndarray, n: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts (pieces, languages) when word i occurs weight[i, l] times in language l. For words of up to 40 letters."""
-        alpha, scale, _ = self.forward(codes, n, p)
+        """Expected counts (pieces, languages) when word i occurs weight[i, l] times in language l. Words may have any length."""
+        alpha, scale, total = self.forward(codes, n, p)
         m, width = codes.shape
-        beta = np.zeros_like(alpha)
+        beta, beta_scale = np.zeros_like(alpha), np.zeros((m, 1))
         beta[np.arange(m), n] = 1
         out = np.zeros_like(p)
-        true = alpha[:, : width + 1] * np.exp(scale)
-        total = np.maximum(true[np.arange(m), n], 1e-300)
         for i in range(width - 1, -1, -1):
+            if i % SCALED == 0:
+                top = beta[:, i + 1].max(1, keepdims=True)
+                top[top <= 0] = 1
+                beta[:, i + 1 : i + self.longest + 1] /= top[:, None]
+                beta_scale += np.log(top)
+            # what alpha[i] * beta[i + k] stands for, as a share of the word's probability
+            true = weight * np.exp(scale[:, i] + beta_scale - total)
             for rows, k, piece in self.edges_from(codes, i):
                 through = (UNKNOWN if piece is None else p[piece]) * beta[rows, i + k]
                 beta[rows, i] += through
                 if piece is not None:
-                    np.add.at(out, piece, true[rows, i] * through / total[rows] * weight[rows])
+                    np.add.at(out, piece, alpha[rows, i] * through * true[rows])
         return out
 
 
@@ -138,7 +145,11 @@ def _by_length(words: list[str], cells: int = 60_000):
 
 class Model:
     def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray):
-        self.lattice, self.languages, self.p, self.memo = Lattice(pieces), languages, p, {}
+        self.lattice, self.languages, self.p = Lattice(pieces), languages, p
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row, self.scores, self.held = {}, np.zeros((0, len(self.languages)), np.float32), 0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
@@ -150,16 +161,16 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """A language for each text and its share of the probability; 'und' with 0 for a text without letters."""
         found = [_WORD.findall((t or "").lower()) for t in texts]
-        memo = self.memo
-        new = list({w for ws in found for w in ws if w not in memo})
-        if len(memo) + len(new) > 300_000:
-            memo.clear()
+        new = list({w for ws in found for w in ws if w not in self.row})
+        if self.held > MEMO_BYTES:
+            self._forget()
             new = list({w for ws in found for w in ws})
         if new:
-            rows = self.word_scores(new)
-            memo.update(zip(new, map(tuple, rows.astype(np.float32).tolist()), strict=True))
+            self.held += sum(map(len, new)) + len(new) * (100 + 4 * len(self.languages))
+            self.row.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.word_scores(new).astype(np.float32)])
         n = np.array([len(ws) for ws in found])
-        flat = np.array([memo[w] for ws in found for w in ws], np.float32).reshape(-1, len(self.languages))
+        flat = self.scores[np.array([self.row[w] for ws in found for w in ws], np.int64)]
         total = np.zeros((len(texts), len(self.languages)))
         if len(flat):
             total[n > 0] = np.add.reduceat(flat.astype(np.float64), (np.cumsum(n) - n)[n > 0])
@@ -169,9 +180,6 @@ class Model:
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, n, strict=True)], np.where(n > 0, share[np.arange(len(best)), best], 0.0)
 
 
-_held: dict = {}
-
-
 def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
     """(pieces, languages, probabilities) learned from rows whose lang isn't null: a sample by a hash of id and text, about rows_per_lang each."""
     ship(spark := docs.sparkSession)
@@ -183,7 +191,7 @@ def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
         return pieces, [], np.zeros((len(pieces), 0))
     rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_lang / counts[k]))]), F.col("lang"))
     chosen = base.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20))
-    types = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\p{L}]{1,40}"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    types = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     types = Scratch(spark, "langid").table(types.repartition(8), "types")
     index = {k: i for i, k in enumerate(languages)}
     p = np.full((len(pieces), len(languages)), 1 / max(1, len(pieces)))
@@ -204,7 +212,7 @@ def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
         return run
 
     for _ in range(rounds):
-        rows = types.mapInArrow(e_step(p), "piece bigint, lang_at bigint, n double").groupBy("piece", "lang_at").agg(F.sum("n").alias("n")).collect()  # at most pieces * languages
+        rows = types.mapInArrow(frugal(e_step(p)), "piece bigint, lang_at bigint, n double").groupBy("piece", "lang_at").agg(F.sum("n").alias("n")).collect()  # at most pieces * languages
         p = np.full_like(p, SMOOTHING)
         for r in rows:
             p[r["piece"], r["lang_at"]] += r["n"]
@@ -219,15 +227,13 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
     """
     ship(spark := docs.sparkSession)
     pieces, languages, p = model
-    shared, mark = spark.sparkContext.broadcast((pieces, languages, p)), uuid.uuid4().hex  # vocabulary times languages
+    shared = spark.sparkContext.broadcast((pieces, languages, p))  # vocabulary times languages
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
-        if _held.get("mark") != mark:  # one model for each fit and Python worker
-            _held.update(mark=mark, model=Model(*shared.value) if languages else None)
-        model = _held["model"]
+        model = Model(*shared.value) if languages else None
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text"):
                 if model:
                     lang, score = model.predict(part.column("text").to_pylist())
                 else:
@@ -235,7 +241,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], tex
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     kind = base.schema["row"].dataType.simpleString()
-    return base.mapInArrow(run, f"`row` {kind}, lang_pred string, score double")
+    return base.mapInArrow(frugal(run), f"`row` {kind}, lang_pred string, score double")
 
 
 def held_out_fold(id_col: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import frugal, ship, slices
 from .textbytes import LOWER, mix, shingles, span_hashes, utf8
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -168,4 +168,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id bigint, template string, first_word bigint, last_word bigint, containment double, start_char bigint, end_char bigint")
+    return base.mapInArrow(frugal(run), "doc_id bigint, template string, first_word bigint, last_word bigint, containment double, start_char bigint, end_char bigint")

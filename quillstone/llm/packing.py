@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_of, sampled_splitters, ship, shuffle_partitions, slices
+from .common import Scratch, bucket_of, frugal, sampled_splitters, ship, shuffle_partitions, slices
 from .tokenizing import encoder, with_end
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -116,7 +116,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(first_sequence[run] + nth // each[run]), pa.array(offset[run] + nth % each[run] * length[run])], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id bigint, `offset` bigint")
+    return ranked.mapInArrow(frugal(place), f"{fields}, sequence_id bigint, `offset` bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, **columns) -> DataFrame:

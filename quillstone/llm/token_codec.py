@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_of, sampled_splitters, ship, shuffle_partitions, slices
+from .common import Scratch, bucket_of, frugal, sampled_splitters, ship, shuffle_partitions, slices
 from .tokenizing import encoder, with_end
 
 #: Most bits of a code (raised where an alphabet needs more), ids between checkpoints, and ids in a block (a longer document is a block of its own).
@@ -107,35 +107,40 @@ def decoder(symbols: np.ndarray, lengths: np.ndarray):
     return decode
 
 
+#: In place of a range: the row that a task writes last, with its counts of all ids.
+COUNTS = -1
+
+
 def _tokenise(tokenizer: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        code = encoder(tokenizer)
+        code, total = encoder(tokenizer), np.zeros(end_id + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, begin = with_end(*code.encode(part.column("text")), end_id)
+                counts = np.bincount(ids, minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
                 small = ids.astype(code.dtype)
-                raw = [small[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("bucket"), pa.array(np.diff(begin)), pa.array(raw, pa.binary())], schema=schema)
+                # rows share one buffer of ids
+                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begin * code.dtype.itemsize).astype(np.int32)), pa.py_buffer(small)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("bucket"), pa.array(np.diff(begin)), raw], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([COUNTS], pa.int32()), pa.array([0], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
-def _counter(width: int):
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, f"<u{width}")
-                size = max(len(total), int(ids.max()) + 1)
-                if size > len(total):
-                    total = np.concatenate([total, np.zeros(size - len(total), np.int64)])
-                total += np.bincount(ids, minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
-
-    return run
+def _counted(batches):
+    """(id, n) of the tasks' counts."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw in batch.column("ids").to_pylist():
+            more = np.frombuffer(raw, "<i8")
+            total = np.pad(total, (0, max(0, len(more) - len(total))))
+            total[: len(more)] += more
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
 
 def _packer(width: int, symbols: np.ndarray, lengths: np.ndarray):
@@ -147,9 +152,9 @@ def _packer(width: int, symbols: np.ndarray, lengths: np.ndarray):
             if not batch.num_rows:
                 continue
             for part in slices(batch, "ids", 8_000_000):
-                raw = part.column("ids").to_pylist()
-                ids = np.frombuffer(b"".join(raw), f"<u{width}").astype(np.int64)
-                begin = np.concatenate([[0], np.cumsum([len(r) // width for r in raw])])
+                raw = part.column("ids")
+                ids = np.frombuffer(b"".join(raw.to_pylist()), f"<u{width}").astype(np.int64)
+                begin = np.concatenate([[0], np.cumsum(part.column("n").to_numpy())])
                 data, first, at = pack_bits(ids, begin, codes, by_id)
                 lanes = [(at[a:b:LANE] - f * 8) for a, b, f in zip(begin[:-1], begin[1:], first[:-1], strict=True)]
                 four = ids.astype("<u4")
@@ -203,13 +208,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     width = encoder(tokenizer).dtype.itemsize
     found = work.table(base.withColumn("bucket", bucket_of(key, splitters, ["bigint"])).mapInArrow(_tokenise(tokenizer, end_id), "doc_id bigint, bucket int, n bigint, ids binary"), "ids")
     # the alphabet is the tokenizer's, so this is bounded by its size
-    counts = sorted(found.select("ids").mapInArrow(_counter(width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect())
+    counts = sorted(found.filter(F.col("bucket") == COUNTS).select("ids").mapInArrow(frugal(_counted), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect())
     symbols, n = np.array([r["id"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
     lengths = code_lengths(n)
     spark.createDataFrame([(int(s), int(k)) for s, k in zip(symbols, lengths, strict=True)], "id bigint, bits int").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
-    packed = found.mapInArrow(_packer(width, symbols, lengths), f"bucket int, {DOCS}".replace("bucket int, doc_id bigint", "doc_id bigint, bucket int"))
+    packed = found.filter(F.col("bucket") != COUNTS).mapInArrow(frugal(_packer(width, symbols, lengths)), f"bucket int, {DOCS}".replace("bucket int, doc_id bigint", "doc_id bigint, bucket int"))
     ordered = packed.repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc32")
-    ordered.mapInArrow(_block_maker(), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(frugal(_block_maker()), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
     work.drop("ids")
     work.release()
 
@@ -244,4 +249,4 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     cols.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return blocks.select("bucket", "start", "doc_ids", "lengths", "crc32s", "lanes", "lane_bits", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, crc_written bigint" + ", ids array<int>" * with_ids)
+    return blocks.select("bucket", "start", "doc_ids", "lengths", "crc32s", "lanes", "lane_bits", "payload").mapInArrow(frugal(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, crc_written bigint" + ", ids array<int>" * with_ids)
