@@ -34,6 +34,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def word_runs(c: Column) -> Column:
+    """Lower-case runs of letters and digits of any script and underscores."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def content_words(c: Column) -> Column:
     """Lower-case words, hyphens inside kept, without stopwords; repeats stay."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9][a-z0-9\-]*"), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,31 +57,54 @@ def trajectory_stats(rows: DataFrame, most: int = MAX_STEPS) -> DataFrame:
 
 
 def parse_action(reply: str | None) -> dict | None:
-    """The first balanced JSON object in a planner's reply as {tool, args}; a flat object's other keys become the arguments. None if there is none."""
-    text = reply or ""
-    start = text.find("{")
-    while start >= 0:
-        depth, quoted, escaped = 0, False, False
-        for i in range(start, len(text)):
-            ch = text[i]
-            if quoted:
-                quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if not depth:
-                    try:
-                        found = json.loads(text[start : i + 1])
-                    except ValueError:
-                        break
-                    tool = found.get("tool") or found.get("action")
-                    if not isinstance(tool, str):
-                        return None
-                    args = found.get("args")
-                    return {"tool": tool, "args": args if isinstance(args, dict) else {k: v for k, v in found.items() if k not in ("tool", "action", "args", "thought")}}
-        start = text.find("{", start + 1)
-    return None
+    """The first JSON object in a planner's reply as {tool, args}, or None if there is none that names a tool.
+
+    The tool is the value of tool, action or name, the first that is there; finish is known in any case. Without args, a flat object's other keys are
+    the arguments; args that aren't an object make the reply unreadable. A reply that is JSON of another kind holds no action.
+    """
+    text = (reply or "").strip()
+    reader, found = json.JSONDecoder(), None
+    for place in re.finditer(r"\{", text):
+        try:
+            found, end = reader.raw_decode(text, place.start())
+        except ValueError:
+            continue
+        if place.start() and text[0] in "[\"" and _is_json(text):
+            return None
+        break
+    names = ("tool", "action", "name")
+    tool = next((found[n] for n in names if found.get(n)), None) if found else None
+    if not isinstance(tool, str):
+        return None
+    args = found["args"] if found.get("args") is not None else {k: v for k, v in found.items() if k not in (*names, "args")}
+    if not isinstance(args, dict):
+        return None
+    tool = tool.strip()
+    return {"tool": "finish" if tool.lower() == "finish" else tool, "args": args}
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def resolve_documents(requests: DataFrame, documents: DataFrame, shown: int = 10) -> DataFrame:
+    """(query_id, target, note) for requests (query_id, doc_id, scope_id) to fetch a document of documents (doc_id).
+
+    A known id is taken; else the id of the query's scope; else the only document, if there is one only; else the id as asked for, with a note that
+    names the smallest valid ids, of which `shown` are listed. Ids are compared as strings.
+    """
+    ids = documents.select(F.col("doc_id").cast("string").alias("known")).filter("known is not null").distinct()
+    # at least two, to tell one document from several
+    first = [r["known"] for r in ids.orderBy(F.length("known"), "known").limit(max(shown, 2)).collect()]
+    asked = requests.select("query_id", F.nullif(F.col("doc_id").cast("string"), F.lit("")).alias("asked"), F.nullif(F.col("scope_id").cast("string"), F.lit("")).alias("scope"))
+    met = asked.join(ids, F.col("asked") == F.col("known"), "left")
+    note = F.when(F.col("known").isNull() & F.col("scope").isNull() & F.lit(len(first) > 1), "unknown doc_id; valid ids: " + ", ".join(first[:shown]))
+    only = F.lit(first[0] if len(first) == 1 else None).cast("string")
+    return met.select("query_id", F.coalesce("known", "scope", only, "asked").alias("target"), note.alias("note"))
 
 
 def run_loop(queries: list[tuple[str, str]], planner: Callable[[str, str, list], str], tools: dict[str, Callable[[list[tuple[str, dict]]], dict[str, list[str]]]], steps: int = MAX_STEPS, allowed: set[str] | None = None) -> dict[str, dict]:

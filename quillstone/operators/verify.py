@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Fixed value: the pattern of a citation marker.
 MARKER = r"\[\s*(\d+(?:\s*[-,]\s*\d+)*)\s*\]"
+#: A range of more numbers than this, where the number of sources isn't given, counts as its two ends.
+WIDEST = 1_000
 # Phrases by which an answer declines.
 ABSTENTIONS = ["don't have enough information", "do not have enough information", "not contained in the provided", "not contained in the sources"]
 OVERLAP, COPIED, MANY_COPIED, SHORTEST = 0.6, 0.8, 0.5, 6
@@ -15,16 +18,19 @@ CONFIDENCE = {"supported": 0.9, "supported_by_judge": 0.75, "contradicted": 0.9,
 
 
 def cited(answer: Column, n_chunks: Column | None = None) -> Column:
-    """Sorted distinct numbers of [n], [n,m] and [n-m] markers, from 1 (to n_chunks)."""
+    """Sorted distinct numbers of [n], [n,m] and [n-m] markers, from 1 (to n_chunks), as bigints. Numbers beyond a bigint are none; a null answer has none."""
     tokens = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(MARKER), F.lit(1)), lambda g: F.split(g, ",")))
 
     def expand(t):
-        ends = F.transform(F.split(t, "-"), lambda x: F.trim(x).cast("int"))
-        low, high = F.array_min(ends), F.array_max(ends)
-        return F.sequence(low, high)
+        ends = F.filter(F.transform(F.split(t, "-"), lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull())
+        low, high = F.greatest(F.array_min(ends), F.lit(1).cast("bigint")), F.array_max(ends)
+        if n_chunks is not None:
+            high = F.least(high, n_chunks.cast("bigint"))
+        wide = (high - low >= WIDEST) if n_chunks is None else F.lit(False)
+        none = F.array().cast("array<bigint>")
+        return F.when((F.size(ends) == 0) | (high < low), none).when(wide, F.array(low, high)).otherwise(F.sequence(low, F.when(wide, low).otherwise(high)))
 
-    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, expand))))
-    return F.filter(numbers, lambda i: (i >= 1) if n_chunks is None else (i >= 1) & (i <= n_chunks))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, expand))))
 
 
 def abstains(answer: Column) -> Column:
@@ -42,8 +48,8 @@ def claim(answer: Column, number: Column) -> Column:
 
 
 def facts(text: Column) -> Column:
-    """Lower-case codes (letters and digits in one token) and numbers, without markers."""
-    bare = F.regexp_replace(text, r"\[[^\]]*\]", " ")
+    """Lower-case codes (letters and digits in one token) and numbers, without markers. The patterns are fixed values."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\]]*\]", " ")
     codes = F.regexp_extract_all(bare, F.lit(r"\b(?=[A-Za-z0-9-]*[A-Za-z])(?=[A-Za-z0-9-]*\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\b"), F.lit(0))
     return F.array_sort(F.array_distinct(F.concat(F.transform(codes, F.lower), F.regexp_extract_all(bare, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))))
 
@@ -89,19 +95,19 @@ def validate(answers: DataFrame, sources: DataFrame, judge: DataFrame | None = N
 
 
 def answer_sentences(answers: DataFrame) -> DataFrame:
-    """(answer_id, sentence_no, sentence): sentences without markers, blank ones left out."""
-    bare = T.strip(F.regexp_replace(F.coalesce("answer", F.lit("")), MARKER, " "))
+    """(answer_id, sentence_no, sentence): sentences without bracketed parts, blank ones left out."""
+    bare = T.strip(F.regexp_replace(F.coalesce("answer", F.lit("")), r"\[[^\]]*\]", " "))
     return answers.select("answer_id", F.posexplode(T.sentences(bare)).alias("sentence_no", "s")).select("answer_id", "sentence_no", T.strip(F.col("s")).alias("sentence")).filter("sentence <> ''")
 
 
 def verbatim(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(answer_id, total, flagged, ratio, warning): sentences of six words or more of which over 0.8 is one run of a source's words.
 
-    Runs come from a join on words: equal words of a sentence and a chunk with the same difference of places and no hole are one run.
+    A word is a run of letters and digits of any script and underscores. Runs come from a join on words: equal words of a sentence and a chunk with the same difference of places and no hole are one run.
     """
-    spoken = answer_sentences(answers).withColumn("w", T.words(F.col("sentence"))).filter(F.size("w") >= SHORTEST)
+    spoken = answer_sentences(answers).withColumn("w", T.word_runs(F.col("sentence"))).filter(F.size("w") >= SHORTEST)
     said = spoken.select("answer_id", "sentence_no", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    read = sources.select("answer_id", "rank", F.posexplode(T.words(F.col("text"))).alias("j", "word"))
+    read = sources.select("answer_id", "rank", F.posexplode(T.word_runs(F.col("text"))).alias("j", "word"))
     met = said.join(read, ["answer_id", "word"]).withColumn("d", F.col("i") - F.col("j"))
     runs = Window.partitionBy("answer_id", "sentence_no", "rank", "d").orderBy("i")
     islands = met.withColumn("island", F.col("i") - F.row_number().over(runs)).groupBy("answer_id", "sentence_no", "n", "rank", "d", "island").agg(F.count("*").alias("size"))

@@ -77,8 +77,11 @@ ANSWERS = [
     (5, ""),
     (6, "Steel pump housing rated at 85 bar under load [2][3]! The filter GX-4200 is new [1]."),
     (7, "the steel housing of the pump is rated at eighty five bar under load [1]. Short copy here [2]."),
+    (8, "Far off [99999999999] and [1-2000000000], [0], [3-1], [99999999999999999999999] and [2-2]."),
+    (9, None),
+    (10, "Élan vital à la mode où naît l'été [voir 2] est cité ici [1]. Größe und Höhe über alles im schönen Süden [2]."),
 ]
-SOURCES = [(a, r, f"c{r}", t) for a in range(1, 8) for r, t in [(1, "The pump GX-4200 runs at 85 bar and 145°C. The steel housing of the pump is rated at eighty five bar under load."), (2, "Its housing is made of steel and rated at 85 bar."), (3, "A valve opens when pressure falls; slowly at first.")]]
+SOURCES = [(a, r, f"c{r}", t) for a in range(1, 11) for r, t in [(1, "The pump GX-4200 runs at 85 bar and 145°C. The steel housing of the pump is rated at eighty five bar under load."), (2, "Its housing is made of steel and rated at 85 bar."), (3, "A valve opens when pressure falls; slowly at first.")]]
 JUDGED = [(2, 1, "This is not supported by the source"), (2, 2, "supported"), (6, 1, "It contradicts the source"), (6, 3, "no idea")]
 _A, _S, _J = values("answers", "answer_id int, answer string", ANSWERS), values("sources", "answer_id int, rank int, chunk_id string, text string", SOURCES), values("judged", "answer_id int, index int, reply string", JUDGED)
 
@@ -91,19 +94,23 @@ def _sources(spark):
     return fixture(spark, "answer_id int, rank int, chunk_id string, text string", SOURCES)
 
 
+_ENDS = "list_filter(list_transform(string_split(t, '-'), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x IS NOT NULL)"
+_NUMBERS = f"CASE WHEN list_max(e) - greatest(list_min(e), 1) >= {verify.WIDEST} THEN [greatest(list_min(e), 1), list_max(e)] ELSE range(greatest(list_min(e), 1), list_max(e) + 1) END"
+
+
 def _cited_sql(source: str, key: str, text: str) -> str:
     """Common table expressions ending in cites (key, idx) with all distinct markers from 1."""
     return f"""groups AS (SELECT {key}, unnest(regexp_extract_all({text}, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', 1)) AS g FROM {source}),
- tokens AS (SELECT {key}, list_transform(string_split(t, '-'), lambda x: CAST(trim(x) AS INTEGER)) AS e FROM (SELECT {key}, unnest(string_split(g, ',')) AS t FROM groups)),
- cites AS (SELECT DISTINCT {key}, idx FROM (SELECT {key}, unnest(range(list_min(e), list_max(e) + 1)) AS idx FROM tokens) WHERE idx >= 1)"""
+ tokens AS (SELECT {key}, {_ENDS} AS e FROM (SELECT {key}, unnest(string_split(g, ',')) AS t FROM groups)),
+ cites AS (SELECT DISTINCT {key}, idx FROM (SELECT {key}, unnest({_NUMBERS}) AS idx FROM tokens))"""
 
 
-@query("g05_citations", f"WITH {_A}, {_cited_sql('answers', 'answer_id', 'answer')} SELECT a.answer_id, coalesce((SELECT list(CAST(idx AS INTEGER) ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id), []) AS cited, coalesce((SELECT list(CAST(idx AS INTEGER) ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id AND idx <= 3), []) AS valid FROM answers a")
+@query("g05_citations", f"WITH {_A}, {_cited_sql('answers', 'answer_id', 'answer')} SELECT a.answer_id, coalesce((SELECT list(idx ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id), []) AS cited, coalesce((SELECT list(DISTINCT i ORDER BY i) FROM tokens t, (VALUES (1::BIGINT), (2), (3)) v(i) WHERE t.answer_id = a.answer_id AND i BETWEEN list_min(e) AND list_max(e)), []) AS valid FROM answers a")
 def citations(spark, d):
     return _answers(spark).select("answer_id", verify.cited(F.col("answer")).alias("cited"), verify.cited(F.col("answer"), F.lit(3)).alias("valid"))
 
 
-_ABSTAINS = "(" + " OR ".join(f"contains(replace(lower(answer), '’', ''''), {literal(p)})" for p in verify.ABSTENTIONS) + ")"
+_ABSTAINS = "(" + " OR ".join(f"contains(replace(lower(coalesce(answer, '')), '’', ''''), {literal(p)})" for p in verify.ABSTENTIONS) + ")"
 
 
 @query("g06_abstention", f"WITH {_A} SELECT answer_id, {_ABSTAINS} AS abstains FROM answers")
@@ -115,12 +122,12 @@ _CLAIMS = f"""{_cited_sql('answers', 'answer_id', 'answer')},
  sents AS (SELECT answer_id, s, i FROM (SELECT answer_id, unnest({sentences_sql('answer')}) AS s, generate_subscripts({sentences_sql('answer')}, 1) AS i FROM answers)),
  keyed AS (SELECT answer_id || '#' || i AS sk, answer_id, i, s FROM sents),
  sgroups AS (SELECT sk, unnest(regexp_extract_all(s, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', 1)) AS g FROM keyed),
- stokens AS (SELECT sk, list_transform(string_split(t, '-'), lambda x: CAST(trim(x) AS INTEGER)) AS e FROM (SELECT sk, unnest(string_split(g, ',')) AS t FROM sgroups)),
- scites AS (SELECT DISTINCT sk, unnest(range(list_min(e), list_max(e) + 1)) AS idx FROM stokens),
+ stokens AS (SELECT sk, {_ENDS} AS e FROM (SELECT sk, unnest(string_split(g, ',')) AS t FROM sgroups)),
+ scites AS (SELECT DISTINCT sk, unnest({_NUMBERS}) AS idx FROM stokens),
  claims AS (SELECT c.answer_id, c.idx, coalesce((SELECT string_agg(trim(k.s), ' ' ORDER BY k.i) FROM keyed k JOIN scites x ON x.sk = k.sk WHERE k.answer_id = c.answer_id AND x.idx = c.idx), trim(a.answer)) AS claim_text FROM cites c JOIN answers a ON a.answer_id = c.answer_id)"""
 
 
-@query("g07_claims", f"WITH {_A}, {_CLAIMS} SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text FROM claims")
+@query("g07_claims", f"WITH {_A}, {_CLAIMS} SELECT answer_id, idx AS index, claim_text FROM claims")
 def claims(spark, d):
     rows = _answers(spark).select("answer_id", "answer", F.explode(verify.cited(F.col("answer"))).alias("index"))
     return rows.select("answer_id", "index", verify.claim(F.col("answer"), F.col("index")).alias("claim_text"))
@@ -147,12 +154,12 @@ _VERDICTS = f"""{_CLAIMS},
    WHEN len(mine) = 0 OR len(list_intersect(mine, {base.words_sql('chunk')})) / len(mine) >= 0.6 THEN 'supported' ELSE 'unverified' END AS v1 FROM seen)"""
 
 
-@query("g09_verdicts", f"WITH {_A}, {_S}, {_VERDICTS} SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text, chunk_id, v1 AS verdict, CASE v1 WHEN 'supported' THEN 0.9 ELSE 0.0 END AS confidence, CASE v1 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM tier1")
+@query("g09_verdicts", f"WITH {_A}, {_S}, {_VERDICTS} SELECT answer_id, idx AS index, claim_text, chunk_id, v1 AS verdict, CASE v1 WHEN 'supported' THEN 0.9 ELSE 0.0 END AS confidence, CASE v1 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM tier1")
 def verdicts(spark, d):
     return verify.validate(_answers(spark), _sources(spark))
 
 
-@query("g10_judged", f"WITH {_A}, {_S}, {_J}, {_VERDICTS}, t2 AS (SELECT t.*, CASE WHEN v1 = 'unverified' THEN CASE WHEN j.reply IS NULL THEN 'unverified' ELSE {_JUDGE} END ELSE v1 END AS v2 FROM tier1 t LEFT JOIN judged j ON j.answer_id = t.answer_id AND j.index = t.idx) SELECT answer_id, CAST(idx AS INTEGER) AS index, claim_text, chunk_id, v2 AS verdict, CASE WHEN v2 = 'supported' AND v1 <> 'supported' THEN 0.75 WHEN v2 = 'supported' THEN 0.9 WHEN v2 = 'contradicted' THEN 0.9 WHEN v2 = 'not_mentioned' THEN 0.75 ELSE 0.0 END AS confidence, CASE v2 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM t2")
+@query("g10_judged", f"WITH {_A}, {_S}, {_J}, {_VERDICTS}, t2 AS (SELECT t.*, CASE WHEN v1 = 'unverified' THEN CASE WHEN j.reply IS NULL THEN 'unverified' ELSE {_JUDGE} END ELSE v1 END AS v2 FROM tier1 t LEFT JOIN judged j ON j.answer_id = t.answer_id AND j.index = t.idx) SELECT answer_id, idx AS index, claim_text, chunk_id, v2 AS verdict, CASE WHEN v2 = 'supported' AND v1 <> 'supported' THEN 0.75 WHEN v2 = 'supported' THEN 0.9 WHEN v2 = 'contradicted' THEN 0.9 WHEN v2 = 'not_mentioned' THEN 0.75 ELSE 0.0 END AS confidence, CASE v2 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM t2")
 def judged(spark, d):
     return verify.validate(_answers(spark), _sources(spark), fixture(spark, "answer_id int, index int, reply string", JUDGED))
 
@@ -169,11 +176,15 @@ def extractive(spark, d):
     return evaluate.extractive_answers(base.questions(spark, d), ranked(spark, d))
 
 
+def _runs_sql(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
 _ISLANDS = f"""
- bare AS (SELECT answer_id, regexp_replace(answer, '\\[\\s*(\\d+(?:\\s*[-,]\\s*\\d+)*)\\s*\\]', ' ', 'g') AS t FROM answers),
- spoken AS (SELECT answer_id, sn, {base.words_sql('s')} AS w FROM (SELECT answer_id, unnest({sentences_sql('trim(t)')}) AS s, generate_subscripts({sentences_sql('trim(t)')}, 1) AS sn FROM bare) WHERE len({base.words_sql('s')}) >= 6),
+ bare AS (SELECT answer_id, regexp_replace(coalesce(answer, ''), '\\[[^\\]]*\\]', ' ', 'g') AS t FROM answers),
+ spoken AS (SELECT answer_id, sn, {_runs_sql('s')} AS w FROM (SELECT answer_id, unnest({sentences_sql('trim(t)')}) AS s, generate_subscripts({sentences_sql('trim(t)')}, 1) AS sn FROM bare) WHERE len({_runs_sql('s')}) >= 6),
  aw AS (SELECT answer_id, sn, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM spoken),
- cw AS (SELECT answer_id, rank, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM (SELECT answer_id, rank, {base.words_sql('text')} AS w FROM sources)),
+ cw AS (SELECT answer_id, rank, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM (SELECT answer_id, rank, {_runs_sql('text')} AS w FROM sources)),
  met AS (SELECT answer_id, sn, n, rank, i, i - j AS d FROM aw JOIN cw USING (answer_id, word)),
  isl AS (SELECT *, i - row_number() OVER (PARTITION BY answer_id, sn, rank, d ORDER BY i) AS g FROM met),
  best AS (SELECT answer_id, sn, max(c / n) AS share FROM (SELECT answer_id, sn, n, count(*) AS c FROM isl GROUP BY answer_id, sn, n, rank, d, g) GROUP BY 1, 2),
@@ -272,10 +283,26 @@ def tool_limits(spark, d):
     return fixture(spark, "k int", [(x,) for x in (-3, 0, 1, 8, 20, 99, None)]).select("k", agent.clamp_k(F.col("k")).alias("top_k"))
 
 
-@query("l05_parse_action")
+REPLIES = [
+    ('Thought: x {"tool": "retrieve_docs", "args": {"query": "a}b", "top_k": 3}} then', "retrieve_docs", 2), ('{"action": "fetch_document", "doc_id": "7"}', "fetch_document", 1), ("no json", None, None),
+    ('{"broken": }{"tool": "finish"}', "finish", 0), (None, None, None), ('```json\n{"tool":"FINISH","args":{}}\n```', "finish", 0), ('{"name": " retrieve_docs ", "query": "y"}', "retrieve_docs", 1),
+    ('{"tool": "retrieve_docs", "args": [1]}', None, None), ('{"args": {"query": "z"}}', None, None), ('[{"tool": "finish"}]', None, None), ('{"tool": 7}', None, None),
+]
+
+
+@query("l05_parse_action", "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({literal(t)} AS VARCHAR), {literal(n)})" for i, (_, t, n) in enumerate(REPLIES)) + ") v(id, tool, n_args)")
 def parse_actions(spark, d):
-    replies = ['Thought: x {"tool": "retrieve_docs", "args": {"query": "a}b", "top_k": 3}} then', '{"action": "fetch_document", "doc_id": "7"}', "no json", '{"broken": }{"tool": "finish"}', None]
-    return fixture(spark, "id int, tool string, n_args int", [(i, a and a["tool"], len(a["args"]) if a else None) for i, a in enumerate(map(agent.parse_action, replies))])
+    found = [agent.parse_action(r) for r, _, _ in REPLIES]
+    return fixture(spark, "id int, tool string, n_args int", [(i, a and a["tool"], len(a["args"]) if a else None) for i, a in enumerate(found)])
+
+
+WANTED = [(1, "5", None), (2, "document_0", None), (3, "document_0", "7"), (4, None, "7"), (5, None, None), (6, "", None), (7, "7", "5")]
+_WANTED = "query_id int, doc_id string, scope_id string"
+
+
+@query("l04_resolve_documents", f"WITH {values('w', _WANTED, WANTED)}, ids AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id IS NOT NULL), f AS (SELECT string_agg(id, ', ' ORDER BY length(id), id) AS first FROM (SELECT id FROM ids ORDER BY length(id), id LIMIT 10)) SELECT query_id, coalesce(id, scope_id, nullif(w.doc_id, '')) AS target, CASE WHEN id IS NULL AND scope_id IS NULL THEN 'unknown doc_id; valid ids: ' || first END AS note FROM w CROSS JOIN f LEFT JOIN ids ON ids.id = w.doc_id")
+def resolve_documents(spark, d):
+    return agent.resolve_documents(fixture(spark, _WANTED, WANTED), base.read(spark, d, "documents"))
 
 
 def _multi(spark, d, asked=None):
