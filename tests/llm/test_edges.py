@@ -79,6 +79,13 @@ def test_near(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_rows_of_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (5, a + " end"), (7, b)], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(rows).collect())
+    assert found == [(1, 26, 1, True), (1, 26, 1, True), (2, 26, 1, False), (3, 26, 1, False), (5, 27, 1, False), (7, 26, 1, False)]
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, default_path("word_bpe_49k.json"), 2048).toPandas()
     assert (rows.length <= 2048).all() and rows[rows.doc_id == 3].length.tolist() == [1]
@@ -106,6 +113,8 @@ def test_language(docs, empty):
     model = language_id.fit(docs, vocabulary)
     rows = language_id.predict(docs, model).select("row.*", "lang_pred", "score").collect()
     assert len(rows) == len(ROWS)
+    odd = docs.limit(1).select(F.lit(0).cast("long").alias("doc_id"), F.explode(F.array(F.lit("²½"), F.lit("Ⅳ ①"), F.lit("5 ³"))).alias("text"))
+    assert {r.lang_pred for r in language_id.predict(odd, model).collect()} == {"und"}
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1 for r in rows)
     none = language_id.fit(empty, vocabulary)
     assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"} and language_id.predict(empty, model).count() == 0
@@ -115,10 +124,44 @@ def test_lm_score(docs, empty):
     model = lm_score.fit(docs, F.col("lang") == "en").cache()
     rows = lm_score.score(docs, model).select("row.doc_id", "row.text", "n_tokens", "score").collect()
     assert len(rows) == len(ROWS) and all((r.score is None) == (not r.text) and r.n_tokens == len((r.text or "").encode()) for r in rows)
-    joined = lm_score.score(docs, model, broadcast_rows=0).select("row.doc_id", "row.text", "score").collect()
+    small = lm_score.score(docs, model, block_bytes=20).select("row.doc_id", "row.text", "score").collect()
     key = lambda r: (r.doc_id or -1, r.text or "")
-    assert all((a.score is None and b.score is None) or abs(a.score - b.score) < 1e-5 for a, b in zip(sorted(rows, key=key), sorted(joined, key=key), strict=True))
+    assert [r.score for r in sorted(rows, key=key)] == [r.score for r in sorted(small, key=key)]
     assert lm_score.score(empty, lm_score.fit(empty, F.lit(True))).count() == 0
+    with pytest.raises(ValueError):
+        lm_score.fit(docs, F.lit(True), order=8)
+
+
+def test_lm_score_equals_brute_force(spark):
+    order, mu = 4, 3.0
+    rows = [(1, "abab abc", True), (2, "abba cab", False), (3, "ünï abab", True), (4, "zz abc zz", False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, good boolean")
+    other = spark.createDataFrame([(9, "abx abab ü"), (10, "")], "doc_id bigint, text string")
+    model = lm_score.fit(docs, F.col("good"), order=order, mu=mu)
+    grams = lambda t: [tuple(([0] * (order - 1) + [*t.encode()])[i : i + order]) for i in range(len(t.encode()))]
+    target = [g for _, t, good in rows if good for g in grams(t)]
+    every = [g for _, t, _ in rows for g in grams(t)]
+
+    def p(gram, corpus, scale):
+        if len(gram) == 1:
+            return (sum(g[-1] == gram[0] for g in corpus) * scale + 1) / (len(corpus) * scale + 256)
+        n = len(gram)
+        both = sum(g[-n:] == gram for g in corpus) * scale
+        context = sum(g[-n:-1] == gram[:-1] for g in corpus) * scale
+        return (both + mu * p(gram[1:], corpus, scale)) / (context + mu)
+
+    for table in (docs.select("doc_id", "text"), other):
+        for r in lm_score.score(table, model, block_bytes=9).select("row.text", "target_loss", "background_loss", "score").collect():
+            if r.text:
+                want = [-np.mean([np.log(p(g, c, s)) for g in grams(r.text)]) for c, s in ((target, 1.0), (every, len(target) / len(every)))]
+                assert np.allclose([r.target_loss, r.background_loss, r.score], [*want, want[0] - want[1]], atol=1e-9)
+
+
+def test_labelled_target_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 1, 1, 1), (2, "b", 1, 1, 1, 1), (2, "b", 1, 1, 1, 1), (None, "c", 1, 1, 1, 1)], "doc_id bigint, text string, toxic int, good int, label_id int, is_target int")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, 1, 0), (2, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    found = lm_score.labelled_target(docs, labels)
+    assert found.columns == docs.columns and sorted((r.doc_id or 0, r.is_target) for r in found.collect()) == [(0, False), (1, True), (2, False), (2, False)]
 
 
 def test_licenses(spark, empty):

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quillstone.llm import language_id, packing, setsketch, textbytes, token_codec
 from quillstone.llm.tokenizing import Encoder, default_path
@@ -35,10 +36,11 @@ def test_round_trip():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokenising_equals_the_library(name):
     rnd, code = random.Random(1), Encoder(default_path(name))
-    odd = ["", " ", "a  b", " lead", "trail ", "it's  we'll 's", "a b　c", "x\x1cy", "<|endoftext|> hi", "a b\n\nc", "ΑΣ ẞ İ", "\n\n\nab\n\n", "é é ́a", "12 345 6", None]
+    odd = ["", " ", "a  b", " lead", "trail ", "it's  we'll 's", "a b　c", "x\x1cy", "<|endoftext|> hi", "hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|>", "<|endoftext|", "|>", "a b\n\nc", "ΑΣ ẞ İ", "\n\n\nab\n\n", "é é ́a", "12 345 6", None]
     texts = odd + ["".join(rnd.choice(" \n\t ab's1.é日_…") for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
     ids, begin = code.encode(pa.array(texts))
-    want = [e.ids for e in code.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    library = Tokenizer.from_file(default_path(name))  # as a user has it
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == want
 
 
@@ -81,6 +83,43 @@ def test_forward_sums_all_segmentations():
     words = ["a", "ab", "abba", "xa", "abab", "bbab"]
     codes, n = lattice.matrix(words)
     assert np.allclose(lattice.forward(codes, n, p)[2], [np.log(brute("▁" + w)) for w in words])
+    twelve = ["ab" * 5 + "a", "ab" * 6, "b" * 12]  # ends at and beside a scaling
+    codes, n = lattice.matrix(twelve)
+    assert np.allclose(lattice.forward(codes, n, p)[2], [np.log(brute("▁" + w)) for w in twelve])
+
+
+def test_expected_counts_sum_all_segmentations():
+    pieces = sorted(["▁a", "a", "b", "ab", "▁ab", "ba"])
+    lattice, p = language_id.Lattice(pieces), np.random.default_rng(1).dirichlet(np.ones(6), 2).T
+
+    def paths(word, at=0):
+        if at == len(word):
+            yield [], np.ones(2)
+            return
+        for rest, q in paths(word, at + 1):
+            yield rest, language_id.UNKNOWN * q
+        for k in range(1, 4):
+            if at + k <= len(word) and word[at : at + k] in pieces:
+                i = pieces.index(word[at : at + k])
+                for rest, q in paths(word, at + k):
+                    yield [i, *rest], p[i] * q
+
+    words, weight = ["ab", "abba", "xa", "abababababab", "ababababababab"], np.array([[1.0, 2], [3, 0], [1, 1], [2, 5], [1, 1]])
+    want = np.zeros_like(p)
+    for w, n in zip(words, weight, strict=True):
+        found = list(paths("▁" + w))
+        total = sum(q for _, q in found)
+        for used, q in found:
+            for i in used:
+                want[i] += n * q / total
+    assert np.allclose(lattice.expected(*lattice.matrix(words), p, weight), want)
+    long = lattice.expected(*lattice.matrix(["ab" * 300]), p, np.ones((1, 2)))
+    assert np.isfinite(long).all() and np.allclose((long * [[len(x.strip("▁"))] for x in pieces]).sum(0), 600, rtol=0.02)
+
+
+def test_forward_of_a_long_word():
+    pieces = sorted(["▁a", "a", "b", "ab", "▁ab", "ba"])
+    lattice, p = language_id.Lattice(pieces), np.random.default_rng(0).dirichlet(np.ones(6), 2).T
     long = lattice.matrix(["ab" * 400])
     assert np.isfinite(lattice.forward(*long, p)[2]).all()
 
