@@ -95,8 +95,8 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, without what an earlier stage left in this worker; at the end of a task freed memory goes back to the system, for the executor to use."""
 
-    def frugally(batches):
-        _kept.clear()
+    def frugally(batches):  # is sent by value, with what it names: functions of this module, which go by reference, and not what is kept
+        forget()
         try:
             yield from run(batches)
         finally:
@@ -105,6 +105,10 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return frugally
 
 
+def forget() -> None:
+    _kept.clear()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

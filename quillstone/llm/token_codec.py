@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bucket_of, frugal, sampled_splitters, ship, shuffle_partitions, slices
-from .tokenizing import encoder, with_end
+from .tokenizing import Encoder, encoder, with_end
 
 #: Most bits of a code (raised where an alphabet needs more), ids between checkpoints, and ids in a block (a longer document is a block of its own).
 LIMIT, LANE, BLOCK = 20, 256, 1 << 20
@@ -205,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))]
     splitters = sampled_splitters(base.select("doc_id"), key, shuffle_partitions(spark))
-    width = encoder(tokenizer).dtype.itemsize
+    width = Encoder(tokenizer).dtype.itemsize
     found = work.table(base.withColumn("bucket", bucket_of(key, splitters, ["bigint"])).mapInArrow(_tokenise(tokenizer, end_id), "doc_id bigint, bucket int, n bigint, ids binary"), "ids")
     # the alphabet is the tokenizer's, so this is bounded by its size
     counts = sorted(found.filter(F.col("bucket") == COUNTS).select("ids").mapInArrow(frugal(_counted), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect())
