@@ -81,7 +81,7 @@ def _counter(order: int):
 def fit(docs: DataFrame, is_target: Column, text_col: str = "text", order: int = ORDER, mu: float = MU) -> DataFrame:
     """The model table (key, t, b, back_t, back_b) from all rows of docs; rows where is_target isn't true count as background only.
 
-    key: the n-gram and, in its highest byte, its length. t and b are null for what is met as a context only, the weights for what never is one.
+    key: the n-gram and, in its highest byte, its length. Documents are scored with the weights in single precision. t and b are null for what is met as a context only, the weights for what never is one.
     Null and empty texts have no n-grams. An empty table gives the 256 single bytes, all alike.
     """
     if not 1 <= order <= MAX_ORDER:
@@ -91,7 +91,6 @@ def fit(docs: DataFrame, is_target: Column, text_col: str = "text", order: int =
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
     counted = rows.mapInArrow(frugal(_counter(order)), "key bigint, c_t bigint, c_b bigint")
     grams = work.table(counted.groupBy("key").agg(F.sum("c_t").alias("c_t"), F.sum("c_b").alias("c_b")), "counts")
-    work.release()
     total = grams.agg(F.coalesce(F.sum("c_t"), F.lit(0)).alias("t"), F.coalesce(F.sum("c_b"), F.lit(0)).alias("b")).first()
     ratio = total["t"] / total["b"] if total["b"] else 1.0
     levels, contexts, lower = [], {}, None
@@ -115,7 +114,10 @@ def fit(docs: DataFrame, is_target: Column, text_col: str = "text", order: int =
         both = level.join(contexts[k], "key", "full") if k in contexts else level.withColumns({"back_t": F.lit(None).cast("double"), "back_b": F.lit(None).cast("double")})
         both = both.withColumn("key", F.col("key").bitwiseOR(F.lit(k << LENGTH)))
         model = both if model is None else model.unionByName(both)
-    return work.table(model, "model")
+    fitted = work.table(model, "model")
+    for name in ("counts", *[f"{table}-{k}" for k in range(1, order + 1) for table in ("counts", "contexts", "grams") if k > 1 or table == "grams"]):
+        work.drop(name)
+    return fitted
 
 
 #: Bits of a model key below the n-gram's length.
@@ -194,9 +196,11 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", block_bytes
     base = docs.select(F.struct(*[(F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias("row"))
     kind, text = base.schema["row"].dataType.simpleString(), docs.columns.index(text_col)
     blocks = work.table(base.mapInArrow(frugal(_blocked(order, text, block_bytes)), f"block bigint, `row` {kind}, keys array<bigint>"), "blocks")
+    # the texts' shuffles of fitting are not needed any more
+    work.release()
     asked = blocks.filter("keys is not null").select(F.col("block").alias("of"), F.explode("keys").alias("key"))
     # requests and model both grow with the corpus, so neither is sent out
-    got = asked.join(model.hint("merge"), "key").select("of", "key", "t", "b", "back_t", "back_b")
+    got = asked.join(model.hint("merge"), "key").select("of", "key", *[F.col(c).cast("float") for c in ("t", "b", "back_t", "back_b")])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         values = np.stack([right[c].to_numpy(zero_copy_only=False) for c in ("t", "b", "back_t", "back_b")], 1).astype(np.float64)
