@@ -5,7 +5,8 @@ at least CONTAINMENT of its shingles. A changed word destroys five shingles, a r
 most 0.05 s edits and therefore an unbroken run of ceil(0.8 s / (floor(0.05 s) + 1)) shingles. The window width is chosen so that some window of
 the document lies inside that run whatever its alignment (windows of a document begin every half width, those of a template everywhere). That
 window equals a template window, so it agrees in every band: such a match is retrieved with certainty. Windows that differ a little are found too,
-with probability 1 - (1 - J^2)^8 at similarity J.
+with probability 1 - (1 - J^2)^8 at similarity J. The surroundings in which a retrieved template is verified reach its own length beyond it on both
+sides, so an insertion as long as the template itself doesn't part a notice. Templates of up to four shingles stand unbroken or not at all.
 
 One pass over whole texts without a shuffle; templates are a fixed small list that travels with the code.
 """
@@ -128,7 +129,7 @@ class Scanner:
         by: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         for row, t, place in self.candidates(hashes, begin):
             size = self.sizes[t]
-            slack = max(4, size // 4) if size > 4 else 0
+            slack = size if size > 4 else 0
             a, b = max(int(begin[row]), place - slack), min(int(begin[row + 1]), place + size + slack)
             inside = np.flatnonzero(np.isin(hashes[a:b], self.sets[t]))
             share = len(np.unique(hashes[a:b][inside])) / len(self.sets[t])

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties and repeated rows, an empty table, and extra columns with clashing names."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -173,6 +175,23 @@ def test_licenses(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licenses_equal_exhaustive_containment(spark):
+    rnd = random.Random(4)
+    filler = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    texts = []
+    for _ in range(120):
+        words = rnd.choice(list(license_scan.TEMPLATES.values())).split()
+        for _ in range(rnd.randrange(0, 6)):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.randrange(2)] = [f"x{rnd.randrange(99)}" for _ in range(rnd.choice([0, 1, 1, 2, 12]))]
+        texts.append(f"{filler(rnd.randrange(40))} {' '.join(words)} {filler(rnd.randrange(40))}")
+    shingled = lambda t: (w := re.findall("[a-z0-9]+", t.lower())) and {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = {name: shingled(t) for name, t in license_scan.TEMPLATES.items()}
+    want = {(i, name) for i, t in enumerate(texts) for name, s in sets.items() if len(s & shingled(t)) >= 0.8 * len(s)}
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.template) for r in rows} == want and len(want) > 40
+
+
 def test_urls(spark):
     urls = [
         (1, "https://a.NET/x", "a.net", "/x", "net/", "block"),
@@ -208,6 +227,8 @@ def test_vectors(spark):
     got = {q: g.sort_values("rank").vec_id.tolist() for q, g in found.groupby("query_id")}
     assert got.keys() == exact.keys() and np.mean([len(set(got[q]) & set(exact[q])) / 5 for q in exact]) >= 0.9
     assert got[100] == [7, 101, 102, 103, 104] and got[150] == [7, 100, 101, 102, 103]
+    twenty = spark.createDataFrame([(i, [3.0, 4.0]) for i in range(20)] + [(20, [4.0, -3.0])], "vec_id bigint, embedding array<double>")
+    assert nn_descent.search(nn_descent.build(twenty), twenty.filter("vec_id = 5"), 10).orderBy("rank").toPandas().vec_id.tolist() == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
     few = table.filter("vec_id < 3")
     assert nn_descent.search(nn_descent.build(few), few.filter("vec_id = 0"), 5).count() == 2
     assert nn_descent.search(nn_descent.build(table.limit(0)), table, 5).count() == 0

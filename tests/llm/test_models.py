@@ -1,5 +1,6 @@
 """Numerical parts against brute force: Huffman codes, tokenisation, sketches, lattices, packing plans."""
 
+import itertools
 import random
 
 import numpy as np
@@ -20,6 +21,18 @@ def test_code_lengths(counts):
     assert lengths.max() <= 12 and (2.0 ** -lengths.astype(float)).sum() <= 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=2, max_size=7), st.integers(3, 5))
+def test_code_lengths_are_the_shortest(counts, limit):
+    # every multiset of lengths that Kraft's inequality allows, the longest for the rarest
+    best = min(
+        sum(n * k for n, k in zip(sorted(counts), sorted(lengths, reverse=True), strict=True))
+        for lengths in itertools.combinations_with_replacement(range(1, limit + 1), len(counts))
+        if sum(2.0**-k for k in lengths) <= 1
+    )
+    assert (np.array(counts) * token_codec.code_lengths(np.array(counts), limit)).sum() == best
+
+
 def test_round_trip():
     rng = np.random.default_rng(0)
     ids = np.minimum(rng.zipf(1.2, 20_000), 3_000).astype(np.int64)
