@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import text as T
 from . import embedding, index
 
+#: Chunks that meet a block of queries at a time.
+CHUNK_ROWS = 1_024
 RRF_K, DENSE_CAP, WHOLE_DOCUMENT_CAP = 60, 100, 400
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -31,45 +34,59 @@ def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: pa.Array, n: i
     """For blocks of chunks (chunk_id, norm2, cells): each query's n best of the block and what ties with the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = batch.column("cells")
-            at, flat = cells.offsets.to_numpy(), cells.values
-            x = np.zeros((batch.num_rows, queries.shape[1]))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            x[row, flat.field("bucket").to_numpy()[at[0] : at[-1]]] = flat.field("tf").to_numpy()[at[0] : at[-1]]
-            # counts are integers, so products are exact; scores are rounded as the join's are
-            score = np.floor((queries @ x.T) / np.sqrt(lengths[:, None] * batch.column("norm2").to_numpy().astype(float)) * 1e9 + 0.5) / 1e9
-            if batch.num_rows > n:
-                score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = 0
-            q, c = np.nonzero(score > 0)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(start, CHUNK_ROWS)
+                cells = batch.column("cells")
+                at, flat = cells.offsets.to_numpy(), cells.values
+                x = np.zeros((batch.num_rows, queries.shape[1]))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                x[row, flat.field("bucket").to_numpy()[at[0] : at[-1]]] = flat.field("tf").to_numpy()[at[0] : at[-1]]
+                # counts are integers, so products are exact
+                score = np.floor((queries @ x.T) / np.sqrt(lengths[:, None] * batch.column("norm2").to_numpy().astype(float)) * 1e9 + 0.5) / 1e9
+                if batch.num_rows > n:
+                    score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = 0
+                q, c = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
 
     return run
 
 
+def _in_blocks(asked: DataFrame, most: int) -> Iterator[list]:
+    """The rows of a table of queries in blocks of about `most`, by a hash of the query's id, one block after another. An empty table is one empty block."""
+    rows = asked.limit(most + 1).collect()
+    if len(rows) <= most:
+        yield rows
+        return
+    blocks = -(-asked.count() // most)
+    for b in range(blocks):
+        yield asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50, block_queries: int = 4096) -> DataFrame:
     """(query_id, chunk_id, score, dense_rank) by cosine of hashed word counts; chunks that share no bucket with a query are not ranked.
 
-    Up to block_queries queries travel with the code as a matrix and meet all chunks in blocks, each of which passes on its best. More queries are
-    joined on buckets instead. Products are integers, so scores don't depend on the order of summation.
+    Queries go in blocks of about block_queries, which travel with the code as a matrix and meet all chunks in blocks, each of which passes on its
+    best: no pair is shuffled but those. Products are integers, so scores don't depend on the order of summation.
     """
     n = min(n, DENSE_CAP)
     sparse = embedding.sparse_vectors(queries, "query_id")
     c = embedding.sparse_vectors(chunks, "chunk_id")
-    rows = sparse.groupBy("query_id").agg(F.collect_list(F.struct("bucket", "tf")).alias("cells"), F.first("norm2").alias("norm2")).limit(block_queries + 1).collect()
-    if len(rows) > block_queries:
-        q = sparse.select("query_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm2").alias("q_norm2"))
-        dots = c.join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("d"), F.first("norm2").alias("n"), F.first("q_norm2").alias("qn"))
-        scored = dots.select("query_id", "chunk_id", (F.floor(F.col("d") / F.sqrt(F.col("n").cast("double") * F.col("qn")) * 1e9 + 0.5) / 1e9).alias("score"))
-    else:
+    asked = sparse.groupBy("query_id").agg(F.collect_list(F.struct("bucket", "tf")).alias("cells"), F.first("norm2").alias("norm2"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    blocks = c.groupBy("chunk_id").agg(F.first("norm2").alias("norm2"), F.collect_list(F.struct("bucket", "tf")).alias("cells")).select("chunk_id", "norm2", "cells")
+    parts = []
+    for rows in _in_blocks(asked, block_queries):
         matrix = np.zeros((len(rows), embedding.DIM))
         for i, r in enumerate(rows):
             matrix[i, [x["bucket"] for x in r["cells"]]] = [x["tf"] for x in r["cells"]]
-        kind = queries.schema["query_id"].dataType.simpleString()
-        blocks = c.groupBy("chunk_id").agg(F.first("norm2").alias("norm2"), F.collect_list(F.struct("bucket", "tf")).alias("cells"))
-        scored = blocks.select("chunk_id", "norm2", "cells").mapInArrow(_best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), _ids(rows, queries), n), f"query_id {kind}, chunk_id string, score double")
+        run = _best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), _ids(rows, queries), n)
+        parts.append(blocks.mapInArrow(run, f"query_id {kind}, chunk_id string, score double"))
+    scored = _united(parts)
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "dense_rank")
 
 
@@ -106,7 +123,8 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column |
     """(query_id, chunk_id, score, bm25_rank). Only chunks with a query word are ranked; repeated query words count as often as they occur.
 
     Inverse document frequencies below 0 are set to a quarter of the mean over the scope's vocabulary. Queries have a column `scope` if one is given:
-    statistics are the scope's own. Up to block_queries queries without a scope meet postings in blocks of chunks; others are joined with them.
+    statistics are the scope's own. Queries without a scope meet postings in blocks of about block_queries queries and of chunks. Queries with one meet
+    their scope's postings only, which are joined by scope and word.
     """
     posted = index.postings(chunks, scope)
     stats = index.scope_stats(posted, chunks, scope)
@@ -117,15 +135,17 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column |
     asked = queries.select("query_id", (F.lit("all") if scope is None else F.col("scope").cast("string")).alias("scope"), F.explode(T.words(F.col("text"))).alias("term"))
     asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("terms")).limit(block_queries + 1).collect() if scope is None else []
-    if scope is None and len(rows) <= block_queries:
-        number: dict[str, int] = {}
-        entries = sorted((number.setdefault(t["term"], len(number)), q, t["times"]) for q, r in enumerate(rows) for t in r["terms"])
-        first = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(number) + 1))
-        terms = queries.sparkSession.createDataFrame(list(number.items()), "term string, term_no int")
-        hits = posted.join(terms.join(idf, "term"), ["scope", "term"]).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("term_no").alias("term"), weight.alias("weight"))).alias("hits"))
-        kind = queries.schema["query_id"].dataType.simpleString()
-        scored = hits.mapInArrow(_sum_of_block(first, np.array([e[1] for e in entries], np.int64), np.array([float(e[2]) for e in entries]), _ids(rows, queries), n), f"query_id {kind}, chunk_id string, score double")
+    if scope is None:
+        kind, parts = queries.schema["query_id"].dataType.simpleString(), []
+        for rows in _in_blocks(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("terms")), block_queries):
+            number: dict[str, int] = {}
+            entries = sorted((number.setdefault(t["term"], len(number)), q, t["times"]) for q, r in enumerate(rows) for t in r["terms"])
+            first = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(number) + 1))
+            terms = queries.sparkSession.createDataFrame(list(number.items()), "term string, term_no int")
+            hits = posted.join(terms.join(idf, "term"), ["scope", "term"]).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("term_no").alias("term"), weight.alias("weight"))).alias("hits"))
+            run = _sum_of_block(first, np.array([e[1] for e in entries], np.int64), np.array([float(e[2]) for e in entries]), _ids(rows, queries), n)
+            parts.append(hits.mapInArrow(run, f"query_id {kind}, chunk_id string, score double"))
+        scored = _united(parts)
     else:
         part = (F.col("times") * weight).cast("decimal(24,10)")  # decimal parts add up to the same sum in any order
         met = posted.join(asked.join(idf, ["scope", "term"]), ["scope", "term"])

@@ -219,3 +219,11 @@ def test_library(spark):
     assert [(r.i, r.total, r.total_pages) for r in library.page(rows, [F.col("i")], 2, 2).collect()] == [(2, 5, 3), (3, 5, 3)]
     assert one(spark, library.next_action(F.lit("chunking"), F.lit(3))) == "embed"
     assert stats.labels() == ["0-200", "200-400", "400-600", "600-800", "800+"]
+
+
+def test_queries_in_several_blocks(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"word{i % 7} alpha beta{i % 3} gamma{i % 11}") for i in range(60)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, f"word{i % 7} beta{i % 3} delta{i}") for i in range(23)] + [(99, "nothing"), (100, "")], "query_id int, text string")
+    for leg, place in ((retrieval.dense_top, "dense_rank"), (retrieval.bm25_top, "bm25_rank")):
+        found = [sorted(map(tuple, leg(queries, chunks, 8, block_queries=n).select("query_id", "chunk_id", "score", place).collect())) for n in (4096, 4, 1)]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 100
