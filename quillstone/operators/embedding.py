@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +16,39 @@ from ..functions import text as T
 DIM = 384
 
 
+def counted(lists: pa.ListArray, dim: int = DIM) -> np.ndarray:
+    """Word counts (rows, dim) in the buckets of text.hash_bucket, of rows of words; a word that recurs in these rows is hashed once."""
+    at, rows = lists.offsets.to_numpy(), len(lists)
+    if at[-1] == at[0]:
+        return np.zeros((rows, dim))
+    words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+    digests = b"".join(hashlib.md5(w.encode()).digest() for w in words.dictionary.to_pylist())
+    flat = (np.frombuffer(digests, "<u8")[::2] % dim).astype(np.int64)[words.indices.to_numpy()]
+    return np.bincount(np.repeat(np.arange(rows), np.diff(at)) * dim + flat, minlength=rows * dim).reshape(rows, dim).astype(float)
+
+
 def sparse_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
     """(key, bucket, tf, norm2): term counts in hash buckets and the squared length of the whole vector. Integers, so sums are exact in any order."""
-    words = rows.select(key, F.explode(T.words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    tf = words.groupBy(key, T.hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum("n").alias("tf"))
+    words = rows.select(key, F.explode(T.words(F.col(text))).alias("token"))
+    tf = words.groupBy(key, T.hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("tf"))
     norms = tf.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
     return tf.join(norms, key)
 
 
 def dense_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """(key, embedding): the same vectors of length 1 as arrays; a text without words has only zeros."""
-    sparse = sparse_vectors(rows, key, text, dim)
-    cells = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", (F.col("tf") / F.sqrt("norm2")).alias("x")))).alias("m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return rows.select(key).distinct().join(cells, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(slots).cast("array<float>").alias("embedding"))
+    """(key, embedding): the same vectors of length 1 as arrays, a row for each row; a text without words has only zeros. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x = counted(batch.column("words"), dim)
+                x /= np.sqrt(np.maximum((x * x).sum(1, keepdims=True), 1))
+                flat = pa.array(x.astype(np.float32).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), flat)], [key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, T.words(F.coalesce(F.col(text), F.lit(""))).alias("words")).mapInArrow(run, f"`{key}` {kind}, embedding array<float>")
 
 
 def dot(a: Column, b: Column) -> Column:

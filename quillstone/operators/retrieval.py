@@ -30,20 +30,18 @@ def _ids(rows: list, queries: DataFrame) -> pa.Array:
     return pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
 
 
-def _best_of_block(queries: np.ndarray, lengths: np.ndarray, ids: pa.Array, n: int):
-    """For blocks of chunks (chunk_id, norm2, cells): each query's n best of the block and what ties with the last of them."""
+def _best_of_block(queries: np.ndarray, ids: pa.Array, n: int):
+    """For blocks of chunks (chunk_id, words): each query's n best of the block and what ties with the last of them."""
+    lengths = np.maximum((queries * queries).sum(1), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK_ROWS):
                 batch = whole.slice(start, CHUNK_ROWS)
-                cells = batch.column("cells")
-                at, flat = cells.offsets.to_numpy(), cells.values
-                x = np.zeros((batch.num_rows, queries.shape[1]))
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                x[row, flat.field("bucket").to_numpy()[at[0] : at[-1]]] = flat.field("tf").to_numpy()[at[0] : at[-1]]
-                # counts are integers, so products are exact
-                score = np.floor((queries @ x.T) / np.sqrt(lengths[:, None] * batch.column("norm2").to_numpy().astype(float)) * 1e9 + 0.5) / 1e9
+                x = embedding.counted(batch.column("words"))
+                # counts are integers, so products are exact; a text without words is no one's neighbour
+                norms = np.sqrt(lengths[:, None] * np.maximum((x * x).sum(1), 1))
+                score = np.floor((queries @ x.T) / norms * 1e9 + 0.5) / 1e9
                 if batch.num_rows > n:
                     score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = 0
                 q, c = np.nonzero(score > 0)
@@ -71,21 +69,18 @@ def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50, block_queries:
     """(query_id, chunk_id, score, dense_rank) by cosine of hashed word counts; chunks that share no bucket with a query are not ranked.
 
     Queries go in blocks of about block_queries, which travel with the code as a matrix and meet all chunks in blocks, each of which passes on its
-    best: no pair is shuffled but those. Products are integers, so scores don't depend on the order of summation.
+    best: nothing else is shuffled. Products are integers, so scores don't depend on the order of summation. A chunk_id names one chunk; the texts of
+    repeated query_ids are one query.
     """
     n = min(n, DENSE_CAP)
-    sparse = embedding.sparse_vectors(queries, "query_id")
-    c = embedding.sparse_vectors(chunks, "chunk_id")
-    asked = sparse.groupBy("query_id").agg(F.collect_list(F.struct("bucket", "tf")).alias("cells"), F.first("norm2").alias("norm2"))
+    words = T.words(F.coalesce("text", F.lit("")))
+    asked = queries.groupBy("query_id").agg(F.flatten(F.collect_list(words)).alias("words")).filter(F.size("words") > 0)
     kind = queries.schema["query_id"].dataType.simpleString()
-    blocks = c.groupBy("chunk_id").agg(F.first("norm2").alias("norm2"), F.collect_list(F.struct("bucket", "tf")).alias("cells")).select("chunk_id", "norm2", "cells")
+    blocks = chunks.select("chunk_id", words.alias("words"))
     parts = []
     for rows in _in_blocks(asked, block_queries):
-        matrix = np.zeros((len(rows), embedding.DIM))
-        for i, r in enumerate(rows):
-            matrix[i, [x["bucket"] for x in r["cells"]]] = [x["tf"] for x in r["cells"]]
-        run = _best_of_block(matrix, np.array([float(r["norm2"]) for r in rows]), _ids(rows, queries), n)
-        parts.append(blocks.mapInArrow(run, f"query_id {kind}, chunk_id string, score double"))
+        matrix = embedding.counted(pa.array([r["words"] for r in rows], pa.list_(pa.string())))
+        parts.append(blocks.mapInArrow(_best_of_block(matrix, _ids(rows, queries), n), f"query_id {kind}, chunk_id string, score double"))
     scored = _united(parts)
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "dense_rank")
 
