@@ -104,6 +104,13 @@ def paragraph_spans(docs: DataFrame, most: int = 1000, overlap: int = 1) -> Data
     return docs.select("doc_id", "text").mapInPandas(_packed(lambda t: pack_paragraphs(t, most, overlap)), SPANS + ", text string")
 
 
+DEFAULTS = {
+    "fixed": (fixed_spans, tuple(FIXED.values())),
+    "sentence": (sentence_spans, tuple(SENTENCE.values())),
+    "paragraph": (paragraph_spans, tuple(PARAGRAPH.values())),
+}
+
+
 def guard(spans: DataFrame) -> DataFrame:
     """Chunks of over 256 estimated tokens as windows of 1016 characters that begin every 888; others as they are."""
     n = F.length("text")
@@ -139,11 +146,19 @@ def assemble(spans: DataFrame, strategy: str, pages: DataFrame | None = None) ->
     return joined.withColumn("page_number", F.coalesce(F.get(numbers, F.lit(0)), F.get("spans", F.lit(0))["page_number"])).withColumn("spans_pages", F.when(F.size(on) > 1, numbers)).drop("spans")
 
 
-def chunks(docs: DataFrame, strategy: str = "fixed") -> DataFrame:
-    """Chunks of docs (doc_id, text) by one of the strategies fixed, sentence, paragraph; page_number is 1."""
+def chunks(docs: DataFrame, strategy: str = "fixed", size: int | None = None, overlap: int | None = None) -> DataFrame:
+    """Chunks of docs (doc_id, text) by one of the strategies fixed, sentence, paragraph; page_number is 1.
+
+    size: characters at most; overlap: characters (fixed), sentences or paragraphs that a chunk shares with the next. None takes the strategy's own.
+    """
+    if strategy not in DEFAULTS:
+        raise ValueError(f"no strategy {strategy!r}, only {', '.join(DEFAULTS)}")
+    spans, (own_size, own_overlap) = DEFAULTS[strategy]
+    size, overlap = own_size if size is None else size, own_overlap if overlap is None else overlap
+    if size < 1 or overlap < 0:
+        raise ValueError(f"size {size} must be at least 1 and overlap {overlap} at least 0")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = {"fixed": fixed_spans, "sentence": sentence_spans, "paragraph": paragraph_spans}[strategy](docs)
-    return assemble(spans, strategy)
+    return assemble(spans(docs, size, overlap), strategy)
 
 
 def entities(c):

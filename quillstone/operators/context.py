@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions.shipping import ship
 from . import understanding
 
 GAP, CUT, FLOOR = " … ", " … (truncated) … ", 80
@@ -86,11 +86,37 @@ INSTRUCTIONS = "Answer from the numbered sources only. Cite them as [n] after ea
 THIN_NOTE = "Only little material was found. Answer from what there is and say what is missing."
 
 
-def prompts(sources: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, prompt, tokens) from sources (query_id, rank, source, page_number, text) and queries (query_id, text, kind, task, thin)."""
-    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")), F.lit(", p."), F.coalesce("page_number", F.lit(0)).cast("string"), F.lit(")\n"), F.col("text"))
-    blocks = sources.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("blocks"))
+def _fitted(texts: Column, budget: Column, spark: SparkSession) -> Column:
+    """The texts within the budget; a null budget leaves them as they are."""
+    ship(spark)
+
+    def fit(lists: pd.Series, budgets: pd.Series) -> pd.Series:
+        return pd.Series([list(t) if pd.isna(b) else fit_budget(list(t), int(b)) for t, b in zip(lists, budgets, strict=True)], dtype=object)
+
+    return F.pandas_udf(fit, "array<string>")(texts, budget.cast("bigint"))
+
+
+def prompts(sources: DataFrame, queries: DataFrame, most: int = INPUT_TOKENS, most_context: int = 0) -> DataFrame:
+    """(query_id, prompt, tokens) from sources (query_id, rank, source, page_number, text) and queries (query_id, text, kind, task, thin).
+
+    The texts of sources are first cut to `most_context` tokens. A prompt of over `most` tokens gives its sources what the rest of it leaves. Both
+    cuts spare the first source and begin with the last; 0 is no limit. Where the rest of the prompt leaves nothing, sources stay as they are.
+    """
+    spark = queries.sparkSession
+    label = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")), F.lit(", p."), F.coalesce("page_number", F.lit(0)).cast("string"), F.lit(")\n"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", label.alias("label"), F.coalesce("text", F.lit("")).alias("t"))))
+    lists = sources.groupBy("query_id").agg(listed.alias("s")).select("query_id", F.col("s.label").alias("labels"), F.col("s.t").alias("texts"))
     hint, task = understanding.lookup(F.col("kind"), understanding.HINTS), understanding.lookup(F.col("task"), understanding.TASK_INSTRUCTIONS)
     part = lambda title, c: F.when(c != "", F.concat(F.lit(f"\n\n{title}: "), c)).otherwise("")
-    text = F.concat(F.lit(INSTRUCTIONS + "\n\nSOURCES:\n"), F.coalesce("blocks", F.lit("(no sources retrieved)")), F.lit("\n\nQUESTION: "), F.col("text"), part("QUERY-TYPE HINT", hint), part("TASK INSTRUCTIONS", task), F.when(F.col("thin"), "\n\n" + THIN_NOTE).otherwise(""), F.lit("\n\nANSWER:"))
-    return queries.join(blocks, "query_id", "left").select("query_id", text.alias("prompt")).withColumn("tokens", estimate(F.col("prompt")))
+    tail = F.concat(F.lit("\n\nQUESTION: "), F.col("text"), part("QUERY-TYPE HINT", hint), part("TASK INSTRUCTIONS", task), F.when(F.col("thin"), "\n\n" + THIN_NOTE).otherwise(""), F.lit("\n\nANSWER:"))
+    rows = queries.select("query_id", tail.alias("tail")).join(lists, "query_id", "left")
+    if most_context > 0:
+        rows = rows.withColumn("texts", _fitted(F.coalesce("texts", F.array().cast("array<string>")), F.lit(most_context), spark))
+    blocks = lambda: F.array_join(F.zip_with("labels", "texts", lambda a, t: F.concat(a, t)), "\n\n")
+    whole = lambda: F.concat(F.lit(INSTRUCTIONS + "\n\nSOURCES:\n"), F.coalesce(blocks(), F.lit("(no sources retrieved)")), F.col("tail"))
+    if most > 0:
+        size = F.aggregate("texts", F.lit(0), lambda n, t: n + F.length(t))
+        room = F.greatest(F.lit(most) - F.floor((F.length(whole()) - size) / 4), F.lit(0))
+        rows = rows.withColumn("room", F.when(estimate(whole()) > most, room))
+        rows = rows.withColumn("texts", F.when(F.col("room").isNull(), F.col("texts")).otherwise(_fitted(F.coalesce("texts", F.array().cast("array<string>")), F.col("room"), spark)))
+    return rows.select("query_id", whole().alias("prompt")).withColumn("tokens", estimate(F.col("prompt")))

@@ -227,3 +227,36 @@ def test_queries_in_several_blocks(spark):
     for leg, place in ((retrieval.dense_top, "dense_rank"), (retrieval.bm25_top, "bm25_rank")):
         found = [sorted(map(tuple, leg(queries, chunks, 8, block_queries=n).select("query_id", "chunk_id", "score", place).collect())) for n in (4096, 4, 1)]
         assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_prompts_keep_to_the_input_budget(spark):
+    long = "w" * 6000
+    rows = [(1, 1, "s", 1, long), (1, 2, "s", 2, long), (1, 3, "", None, "x" * 2000), (2, 1, "s", 1, "short"), (2, 2, None, 3, None)]
+    sources = spark.createDataFrame(rows, "query_id int, rank int, source string, page_number int, text string")
+    asked = spark.createDataFrame([(1, "q"), (2, "q"), (3, "q")], "query_id int, text string").selectExpr("*", "'informational' AS kind", "'answer' AS task", "false AS thin")
+    capped, free = ({r.query_id: r for r in context.prompts(sources, asked, most).collect()} for most in (3000, 0))
+    assert free[1].tokens > 3500 and capped[1].tokens <= 3010 and long in capped[1].prompt
+    overhead = (len(free[1].prompt) - 14000) // 4
+    texts = context.fit_budget([long, long, "x" * 2000], 3000 - overhead)
+    assert all(f"\n{t}\n\n" in capped[1].prompt for t in texts) and "[3] (unknown, p.0)" in capped[1].prompt
+    assert capped[2] == free[2] and "[2] (unknown, p.3)" in free[2].prompt and "(no sources retrieved)" in capped[3].prompt
+    narrow = {r.query_id: r for r in context.prompts(sources, asked, 0, 2000).collect()}
+    assert all(f"\n{t}\n\n" in narrow[1].prompt for t in context.fit_budget([long, long, "x" * 2000], 2000)) and narrow[2] == free[2]
+
+
+def test_chunk_options(docs):
+    small, own = chunking.chunks(docs, "fixed", 100, 10), chunking.chunks(docs, "fixed")
+    assert small.selectExpr("max(length(text))").first()[0] <= 100 and own.exceptAll(chunking.chunks(docs, "fixed", 500, 50)).isEmpty()
+    for bad in (("other",), ("fixed", 0), ("sentence", 10, -1)):
+        with pytest.raises(ValueError):
+            chunking.chunks(docs, *bad)
+
+
+def test_short_snippets_are_found_by_runs(spark):
+    texts = ["a bc def", "abc", "é x", "", None, "xyz  def", "zz"]
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    snips = ["a", "bc", "c d", "def", "é x", "z d", "nope", "", "yz def", "a bc def", "zz zz"]
+    found = evaluate.ground_truth(spark.createDataFrame(list(enumerate(snips)), "query_id int, text string").selectExpr("query_id", "query_id AS snippet_id", "text"), chunks)
+    want = {(i, str(j)) for i, s in enumerate(snips) for j, t in enumerate(texts) if s and t and s in " ".join(t.split())}
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
