@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import agent, chunking, context, evaluate, retrieval, stats, understanding, verify
+from .functions.shipping import ship
+from .operators import agent, chunking, context, evaluate, index, retrieval, stats, understanding, verify
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, documents: DataFrame, strategy: str = "fixed"):
-        """documents (doc_id, text, source, ...). Filter them to one user's first: every statistic is taken over what is given here."""
+    def __init__(self, spark: SparkSession, documents: DataFrame, strategy: str = "fixed", size: int | None = None, overlap: int | None = None, user_id=None):
+        """documents (doc_id, text, source, ...). With a user_id only this user's rows (column user_id) exist for the engine: every chunk, statistic
+        and answer is taken over them alone."""
+        ship(spark)
+        if user_id is not None:
+            documents = index.where_equal(documents, {"user_id": user_id})
         self.spark, self.documents = spark, documents
-        self.chunks = chunking.chunks(documents, strategy).join(documents.select("doc_id", "source"), "doc_id")
+        self.chunks = chunking.chunks(documents, strategy, size, overlap).join(documents.select("doc_id", "source"), "doc_id")
 
     def search(self, queries: DataFrame, k: int = 8) -> DataFrame:
         """Hybrid retrieval and reranking of queries (query_id, text)."""
@@ -26,15 +31,40 @@ class Engine:
         task = understanding.answer_task(q)
         return queries.select("query_id", "text", understanding.query_type(q).alias("kind"), task.alias("task"), understanding.retrieval_scope(q, task).alias("scope"))
 
-    def answer(self, queries: DataFrame, k: int = 8, hits: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Extractive answers with citations of their sources, checked: tables answers, sources, citations, copied, prompts."""
+    def widened(self, sources: DataFrame, window: int = 1) -> DataFrame:
+        """Sources with the text of their neighbours in the document; labels and ranks stay those of the source itself."""
+        merged = context.expand(sources.withColumn("key", F.struct("query_id", "rank")), self.chunks, window)
+        return sources.drop("text").join(merged.select("key.query_id", "key.rank", F.col("merged_text").alias("text")), ["query_id", "rank"])
+
+    def answer(self, queries: DataFrame, k: int = 8, hits: DataFrame | None = None, replies: DataFrame | None = None, judge: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Extractive answers with citations of their sources, checked: tables answers, sources, citations, copied, prompts, signals.
+
+        Prompts hold the sources with their neighbours, within the budgets of context and input. replies (query_id, reply): what a verifier said of
+        the answers; without one, groundedness counts as not verified. judge: replies on single citations, as `verify.validate` takes them.
+        """
         sources = self.search(queries, k) if hits is None else hits
         asked = self.understand(queries)
         thin = sources.groupBy("query_id").agg((F.count("*") < 2).alias("thin"))
-        prompts = context.prompts(sources, asked.join(thin, "query_id", "left").withColumn("thin", F.coalesce("thin", F.lit(True))))
+        asked = asked.join(thin, "query_id", "left").withColumn("thin", F.coalesce("thin", F.lit(True)))
+        prompts = context.prompts(self.widened(sources), asked, context.INPUT_TOKENS, context.CONTEXT_TOKENS)
         answers = cite(evaluate.extractive_answers(queries, sources), sources).withColumnRenamed("query_id", "answer_id")
         own = sources.withColumnRenamed("query_id", "answer_id")
-        return {"answers": answers, "sources": sources, "citations": verify.validate(answers, own), "copied": verify.verbatim(answers, own), "prompts": prompts}
+        citations = verify.validate(answers, own, judge)
+        return {"answers": answers, "sources": sources, "citations": citations, "copied": verify.verbatim(answers, own), "prompts": prompts, "signals": self.signals(answers, sources, citations, replies)}
+
+    def signals(self, answers: DataFrame, sources: DataFrame, citations: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+        """(answer_id, retrieval, n_valid, n_dropped, groundedness, verified, citation_coverage, capped): how far an answer can be trusted."""
+        scores = {"reranker_score", "fused_score"} - set(sources.columns)
+        found = retrieval.retrieval_signal(sources.withColumns({c: F.lit(None).cast("double") for c in scores})).withColumnRenamed("query_id", "answer_id")
+        valid, dropped = F.col("state") == "valid", (F.col("state") == "dropped") & F.col("chunk_id").isNotNull()
+        states = citations.groupBy("answer_id").agg(F.count_if(valid).alias("n_valid"), F.count_if(dropped).alias("n_dropped"))
+        rows = answers.join(found, "answer_id", "left").join(states, "answer_id", "left")
+        if replies is not None:
+            rows = rows.join(replies.select(F.col("query_id").alias("answer_id"), "reply"), "answer_id", "left")
+        said = verify.groundedness(F.col("reply") if replies is not None else F.lit(None).cast("string"), F.col("answer"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        rows = rows.withColumn("said", said).select("answer_id", F.coalesce("signal", F.lit(0.0)).alias("retrieval"), zero("n_valid").alias("n_valid"), zero("n_dropped").alias("n_dropped"), F.col("said.confidence").alias("groundedness"), F.col("said.verified").alias("verified"))
+        return verify.confidence(rows)
 
     def agent_answer(self, queries: DataFrame, k: int = 5) -> dict[str, DataFrame]:
         gathered = agent.run_offline(queries, lambda q: self.search(q, k).select("query_id", "chunk_id", "rank"))
