@@ -16,7 +16,8 @@ POSTINGS = "posting_id string, scope string, chunk_id string, term string, tf lo
 
 class Ingest:
     """foreachBatch writes are upserts by key into versioned folders, so a batch that is replayed after a failure changes nothing. Chunks whose
-    content hash is unchanged are not embedded again; chunks that their document no longer has are deleted first."""
+    content hash is unchanged are not embedded again; chunks that their document no longer has are deleted first. Of a batch's texts with one doc_id
+    the largest counts, so that a replay takes the same one."""
 
     def __init__(self, spark: SparkSession, path: str, strategy: str = "fixed"):
         self.strategy = strategy
@@ -25,7 +26,7 @@ class Ingest:
         self.postings = Collection(spark, f"{path}/postings", POSTINGS, "posting_id")
 
     def batch(self, docs: DataFrame, batch_id: int = 0) -> None:
-        docs = docs.dropDuplicates(["doc_id"]).select("doc_id", T.clean(F.coalesce("text", F.lit(""))).alias("text"))
+        docs = docs.groupBy("doc_id").agg(T.clean(F.coalesce(F.max("text"), F.lit(""))).alias("text"))
         new = chunking.chunks(docs, self.strategy).select(*[c.split()[0] for c in CHUNKS.split(", ")]).persist()
         try:
             current = self.chunks.table()

@@ -203,6 +203,8 @@ def test_ingest_is_idempotent(spark, tmp_path):
     rows((1, "alpha")).write.parquet(f"{root}/in/2")
     run()
     assert {r.doc_id: r.text for r in sink.chunks.table().collect()} == {1: "alpha", 2: "gamma"}
+    sink.batch(rows((2, "beta"), (2, ""), (2, "delta"), (2, "delta")))  # several texts of one id
+    assert {r.doc_id: r.text for r in sink.chunks.table().collect()} == {1: "alpha", 2: "delta"}
     assert {r.chunk_id for r in sink.vectors.table().collect()} == {r.chunk_id for r in sink.chunks.table().collect()} == {r.chunk_id for r in sink.postings.table().collect()}
 
 
