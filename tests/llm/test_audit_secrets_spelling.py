@@ -121,7 +121,7 @@ def test_ownership_adds_spans(spark):
 
 
 def test_secrets_with_a_hot_value(spark, tmp_path):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.when(F.col("id") % 3 == 0, f"token={KNOWN}").otherwise(F.concat(F.lit("token=own"), F.col("id"))).alias("text"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.when(F.col("id") % 3 == 0, f"token={KNOWN}").otherwise(F.concat(F.lit("token=owner"), F.col("id"))).alias("text"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op12_secret_owners(spark, str(tmp_path)).collect()
     assert len(found) == 3000 and all(r.n_assign == 1 and r.n_examples == (r.doc_id % 3 == 0) and r.spans.startswith("assign:0:") for r in found)
