@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..functions.workspace import written
 from . import understanding
 
 MAX_STEPS, TOP_K_CAP = 5, 20
@@ -107,50 +110,88 @@ def resolve_documents(requests: DataFrame, documents: DataFrame, shown: int = 10
     return met.select("query_id", F.coalesce("known", "scope", only, "asked").alias("target"), note.alias("note"))
 
 
-def run_loop(queries: list[tuple[str, str]], planner: Callable[[str, str, list], str], tools: dict[str, Callable[[list[tuple[str, dict]]], dict[str, list[str]]]], steps: int = MAX_STEPS, allowed: set[str] | None = None) -> dict[str, dict]:
-    """The general loop: one step for all open queries at a time, so a tool is called with a batch and can be one DataFrame job.
+ACTION = "query_id {kind}, step int, tool string, args string, arguments map<string,string>, status string"
+HISTORY = "step int, tool string, args string, status string, new bigint"
 
-    A query ends on finish, a planner's failure, a reply that can't be read on its first or second step, a repeated call, a call that brings nothing new
-    when there is evidence already, or after `steps`. Unknown, disallowed and incomplete calls are recorded and the query goes on.
+
+def _planned(planner: Callable[[str, list], str], step: int, tools: set[str], allowed: set[str] | None):
+    """For open queries (query_id, text, history): what the planner's reply asks for, and what becomes of it before any tool is called."""
+
+    def action(text: str, history: list[dict]) -> tuple:
+        try:
+            found = parse_action(planner(text, history))
+        except Exception:
+            return None, None, None, "planner_failed"
+        if found is None:
+            # a reply that can't be read ends the query on its first or second step
+            return None, None, None, "unreadable_stop" if len(history) < 2 else "unreadable"
+        tool, given = found["tool"], found["args"]
+        args = json.dumps(given, sort_keys=True)
+        arguments = {k: v if isinstance(v, str) else json.dumps(v) for k, v in given.items() if v is not None}
+        if tool == "finish":
+            status = "finish"
+        elif tool not in tools or (allowed is not None and tool not in allowed):
+            status = "unknown_tool"
+        elif any(not given.get(a) for a in TOOLS.get(tool, [])):
+            status = "missing_argument"
+        elif any(h["status"] == "ok" and h["tool"] == tool and h["args"] == args for h in history):
+            status = "repeated"
+        else:
+            status = "ok"
+        return tool, args, arguments, status
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(q, step, *action(t, [dict(h.asDict() if hasattr(h, "asDict") else h) for h in ([] if hs is None else hs)])) for q, t, hs in zip(frame["query_id"], frame["text"], frame["history"], strict=True)]
+            yield pd.DataFrame(rows, columns=["query_id", "step", "tool", "args", "arguments", "status"])
+
+    return run
+
+
+def run_loop(queries: DataFrame, planner: Callable[[str, list], str], tools: dict[str, Callable[[DataFrame], DataFrame]], steps: int = MAX_STEPS, allowed: set[str] | None = None) -> dict[str, DataFrame]:
+    """The general loop over queries (query_id, text), whose state is tables: one step of all open queries at a time.
+
+    planner(text, history) -> reply runs on the executors; history is a list of dicts (step, tool, args, status, new). A tool maps calls (query_id,
+    arguments) to hits (query_id, item, rank) and can be any DataFrame job. A query ends on finish, a planner's failure, a reply that can't be read
+    on its first or second step, a repeated call, a call that brings nothing new when there is evidence already, or after `steps`. Unknown,
+    disallowed and incomplete calls are recorded and the query goes on. Returns the tables outcome (query_id, stop, steps, chunks; stop is null after
+    `steps`), history (query_id and its fields) and collected (query_id, item, step, rank): each item of a query once, where it was first met.
     """
-    state = {q: {"collected": [], "history": [], "stop": None} for q, _ in queries}
-    text = dict(queries)
-    for _ in range(steps):
-        calls: dict[str, list[tuple[str, dict]]] = {}
-        for q, s in state.items():
-            if s["stop"]:
-                continue
-            try:
-                action = parse_action(planner(q, text[q], s["history"]))
-            except Exception:
-                s["stop"] = "planner_failed"
-                continue
-            if action is None:
-                s["history"].append({"tool": None, "status": "unreadable"})
-                if not s["history"][:-1][1:]:
-                    s["stop"] = "unreadable"
-                continue
-            tool, args = action["tool"], action["args"]
-            call = {"tool": tool, "args": json.dumps(args, sort_keys=True)}
-            if tool == "finish":
-                s["stop"] = "finish"
-            elif tool not in tools or (allowed is not None and tool not in allowed):
-                s["history"].append(call | {"status": "unknown_tool"})
-            elif [a for a in TOOLS.get(tool, []) if not args.get(a)]:
-                s["history"].append(call | {"status": "missing_argument"})
-            elif any(h.get("args") == call["args"] and h["tool"] == tool and h["status"] == "ok" for h in s["history"]):
-                s["stop"] = "repeated"
-            else:
-                calls.setdefault(tool, []).append((q, args))
-        for tool, batch in calls.items():
-            found = tools[tool](batch)
-            for q, args in batch:
-                s = state[q]
-                new = [c for c in found.get(q, []) if c not in s["collected"]]
-                s["history"].append({"tool": tool, "args": json.dumps(args, sort_keys=True), "status": "ok", "new": len(new)})
-                if not new and s["collected"]:
-                    s["stop"] = "no_progress"
-                s["collected"] += new
-        if all(s["stop"] for s in state.values()):
+    spark, kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    ship(spark)
+    open_ = written(queries.select("query_id", "text").dropDuplicates(["query_id"]), "open")
+    every = open_.select("query_id")
+    history = spark.createDataFrame([], f"query_id {kind}, {HISTORY}")
+    collected = spark.createDataFrame([], f"query_id {kind}, item string, step int, rank int")
+    stopped = spark.createDataFrame([], f"query_id {kind}, stop string")
+    fields = [c.split()[0] for c in HISTORY.split(", ")]
+    for step in range(1, steps + 1):
+        past = history.join(open_.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("history"))
+        asked = open_.join(past, "query_id", "left").select("query_id", "text", "history")
+        acts = written(asked.mapInPandas(_planned(planner, step, set(tools), allowed), ACTION.format(kind=kind)), "actions")
+        hits = None
+        for name in sorted(tools):
+            calls = acts.filter((F.col("status") == "ok") & (F.col("tool") == name)).select("query_id", "arguments")
+            if not calls.isEmpty():
+                one = tools[name](calls).select("query_id", F.col("item").cast("string").alias("item"), F.lit(step).alias("step"), F.col("rank").cast("int").alias("rank"))
+                hits = one if hits is None else hits.unionByName(one)
+        met = spark.createDataFrame([], collected.schema) if hits is None else hits
+        fresh = met.join(collected.select("query_id", "item"), ["query_id", "item"], "left_anti").groupBy("query_id", "item", "step").agg(F.min("rank").alias("rank"))
+        fresh = written(fresh.select(*collected.columns), "fresh")
+        new = fresh.groupBy("query_id").agg(F.count("*").alias("new"))
+        had = collected.select("query_id").distinct().withColumn("had", F.lit(True))
+        acts = acts.join(new, "query_id", "left").join(had, "query_id", "left")
+        no_progress = (F.col("status") == "ok") & F.col("new").isNull() & F.coalesce("had", F.lit(False))
+        stop = F.when(F.col("status").isin("finish", "planner_failed", "repeated"), F.col("status")).when(F.col("status") == "unreadable_stop", "unreadable").when(no_progress, "no_progress")
+        acts = written(acts.withColumn("stop", stop), "acted")
+        kept = acts.filter(~F.col("status").isin("finish", "planner_failed", "repeated"))
+        status = F.when(F.col("status") == "unreadable_stop", "unreadable").otherwise(F.col("status"))
+        history = written(history.unionByName(kept.select("query_id", "step", "tool", "args", status.alias("status"), F.when(F.col("status") == "ok", F.coalesce("new", F.lit(0))).alias("new"))), "history")
+        collected = written(collected.unionByName(fresh), "collected")
+        stopped = written(stopped.unionByName(acts.filter("stop is not null").select("query_id", "stop")), "stopped")
+        open_ = written(open_.join(stopped.select("query_id"), "query_id", "left_anti"), "open")
+        if open_.isEmpty():
             break
-    return state
+    n = lambda rows, name: rows.groupBy("query_id").agg(F.count("*").alias(name))
+    outcome = every.join(stopped, "query_id", "left").join(n(history, "steps"), "query_id", "left").join(n(collected, "chunks"), "query_id", "left")
+    return {"outcome": outcome.select("query_id", "stop", F.coalesce("steps", F.lit(0)).alias("steps"), F.coalesce("chunks", F.lit(0)).alias("chunks")), "history": history, "collected": collected}

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from . import embedding, index
+from . import embedding, lexical_index
+from .lexical_index import LexicalIndex
 
 #: Chunks that meet a block of queries at a time.
 CHUNK_ROWS = 1_024
 RRF_K, DENSE_CAP, WHOLE_DOCUMENT_CAP = 60, 100, 400
-K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def top_by(rows: DataFrame, group: str, order: list[Column], n: int, name: str) -> DataFrame:
@@ -85,67 +85,26 @@ def dense_top(queries: DataFrame, chunks: DataFrame, n: int = 50, block_queries:
     return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "dense_rank")
 
 
-def _sum_of_block(first: np.ndarray, asked: np.ndarray, times: np.ndarray, ids: pa.Array, n: int):
-    """For blocks of chunks (chunk_id, hits of (term, weight)): each query's n best of the block and ties. Term t is asked by asked[first[t]:first[t + 1]].
+def bm25_top(queries: DataFrame, chunks: DataFrame | LexicalIndex, n: int = 50, scope: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, bm25_rank). Only chunks with a query word are ranked; repeated query words count as often as they occur.
 
-    Parts are whole multiples of 1e-10, which a double adds up exactly.
+    chunks: a stored index, or a table that is indexed for this call. Inverse document frequencies below 0 are set to a quarter of the mean over the
+    scope's vocabulary. Queries have a column `scope` if one is given (for a stored index: any column, its scopes are those it was made with):
+    statistics are the scope's own.
     """
+    stored = chunks if isinstance(chunks, LexicalIndex) else lexical_index.build(chunks, scope)
+    return stored.search(queries, n, scoped=scope is not None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                hits = batch.column("hits")
-                at = hits.offsets.to_numpy()
-                flat = hits.values.slice(at[0], at[-1] - at[0])
-                term, weight = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
-                by = first[term + 1] - first[term]
-                chunk = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(at)), by)
-                entry = np.repeat(first[term] - (np.cumsum(by) - by), by) + np.arange(by.sum())
-                part = np.floor(np.repeat(weight, by) * times[entry] * 1e10 + 0.5)
-                score = np.bincount(asked[entry] * batch.num_rows + chunk, part, len(ids) * batch.num_rows).reshape(len(ids), -1)
-                met = np.bincount(asked[entry] * batch.num_rows + chunk, minlength=len(ids) * batch.num_rows).reshape(len(ids), -1) > 0
-                score = np.where(met, np.floor(score / 1e4 + 0.5) / 1e6, -np.inf)
-                if batch.num_rows > n:
-                    met &= score >= -np.partition(-score, n - 1, 1)[:, n - 1 : n]
-                q, c = np.nonzero(met)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
 
-    return run
-
-
-def bm25_top(queries: DataFrame, chunks: DataFrame, n: int = 50, scope: Column | None = None, block_queries: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, score, bm25_rank). Only chunks with a query word are ranked; repeated query words count as often as they occur.
-
-    Inverse document frequencies below 0 are set to a quarter of the mean over the scope's vocabulary. Queries have a column `scope` if one is given:
-    statistics are the scope's own. Queries without a scope meet postings in blocks of about block_queries queries and of chunks. Queries with one meet
-    their scope's postings only, which are joined by scope and word.
-    """
-    posted = index.postings(chunks, scope)
-    stats = index.scope_stats(posted, chunks, scope)
-    df = posted.groupBy("scope", "term").agg(F.count("*").alias("df")).join(stats, "scope")
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("scope").agg((F.sum("idf") / F.count("*") * EPSILON).alias("floor"))
-    idf = raw.join(mean, "scope").select("scope", "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("query_id", (F.lit("all") if scope is None else F.col("scope").cast("string")).alias("scope"), F.explode(T.words(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("times"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    if scope is None:
-        kind, parts = queries.schema["query_id"].dataType.simpleString(), []
-        for rows in _in_blocks(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("terms")), block_queries):
-            number: dict[str, int] = {}
-            entries = sorted((number.setdefault(t["term"], len(number)), q, t["times"]) for q, r in enumerate(rows) for t in r["terms"])
-            first = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(number) + 1))
-            terms = queries.sparkSession.createDataFrame(list(number.items()), "term string, term_no int")
-            hits = posted.join(terms.join(idf, "term"), ["scope", "term"]).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("term_no").alias("term"), weight.alias("weight"))).alias("hits"))
-            run = _sum_of_block(first, np.array([e[1] for e in entries], np.int64), np.array([float(e[2]) for e in entries]), _ids(rows, queries), n)
-            parts.append(hits.mapInArrow(run, f"query_id {kind}, chunk_id string, score double"))
-        scored = _united(parts)
-    else:
-        part = (F.col("times") * weight).cast("decimal(24,10)")  # decimal parts add up to the same sum in any order
-        met = posted.join(asked.join(idf, ["scope", "term"]), ["scope", "term"])
-        scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part).cast("double"), 6).alias("score"))
-    return top_by(scored, "query_id", [F.col("score").desc(), F.col("chunk_id")], n, "bm25_rank")
+def dense_in_documents(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
+    """dense_top of queries (query_id, text, doc_id) over the chunks of their own documents, by a join on document and bucket."""
+    asked = embedding.sparse_vectors(queries, "query_id").join(queries.select("query_id", "doc_id"), "query_id")
+    own = chunks.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = embedding.sparse_vectors(own, "chunk_id").join(own.select("chunk_id", "doc_id"), "chunk_id")
+    asked = asked.select("query_id", "doc_id", "bucket", F.col("tf").alias("q_tf"), F.col("norm2").alias("q_norm2"))
+    met = held.join(asked, ["doc_id", "bucket"]).groupBy("query_id", "chunk_id", "norm2", "q_norm2").agg(F.sum(F.col("tf") * F.col("q_tf")).alias("both"))
+    score = F.floor(F.col("both") / F.sqrt(F.col("norm2").cast("double") * F.col("q_norm2")) * 1e9 + 0.5) / 1e9
+    return top_by(met.select("query_id", "chunk_id", score.alias("score")), "query_id", [F.col("score").desc(), F.col("chunk_id")], min(n, DENSE_CAP), "dense_rank")
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, n: int = 50, k: int = RRF_K) -> DataFrame:
@@ -168,8 +127,9 @@ def hydrate(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
     return hits.join(chunks.select("chunk_id", *columns), "chunk_id")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
-    fused = rrf_fuse(dense_top(queries, chunks, n), bm25_top(queries, chunks, n), n)
+def hybrid(queries: DataFrame, chunks: DataFrame, n: int = 50, lexical: LexicalIndex | None = None) -> DataFrame:
+    """Both legs, fused and with the chunks' columns. Chunks are read by each leg and once more, so they should be a stored table; lexical: their index."""
+    fused = rrf_fuse(dense_top(queries, chunks, n), bm25_top(queries, chunks if lexical is None else lexical, n), n)
     return hydrate(fused, chunks, "doc_id", "text", "chunk_index", "char_start", "char_end", "page_number")
 
 

@@ -14,6 +14,8 @@ WIDEST = 1_000
 # Phrases by which an answer declines.
 ABSTENTIONS = ["don't have enough information", "do not have enough information", "not contained in the provided", "not contained in the sources"]
 OVERLAP, COPIED, MANY_COPIED, SHORTEST = 0.6, 0.8, 0.5, 6
+#: Words of a seed: at most what a copied run of the shortest sentence has.
+SEED = 5
 CONFIDENCE = {"supported": 0.9, "supported_by_judge": 0.75, "contradicted": 0.9, "not_mentioned": 0.75, "unverified": 0.0, "invalid": 0.0}
 
 
@@ -103,16 +105,24 @@ def answer_sentences(answers: DataFrame) -> DataFrame:
 def verbatim(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(answer_id, total, flagged, ratio, warning): sentences of six words or more of which over 0.8 is one run of a source's words.
 
-    A word is a run of letters and digits of any script and underscores. Runs come from a join on words: equal words of a sentence and a chunk with the same difference of places and no hole are one run.
+    A word is a run of letters and digits of any script and underscores. A run that counts for a sentence of n words has L = floor(0.8 n) + 1 of them or
+    more, so it covers L - SEED + 1 places where SEED words begin, one of which is a multiple of that number: seeds are the runs of SEED words at
+    those places only, and every such run of a source. Equal seeds give the sentence's place in the source, where all words are compared.
     """
-    spoken = answer_sentences(answers).withColumn("w", T.word_runs(F.col("sentence"))).filter(F.size("w") >= SHORTEST)
-    said = spoken.select("answer_id", "sentence_no", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    read = sources.select("answer_id", "rank", F.posexplode(T.word_runs(F.col("text"))).alias("j", "word"))
-    met = said.join(read, ["answer_id", "word"]).withColumn("d", F.col("i") - F.col("j"))
-    runs = Window.partitionBy("answer_id", "sentence_no", "rank", "d").orderBy("i")
-    islands = met.withColumn("island", F.col("i") - F.row_number().over(runs)).groupBy("answer_id", "sentence_no", "n", "rank", "d", "island").agg(F.count("*").alias("size"))
-    best = islands.groupBy("answer_id", "sentence_no").agg(F.max(F.col("size") / F.col("n")).alias("share"))
-    per = spoken.select("answer_id", "sentence_no").join(best, ["answer_id", "sentence_no"], "left").groupBy("answer_id").agg(F.count("*").alias("total"), F.sum(F.when(F.col("share") > COPIED, 1).otherwise(0)).alias("flagged"))
+    least = (F.floor(F.size("w") * COPIED + 1e-9) + 1).cast("int")
+    numbered = answer_sentences(answers).withColumn("w", T.word_runs(F.col("sentence"))).filter(F.size("w") >= SHORTEST).withColumn("least", least)
+    spoken = numbered.select("answer_id", "sentence_no", "w", "least")
+    read = sources.select("answer_id", "rank", T.word_runs(F.col("text")).alias("words")).filter(F.size("words") >= SEED)
+    seed = lambda words, i: F.array_join(F.slice(words, i + 1, SEED), " ")
+    starts = F.sequence(F.lit(0), F.size("w") - SEED, F.col("least") - SEED + 1)
+    said = spoken.select("answer_id", "sentence_no", F.explode(starts).alias("i"), "w").select("answer_id", "sentence_no", "i", seed(F.col("w"), F.col("i")).alias("seed"))
+    heard = read.select("answer_id", "rank", F.explode(F.sequence(F.lit(0), F.size("words") - SEED)).alias("j"), "words").select("answer_id", "rank", "j", seed(F.col("words"), F.col("j")).alias("seed"))
+    places = said.join(heard, ["answer_id", "seed"]).select("answer_id", "sentence_no", "rank", (F.col("j") - F.col("i")).alias("shift")).distinct()
+    both = places.join(spoken, ["answer_id", "sentence_no"]).join(read, ["answer_id", "rank"])
+    equal = F.transform("w", lambda x, k: F.when(x == F.get("words", k + F.col("shift")), "1").otherwise("0"))
+    copied = F.contains(F.array_join(equal, ""), F.repeat(F.lit("1"), F.col("least")))
+    best = both.filter(copied).select("answer_id", "sentence_no").distinct().withColumn("copied", F.lit(1))
+    per = spoken.select("answer_id", "sentence_no").join(best, ["answer_id", "sentence_no"], "left").groupBy("answer_id").agg(F.count("*").alias("total"), F.count("copied").alias("flagged"))
     out = answers.select("answer_id").join(per, "answer_id", "left").select("answer_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("flagged", F.lit(0)).alias("flagged"))
     ratio = F.when(F.col("total") > 0, F.round(F.col("flagged") / F.col("total"), 3)).otherwise(0.0)
     return out.withColumn("ratio", ratio).withColumn("warning", F.when(F.col("ratio") > MANY_COPIED, "high_verbatim"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.shipping import ship
+from ..functions.workspace import written
 from ..operators import chunking
 
 QUERIES: dict = {}
@@ -62,6 +63,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(docs.select("doc_id", "text"), "fixed")
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks, written once for queries that read them several times."""
+    return written(chunks(spark, sf_dir), "chunks")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, context, evaluate, retrieval, verify
+from ..operators import agent, context, evaluate, lexical_index, retrieval, verify
 from ..streaming import cache
 from . import base
 from .base import CHUNKS, QUESTIONS, RERANKED, SEARCH, content_sql, fixture, literal, query, sentences_sql, values
 
 
 def ranked(spark, d, k: int = 8):
-    chunks, asked = base.chunks(spark, d), base.questions(spark, d)
+    chunks, asked = base.stored_chunks(spark, d), base.questions(spark, d)
     return retrieval.lexical_rerank(retrieval.hybrid(asked, chunks, 50), asked, k)
 
 
-_EXPAND = f"""WITH RECURSIVE {CHUNKS}, hits AS (SELECT chunk_id AS key, doc_id, chunk_index, char_start, char_end FROM chunks WHERE chunk_index % 7 = 0),
+_EXPAND = f"""WITH RECURSIVE {CHUNKS}, hits AS (SELECT chunk_id AS key, doc_id, chunk_index, char_start, char_end FROM chunks),
  near AS (SELECT h.key, min(c.char_start) AS a, max(c.char_end) AS b, list(c.chunk_index ORDER BY c.char_start, c.char_end) AS chunk_indices FROM hits h JOIN chunks c ON c.doc_id = h.doc_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY 1)
  SELECT n.key, md5(substring(d.text, CAST(n.a + 1 AS BIGINT), CAST(n.b - n.a AS BIGINT))) AS digest, n.chunk_indices, n.a AS range_start, n.b AS range_end FROM near n JOIN chunks h ON h.chunk_id = n.key JOIN documents d ON d.doc_id = h.doc_id"""
 
 
 @query("g01_expand", _EXPAND)
 def expand(spark, d):
-    return _expand(base.chunks(spark, d), "chunk_index % 7 = 0")
-
-
-@query("g01_expand_whole")
-def expand_whole(spark, d):
-    return _expand(base.chunks(spark, d), "true")
-
-
-def _expand(rows, which):
-    hits = rows.filter(which).select(F.col("chunk_id").alias("key"), "chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "text")
+    rows = base.stored_chunks(spark, d)
+    hits = rows.select(F.col("chunk_id").alias("key"), "chunk_id", "doc_id", "chunk_index", "char_start", "char_end", "text")
     return context.expand(hits, rows, 1).select("key", F.md5("merged_text").alias("digest"), "chunk_indices", "range_start", "range_end")
 
 
@@ -305,15 +299,13 @@ def resolve_documents(spark, d):
     return agent.resolve_documents(fixture(spark, _WANTED, WANTED), base.read(spark, d, "documents"))
 
 
-def _multi(spark, d, asked=None):
-    if asked is None:
-        asked = base.questions(spark, d).withColumn("text", F.concat(F.substring("text", 1, 60), F.lit(" and "), F.substring("text", 61, 60)))
-    rows = base.chunks(spark, d)
+def _multi(spark, d):
+    asked, rows = base.questions(spark, d), base.stored_chunks(spark, d)
     gathered = agent.run_offline(asked, lambda q: retrieval.bm25_top(q, rows, 5).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank")))
     return asked, gathered
 
 
-_MULTI = f"""WITH asked0 AS (SELECT item_id AS qid, substring(text, 1, 60) || ' and ' || substring(text, 61, 60) AS text FROM benchmark),
+_MULTI = f"""WITH asked0 AS (SELECT item_id AS qid, text FROM benchmark),
  parts AS (SELECT qid, i, regexp_replace(s, '^[ ,.\\-]+|[ ,.\\-]+$', '', 'g') AS s FROM (SELECT qid, unnest(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?')) AS s, generate_subscripts(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?'), 1) AS i FROM asked0)),
  uniq AS (SELECT *, row_number() OVER (PARTITION BY qid, lower(s) ORDER BY i) AS copy FROM parts WHERE length(s) > 3),
  subs AS (SELECT qid, s AS text, row_number() OVER (PARTITION BY qid ORDER BY i) AS step FROM uniq WHERE copy = 1 QUALIFY step <= 3),
@@ -327,37 +319,35 @@ def offline_agent(spark, d):
     return _multi(spark, d)[1]
 
 
-@query("l06_offline_agent_whole")
-def offline_agent_whole(spark, d):
-    return _multi(spark, d, base.questions(spark, d))[1]
-
-
-@query("l07_trajectory_whole")
-def trajectory_whole(spark, d):
-    asked, gathered = _multi(spark, d, base.questions(spark, d))
-    return agent.trajectory_stats(agent.trajectory(gathered, agent.offline_plan(asked), asked))
-
-
 @query("l07_trajectory", _MULTI + ", s AS (SELECT qid, count(*) AS steps FROM subs GROUP BY 1), c AS (SELECT qid, count(*) AS chunks FROM kept GROUP BY 1), t AS (SELECT qid, coalesce(steps, 0) AS steps, coalesce(chunks, 0) AS chunks, chunks IS NULL AS fb FROM asked0 LEFT JOIN s USING (qid) LEFT JOIN c USING (qid)) SELECT round(sum(steps) / count(*), 3) AS avg_steps, round(sum(steps) / count(*), 3) AS avg_tool_calls, round(sum(chunks) / count(*), 3) AS avg_chunks_gathered, count(*) FILTER (steps > 1) AS multi_hop_queries, count(*) FILTER (fb) AS fallback_queries, count(*) FILTER (steps >= 5) AS hit_max_steps FROM t")
 def trajectory(spark, d):
     asked, gathered = _multi(spark, d)
     return agent.trajectory_stats(agent.trajectory(gathered, agent.offline_plan(asked), asked))
 
 
-@query("l01_agent_loop")
+_LOOP = f"""WITH w AS (SELECT item_id AS qid, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+ acts AS (SELECT qid, array_to_string(w[1:8], ' ') AS a1, array_to_string(w[5:12], ' ') AS a2 FROM w),
+ questions AS (SELECT qid || '#1' AS query_id, a1 AS text FROM acts UNION ALL SELECT qid || '#2', a2 FROM acts WHERE a2 <> a1),{CHUNKS},{base.BM25},
+ found AS (SELECT split_part(query_id, '#', 1) AS qid, split_part(query_id, '#', 2) AS step, chunk_id FROM bm25 WHERE bm25_rank <= 5),
+ n1 AS (SELECT qid, count(*) AS n FROM found WHERE step = '1' GROUP BY 1),
+ n2 AS (SELECT qid, count(*) AS n FROM found f WHERE step = '2' AND NOT EXISTS (SELECT 1 FROM found g WHERE g.qid = f.qid AND g.step = '1' AND g.chunk_id = f.chunk_id) GROUP BY 1),
+ s AS (SELECT CAST(a.qid AS VARCHAR) AS query_id, a1, a2, coalesce(n1.n, 0) AS x, coalesce(n2.n, 0) AS y FROM acts a LEFT JOIN n1 ON n1.qid = CAST(a.qid AS VARCHAR) LEFT JOIN n2 ON n2.qid = CAST(a.qid AS VARCHAR))
+ SELECT query_id, CASE WHEN a1 = a2 AND a1 <> '' THEN 'repeated' WHEN a2 <> '' AND x > 0 AND y = 0 THEN 'no_progress' ELSE 'finish' END AS stop,
+        CASE WHEN a1 = a2 AND a1 <> '' THEN 1 ELSE 2 END AS steps, x + CASE WHEN a1 = a2 THEN 0 ELSE y END AS chunks FROM s"""
+
+
+@query("l01_agent_loop", _LOOP)
 def agent_loop(spark, d):
-    rows = base.chunks(spark, d)
-    questions = [(str(r["query_id"]), r["text"]) for r in base.questions(spark, d).orderBy("query_id").collect()]  # the benchmark; the loop works in batches
+    """A planner that asks for eight words of the question, then for eight that begin with its fifth, then finishes."""
+    stored = lexical_index.build(base.chunks(spark, d))
+    asked = base.questions(spark, d).select(F.col("query_id").cast("string").alias("query_id"), "text")
 
-    def planner(q, text, history):
-        return '{"tool": "finish"}' if len(history) > 1 else '{"tool": "retrieve_docs", "args": {"query": "%s"}}' % " ".join(text.split()[len(history) * 4 : len(history) * 4 + 8]).replace('"', "")
+    def planner(text, history):
+        words = text.split()[len(history) * 4 : len(history) * 4 + 8]
+        return '{"tool": "finish"}' if len(history) > 1 else json.dumps({"tool": "retrieve_docs", "args": {"query": " ".join(words)}})
 
-    def retrieve(batch):
-        asked = fixture(spark, "query_id string, text string", [(q, a["query"]) for q, a in batch])
-        out: dict[str, list[str]] = {}
-        for r in retrieval.bm25_top(asked, rows, 5).orderBy("query_id", "bm25_rank").collect():  # five a question
-            out.setdefault(r["query_id"], []).append(r["chunk_id"])
-        return out
+    def retrieve(calls):
+        found = retrieval.bm25_top(calls.select("query_id", F.col("arguments")["query"].alias("text")), stored, 5)
+        return found.select("query_id", F.col("chunk_id").alias("item"), F.col("bm25_rank").alias("rank"))
 
-    state = agent.run_loop(questions, planner, {"retrieve_docs": retrieve})
-    return fixture(spark, "query_id string, stop string, steps int, chunks int", [(q, s["stop"], len(s["history"]), len(s["collected"])) for q, s in state.items()])
+    return agent.run_loop(asked, planner, {"retrieve_docs": retrieve})["outcome"]

@@ -13,45 +13,33 @@ from .queries_answer import _EXTRACT, _MULTI, _multi, ranked
 
 
 def _snippets(spark, d):
-    return base.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("snippet_id"), F.substring("text", 1, 120).alias("text"))
-
-
-def _whole_snippets(spark, d):
     """Each benchmark text in as many snippets of nearly the same length, 120 characters at most, as hold all of it."""
     rows = base.read(spark, d, "benchmark").filter("length(text) > 0").withColumn("n", F.ceil(F.length("text") / 120).cast("int"))
     rows = rows.withColumn("width", F.ceil(F.length("text") / F.col("n")).cast("int")).withColumn("snippet_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return rows.select(F.col("item_id").alias("query_id"), "snippet_id", F.substring("text", F.col("snippet_id") * F.col("width") + 1, F.col("width")).alias("text")).filter("trim(text) <> ''")
 
 
-def _truth(spark, d, snippets=_snippets):
-    return evaluate.ground_truth(snippets(spark, d), base.chunks(spark, d))
+def _truth(spark, d):
+    return evaluate.ground_truth(_snippets(spark, d), base.chunks(spark, d))
 
 
-_SNIP = "trim(regexp_replace(substring(b.text, 1, 120), '\\s+', ' ', 'g'))"
 _BODY = "trim(regexp_replace(c.text, '\\s+', ' ', 'g'))"
-_TRUTH = f" truth AS (SELECT DISTINCT b.item_id AS query_id, c.chunk_id FROM benchmark b JOIN chunks c ON contains({_BODY}, {_SNIP}))"
+_TRUTH = f""" snips AS (SELECT query_id, snippet_id, trim(regexp_replace(substring(text, snippet_id * width + 1, width), '\\s+', ' ', 'g')) AS snippet FROM (
+   SELECT query_id, text, width, unnest(range(0, n)) AS snippet_id FROM (SELECT item_id AS query_id, text, CAST(ceil(length(text) / 120) AS BIGINT) AS n, CAST(ceil(length(text) / ceil(length(text) / 120)) AS BIGINT) AS width FROM benchmark WHERE length(text) > 0))),
+ held AS (SELECT DISTINCT s.query_id, s.snippet_id, c.chunk_id FROM snips s JOIN chunks c ON contains({_BODY}, s.snippet) WHERE s.snippet <> ''),
+ truth AS (SELECT DISTINCT query_id, chunk_id FROM held)"""
 
 
-@query("v01_ground_truth", f"WITH {CHUNKS},{_TRUTH} SELECT query_id, query_id AS snippet_id, chunk_id FROM truth")
+@query("v01_ground_truth", f"WITH {CHUNKS},{_TRUTH} SELECT query_id, CAST(snippet_id AS INTEGER) AS snippet_id, chunk_id FROM held")
 def ground_truth(spark, d):
     return _truth(spark, d)
 
 
-@query("v01_unmatched", f"WITH {CHUNKS},{_TRUTH} SELECT item_id AS query_id, item_id AS snippet_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM truth)")
+@query("v01_unmatched", f"WITH {CHUNKS},{_TRUTH} SELECT query_id, CAST(snippet_id AS INTEGER) AS snippet_id FROM snips WHERE snippet <> '' AND (query_id, snippet_id) NOT IN (SELECT (query_id, snippet_id) FROM held)")
 def unmatched(spark, d):
     return evaluate.unmatched(_snippets(spark, d), _truth(spark, d))
 
 
-@query("v01_ground_truth_whole")
-def ground_truth_whole(spark, d):
-    return _truth(spark, d, _whole_snippets)
-
-
-@query("v01_unmatched_whole")
-def unmatched_whole(spark, d):
-    return evaluate.unmatched(_whole_snippets(spark, d), _truth(spark, d, _whole_snippets))
-
-
 _PER = f""",{_TRUTH},
  firsts AS (SELECT query_id, min(rank) AS first, count(*) AS n FROM ranked JOIN truth USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY 1),
  per AS (SELECT q.query_id, CASE WHEN q.query_id % 3 = 0 THEN 'identifier' WHEN q.query_id % 3 = 1 THEN 'general' ELSE 'multi_hop' END AS category, f.first AS first_rank, CASE WHEN f.first <= 5 THEN 1.0 ELSE 0.0 END AS recall_at_k,
@@ -63,9 +51,8 @@ def _categories(spark, d):
     return base.questions(spark, d).withColumn("category", kind)
 
 
-def _per(spark, d, snippets=_snippets):
-    hits = ranked(spark, d)
-    return evaluate.retrieval_metrics(_categories(spark, d), hits, _truth(spark, d, snippets), 5)
+def _per(spark, d):
+    return evaluate.retrieval_metrics(_categories(spark, d), ranked(spark, d), _truth(spark, d), 5)
 
 
 @query("v02_retrieval_metrics", SEARCH + RERANKED + _PER + " SELECT * FROM per")
@@ -73,11 +60,6 @@ def retrieval_metrics(spark, d):
     return _per(spark, d)
 
 
-@query("v02_retrieval_metrics_whole")
-def retrieval_metrics_whole(spark, d):
-    return _per(spark, d, _whole_snippets)
-
-
 @query("v03_summary", SEARCH + RERANKED + _PER + " SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(reciprocal_rank), 4) AS reciprocal_rank, round(avg(precision_at_k), 4) AS precision_at_k FROM per GROUP BY GROUPING SETS ((), (category))")
 def summary(spark, d):
     return evaluate.summarise(_per(spark, d), ["recall_at_k", "reciprocal_rank", "precision_at_k"])
@@ -90,7 +72,7 @@ _MODES = f""",{_TRUTH}, modes AS (SELECT query_id, chunk_id, dense_rank AS rank,
 
 @query("v04_compare_modes", SEARCH + RERANKED + _MODES)
 def compare_modes(spark, d):
-    q, c, truth = base.questions(spark, d), base.chunks(spark, d), _truth(spark, d)
+    q, c, truth = base.questions(spark, d), base.stored_chunks(spark, d), _truth(spark, d)
     dense = retrieval.dense_top(q, c, 50)
     hybrid = retrieval.hydrate(retrieval.rrf_fuse(dense, retrieval.bm25_top(q, c, 50), 50), c, "text")
     modes = [("dense", dense.withColumn("rank", F.col("dense_rank"))), ("hybrid", hybrid.withColumn("rank", F.col("place"))), ("rerank", retrieval.lexical_rerank(hybrid, q, 8))]
@@ -173,17 +155,8 @@ _SWEEP = _MULTI.replace("WHERE bm25_rank <= 5", "WHERE bm25_rank <= 5") + f""",{
 
 @query("v10_budget_sweep", _SWEEP)
 def budget_sweep(spark, d):
-    asked = base.questions(spark, d).withColumn("text", F.concat(F.substring("text", 1, 60), F.lit(" and "), F.substring("text", 61, 60)))
-    return _sweep(spark, d, asked, _truth(spark, d))
-
-
-@query("v10_budget_sweep_whole")
-def budget_sweep_whole(spark, d):
-    return _sweep(spark, d, base.questions(spark, d), _truth(spark, d, _whole_snippets))
-
-
-def _sweep(spark, d, asked, truth):
-    rows, truth = base.chunks(spark, d), truth.select("query_id", "chunk_id").distinct()
+    asked, rows = base.questions(spark, d), base.stored_chunks(spark, d)
+    truth = _truth(spark, d).select("query_id", "chunk_id").distinct()
     steps = agent.offline_plan(asked).withColumn("step_id", F.concat_ws("#", "query_id", "step"))
     hits = retrieval.bm25_top(steps.select(F.col("step_id").alias("query_id"), "text"), rows, 5).select(F.col("query_id").alias("step_id"), "chunk_id", "bm25_rank")
     found = hits.join(steps.select("step_id", "query_id"), "step_id")
@@ -197,11 +170,6 @@ def agent_gain(spark, d):
     return _gain(_multi(spark, d)[1], _truth(spark, d))
 
 
-@query("v10_agent_gain_whole")
-def agent_gain_whole(spark, d):
-    return _gain(_multi(spark, d, base.questions(spark, d))[1], _truth(spark, d, _whole_snippets))
-
-
 def _gain(gathered, truth):
     truth = truth.select("query_id", "chunk_id").distinct()
     met = gathered.join(truth, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("met"))

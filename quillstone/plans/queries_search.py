@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,7 +13,7 @@ from .base import BM25, CHUNKS, DENSE, QUESTIONS, RERANKED, SEARCH, fixture, lit
 
 
 def _search(spark, d):
-    return retrieval.hybrid(base.questions(spark, d), base.chunks(spark, d), 50)
+    return retrieval.hybrid(base.questions(spark, d), base.stored_chunks(spark, d), 50)
 
 
 @query("r01_dense_top", f"WITH {QUESTIONS},{CHUNKS},{DENSE} SELECT query_id, chunk_id, score, dense_rank FROM dense")
@@ -31,30 +32,26 @@ def bm25(spark, d):
 
 
 _SCOPED = f"""WITH {QUESTIONS},{CHUNKS},
- words AS (SELECT CAST(doc_id AS VARCHAR) AS scope, chunk_id, {base.words_sql('text')} AS w FROM chunks WHERE doc_id < 20),
+ sources AS (SELECT scope, row_number() OVER (ORDER BY scope) - 1 AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(source, '') AS scope FROM documents)),
+ words AS (SELECT coalesce(source, '') AS scope, chunk_id, {base.words_sql('text')} AS w FROM (SELECT c.*, d.source FROM chunks c JOIN documents d USING (doc_id))),
  posted AS (SELECT scope, chunk_id, term, len(w) AS dl, count(*) AS tf FROM (SELECT scope, chunk_id, w, unnest(w) AS term FROM words) GROUP BY ALL),
  totals AS (SELECT scope, count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM words GROUP BY 1),
  raw AS (SELECT scope, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posted JOIN totals USING (scope) GROUP BY scope, term, n),
  idfs AS (SELECT scope, term, CASE WHEN idf < 0 THEN sum(idf) OVER (PARTITION BY scope) / count(*) OVER (PARTITION BY scope) * 0.25 ELSE idf END AS idf FROM raw),
- asked AS (SELECT query_id, CAST(query_id % 20 AS VARCHAR) AS scope, term, count(*) AS times FROM (SELECT query_id, unnest({base.words_sql('text')}) AS term FROM questions) GROUP BY ALL),
+ asked AS (SELECT query_id, scope, term, count(*) AS times FROM (SELECT query_id, s.scope, unnest({base.words_sql('text')}) AS term FROM questions JOIN sources s ON query_id % s.n = s.nth) GROUP BY ALL),
  found AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS DECIMAL(24, 10))) AS DOUBLE), 6) AS score FROM posted JOIN asked USING (scope, term) JOIN idfs USING (scope, term) JOIN totals USING (scope) GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS bm25_rank FROM found QUALIFY bm25_rank <= 10"""
 
 
 @query("r03_bm25_scoped", _SCOPED)
 def bm25_scoped(spark, d):
-    rows = base.chunks(spark, d).filter("doc_id < 20")
-    asked = base.questions(spark, d).withColumn("scope", F.col("query_id") % 20)
-    return retrieval.bm25_top(asked, rows, 10, F.col("doc_id"))
-
-
-@query("r03_bm25_scoped_whole")
-def bm25_scoped_whole(spark, d):
-    """Every question asked of every source, over all chunks; query_id is the question's id, # and the source."""
+    """Every question asked of one source, the sources in turn, with the words of all chunks of each source indexed as a scope of its own."""
     sources = read(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
-    rows = base.chunks(spark, d).join(sources, "doc_id")
-    asked = base.questions(spark, d).join(sources.select(F.col("source").alias("scope")).distinct(), F.lit(True))
-    return retrieval.bm25_top(asked.withColumn("query_id", F.concat_ws("#", "query_id", "scope")), rows, 10, F.col("source"))
+    names = sources.select(F.col("source").alias("scope")).distinct()
+    turn = names.select("scope", (F.row_number().over(Window.orderBy("scope")) - 1).alias("nth"))  # a source a row
+    n = names.count()
+    asked = base.questions(spark, d).withColumn("nth", F.col("query_id") % F.lit(max(n, 1))).join(turn, "nth").drop("nth")
+    return retrieval.bm25_top(asked, base.chunks(spark, d).join(sources, "doc_id"), 10, F.col("source"))
 
 
 @query("r04_postings", f"WITH {CHUNKS}, w AS (SELECT chunk_id, {base.words_sql('text')} AS w FROM chunks) SELECT 'all' AS scope, chunk_id, term, len(w) AS dl, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM w) GROUP BY ALL")
@@ -78,7 +75,7 @@ def hydrate(spark, d):
 
 @query("r06_rrf_fuse", SEARCH + " SELECT query_id, chunk_id, dense_rank, bm25_rank, round(fused_score, 9) AS fused_score, place FROM hybrid")
 def rrf_fuse(spark, d):
-    q, c = base.questions(spark, d), base.chunks(spark, d)
+    q, c = base.questions(spark, d), base.stored_chunks(spark, d)
     return retrieval.rrf_fuse(retrieval.dense_top(q, c, 50), retrieval.bm25_top(q, c, 50), 50).withColumn("fused_score", F.round("fused_score", 9))
 
 
@@ -125,7 +122,7 @@ def rewrites(spark, d):
 
 @query("r12_fuse_lists", SEARCH + ", lists AS (SELECT query_id, chunk_id, dense_rank AS rank FROM dense UNION ALL SELECT query_id, chunk_id, bm25_rank FROM bm25 UNION ALL SELECT query_id, chunk_id, place FROM hybrid), f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS fused_score FROM lists GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) AS place FROM f")
 def fuse_lists(spark, d):
-    q, c = base.questions(spark, d), base.chunks(spark, d)
+    q, c = base.questions(spark, d), base.stored_chunks(spark, d)
     dense, lexical = retrieval.dense_top(q, c, 50), retrieval.bm25_top(q, c, 50)
     parts = [(dense, "dense_rank"), (lexical, "bm25_rank"), (retrieval.rrf_fuse(dense, lexical, 50), "place")]
     lists = None
@@ -149,7 +146,7 @@ def pool_size(spark, d):
 
 @query("r15_thin_retry", SEARCH + ", kinds AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'analytical' WHEN query_id % 3 = 1 THEN 'definitional' ELSE 'informational' END AS kind FROM questions), first AS (SELECT query_id, chunk_id, dense_rank AS place FROM dense WHERE dense_rank <= query_id % 5), second AS (SELECT query_id, chunk_id, bm25_rank AS place FROM bm25 WHERE bm25_rank <= 6), n AS (SELECT k.query_id, count(f.chunk_id) AS n, coalesce(max(f.place), 0) AS last FROM kinds k LEFT JOIN first f USING (query_id) WHERE kind <> 'analytical' GROUP BY 1 HAVING count(f.chunk_id) < 3), more AS (SELECT s.query_id, s.chunk_id, n.last + row_number() OVER (PARTITION BY s.query_id ORDER BY s.place) AS place FROM second s JOIN n USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = s.query_id AND f.chunk_id = s.chunk_id)) SELECT * FROM first UNION ALL SELECT * FROM more")
 def thin_retry(spark, d):
-    q, c = base.questions(spark, d), base.chunks(spark, d)
+    q, c = base.questions(spark, d), base.stored_chunks(spark, d)
     kinds = q.select("query_id", F.when(F.col("query_id") % 3 == 0, "analytical").when(F.col("query_id") % 3 == 1, "definitional").otherwise("informational").alias("kind"))
     first = retrieval.dense_top(q, c, 50).filter(F.col("dense_rank") <= F.col("query_id") % 5).select("query_id", "chunk_id", F.col("dense_rank").alias("place"))
     second = retrieval.bm25_top(q, c, 50).filter("bm25_rank <= 6").select("query_id", "chunk_id", F.col("bm25_rank").alias("place"))

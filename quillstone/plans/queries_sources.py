@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index, library, retrieval
 from ..sources import store, uploads
+from ..functions.workspace import new_folder
 from . import base
 from .base import CHUNKS, PAGES, fixture, query, read, values
 
@@ -67,21 +68,12 @@ def count(spark, d):
 _COS = "round(1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) + 0.0"
 
 
-@query("s11_fan_out", f"WITH b AS (SELECT vec_id, embedding, ['chroma', 'pgvector', 'pinecone'][vec_id % 3 + 1] AS backend FROM embeddings), p AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, e.backend, {_COS} AS distance FROM b q JOIN b e ON q.vec_id < 5 AND e.backend <> 'pinecone'), l AS (SELECT *, row_number() OVER (PARTITION BY query_id, backend ORDER BY distance, chunk_id) AS n FROM p QUALIFY n <= 10) SELECT query_id, chunk_id, backend, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, backend) AS place FROM l QUALIFY place <= 10")
+@query("s11_fan_out", f"WITH b AS (SELECT vec_id, embedding, ['chroma', 'pgvector', 'pinecone'][vec_id % 3 + 1] AS backend FROM embeddings), p AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, e.backend, {_COS} AS distance FROM b q JOIN b e ON q.vec_id % 50 = 0 AND e.backend <> 'pinecone'), l AS (SELECT *, row_number() OVER (PARTITION BY query_id, backend ORDER BY distance, chunk_id) AS n FROM p QUALIFY n <= 10) SELECT query_id, chunk_id, backend, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, backend) AS place FROM l QUALIFY place <= 10")
 def fan_out(spark, d):
-    return _fan_out(spark, d, "vec_id < 5")
-
-
-@query("s11_fan_out_whole")
-def fan_out_whole(spark, d):
-    return _fan_out(spark, d, "vec_id % 50 = 0")
-
-
-def _fan_out(spark, d, asks):
     from ..operators import embedding
 
     rows = read(spark, d, "embeddings").withColumn("backend", F.get(F.array(*map(F.lit, store.BACKENDS)), (F.col("vec_id") % 3).cast("int")))
-    asked = rows.filter(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     parts = []
     for name in store.BACKENDS[:2]:  # the third one can't be reached
         own = rows.filter(F.col("backend") == name).join(asked, F.lit(True)).select("query_id", F.col("vec_id").cast("string").alias("chunk_id"), "backend", (F.round(store.distance(embedding.cosine(F.col("q"), F.col("embedding"))), 6) + F.lit(0.0)).alias("distance"))
@@ -97,13 +89,8 @@ def backend_routing(spark, d):
     return store.backends_of(fixture(spark, "user_id string, vector_backend string, status string", DOCS))
 
 
-@query("s13_distance", "SELECT event_id, 1 - value AS distance FROM events WHERE event_id < 100")
+@query("s13_distance", "SELECT event_id, 1 - value AS distance FROM events")
 def distance(spark, d):
-    return read(spark, d, "events").filter("event_id < 100").select("event_id", store.distance(F.col("value")).alias("distance"))
-
-
-@query("s13_distance_whole")
-def distance_whole(spark, d):
     return read(spark, d, "events").select("event_id", store.distance(F.col("value")).alias("distance"))
 
 
@@ -165,13 +152,8 @@ def sessions(spark, d):
     return library.session_summaries(read(spark, d, "conversations"))
 
 
-@query("b04_blank_sessions", "SELECT * FROM (SELECT unnest(range(0, 300)) AS conv_id) WHERE conv_id NOT IN (SELECT conv_id FROM conversations)")
+@query("b04_blank_sessions", "SELECT * FROM (SELECT unnest(range(0, (SELECT max(conv_id) + 1 FROM conversations))) AS conv_id) WHERE conv_id NOT IN (SELECT conv_id FROM conversations)")
 def blank_sessions(spark, d):
-    return library.blank_sessions(spark.range(300).select(F.col("id").alias("conv_id")), read(spark, d, "conversations"))
-
-
-@query("b04_blank_sessions_whole")
-def blank_sessions_whole(spark, d):
     """Sessions are the ids from 0 to the largest that has messages."""
     rows = read(spark, d, "conversations")
     last = rows.agg(F.max("conv_id")).first()[0]
@@ -196,25 +178,13 @@ def token_validity(spark, d):
     return read(spark, d, "events").select("event_id", library.token_valid(used, F.expr("ts + interval 1 hour"), F.to_timestamp(F.lit("2024-01-15 00:00:00"))).alias("valid"), library.iso_utc(F.col("ts")).alias("issued"))
 
 
-@query("s10_ingest_stream", f"WITH {CHUNKS}, c AS (SELECT * FROM chunks WHERE doc_id < 60) SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(token_count) AS tokens FROM c")
+@query("s10_ingest_stream", f"WITH {CHUNKS} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(token_count) AS tokens FROM chunks")
 def ingest_stream(spark, d):
-    return _ingest(spark, d, "doc_id < 60")
-
-
-@query("s10_ingest_stream_whole")
-def ingest_stream_whole(spark, d):
-    return _ingest(spark, d, "true")
-
-
-def _ingest(spark, d, which):
     """Streams documents' files into collections twice: the second run finds nothing to do."""
-    import uuid
-
     from ..streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/quillstone"
-    path = f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    read(spark, d, "documents").filter(which).repartition(3, "doc_id").write.parquet(f"{path}/in")
+    path = new_folder(spark, "ingest")
+    read(spark, d, "documents").repartition(3, "doc_id").write.parquet(f"{path}/in")
     sink = ingest.Ingest(spark, f"{path}/index")
     for _ in range(2):
         sink.stream(ingest.read_documents(spark, f"{path}/in", 1), f"{path}/checkpoint").awaitTermination()

@@ -1,60 +1,159 @@
-"""Vector collections on Parquet: versioned folders, upsert and delete by rewriting, several backends read as one."""
+"""Collections on Parquet: hash buckets changed by copy-on-write under a log of versions; several backends read as one."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
+from .log import Conflict, Log
 
 BACKENDS, DEFAULT_BACKEND = ["chroma", "pgvector", "pinecone"], "chroma"
 UPSERT_BATCH = 4000
 
 
 class Collection:
-    """A table under path/<version>; the newest complete version is current. Spark's commit protocol writes a _SUCCESS file last, so readers never
-    see a half-written one, and a failed write leaves the current version as it is."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "chunk_id"):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[str]:
-        jvm, root, fs = self._fs()
-        if not fs.exists(root):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root))
-        return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
-
-    def table(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def _write(self, table: DataFrame) -> None:
-        n = int(self.versions()[-1].split("-")[0]) + 1 if self.versions() else 0
-        table.write.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.path}/{n:08d}-{uuid.uuid4().hex[:8]}")
-
-    def upsert(self, rows: DataFrame) -> None:
-        self._write(index.upsert(self.table(), rows.select(*self.table().columns), [self.key]))
-
-    def delete(self, ids: DataFrame | None = None, where: dict | None = None) -> None:
-        self._write(index.delete(self.table(), ids, where, self.key))
+    """A keyed table in hash buckets, changed by copy-on-write: a change rewrites the buckets that its rows fall into and no other.
+
+    The log's entry of a version names each bucket's folder, so a version is a snapshot that later changes leave alone, and a failed write is never
+    named. Changes commit optimistically: if another writer was first, the change is put on top of its version, as it is where it touched other
+    buckets, else computed anew. bucket_by: columns that decide the bucket (default: the key). Rows of one key must agree in them. A change may carry
+    the name and the number of its batch; a batch that is in already is skipped, so a replayed stream changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "chunk_id", bucket_by: str | None = None, buckets: int = 16):
+        self.spark, self.path, self.schema, self.key, self.by = spark, path.rstrip("/"), schema, key, bucket_by or key
+        self.log = Log(spark, f"{self.path}/log")
+        self.fresh_buckets = buckets
+
+    def snapshot(self, version: int | None = None) -> dict:
+        """version, n_buckets, folders (bucket -> folder), batches (name -> number), touched (by that version)."""
+        at, entry = self.log.latest() if version is None else (version, self.log.read(version))
+        return {"n_buckets": self.fresh_buckets, "folders": {}, "batches": {}, "touched": []} | entry | {"version": at}
+
+    def bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.by)), F.lit(n)).cast("int")
+
+    def buckets_of(self, rows: DataFrame, snap: dict | None = None) -> list[int]:
+        """The buckets that rows (with the columns of bucket_by) fall into; there are n_buckets at most."""
+        n = (snap or self.snapshot())["n_buckets"]
+        return sorted(r["b"] for r in rows.select(self.bucket(n).alias("b")).distinct().collect())
+
+    def table(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version (the newest), or of some of its buckets."""
+        return self._rows(self.snapshot(version), buckets)
+
+    def _rows(self, snap: dict, buckets: list[int] | None = None) -> DataFrame:
+        found = [f"{self.path}/{f}" for b, f in sorted(snap["folders"].items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def _change(self, rows_of: Callable[[dict], tuple[list[int], DataFrame]], batch: tuple[str, int] | None = None, attempts: int = 5) -> bool:
+        """Commits rows_of(snapshot) -> (touched buckets, their new rows). False if the batch is in already."""
+        snap, last = self.snapshot(), None
+        for _ in range(attempts):
+            if batch and snap["batches"].get(batch[0], -1) >= batch[1]:
+                return False
+            if last is None:
+                touched, rows = rows_of(snap)
+                last = self._write(rows, touched, snap["n_buckets"])
+            folders = {b: f for b, f in snap["folders"].items() if int(b) not in touched} | last
+            entry = {"n_buckets": snap["n_buckets"], "folders": folders, "batches": snap["batches"] | (dict([batch]) if batch else {}), "touched": touched}
+            try:
+                self.log.commit(snap["version"] + 1, entry)
+                return True
+            except Conflict:
+                seen = snap["version"]
+                snap = self._after(seen)
+                others = {b for v in self.log.versions() if v > seen for b in self.log.read(v)["touched"]}
+                if others & set(touched):
+                    last = None
+        raise Conflict(f"{self.path}: other writers were first {attempts} times")
+
+    def _after(self, version: int, patience: float = 30.0) -> dict:
+        """The newest snapshot once the version after this one is there: its writer holds the lock and is about to finish."""
+        began = time.monotonic()
+        while (snap := self.snapshot())["version"] <= version:
+            if time.monotonic() - began > patience:
+                raise Conflict(f"{self.path}: version {version + 1} is locked by a writer that does not finish; see Log.break_lock")
+            time.sleep(0.05)
+        return snap
+
+    def _write(self, rows: DataFrame, touched: list[int], n: int) -> dict[str, str]:
+        """Folders of the buckets that have rows."""
+        name = f"data/{uuid.uuid4().hex}"
+        if touched:
+            dealt = rows.withColumn("_bucket", self.bucket(n)).repartition(min(n, len(touched)), "_bucket")
+            dealt.write.partitionBy("_bucket").option("maxRecordsPerFile", 1_000_000).option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return {x.split("=")[1]: f"{name}/{x}" for x in self.log.names(f"{self.path}/{name}") if x.startswith("_bucket=")}
+
+    def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Puts rows over those of the same keys. One batch may hold at most one row a key, or the last by all columns counts."""
+        rows = rows.select(*[f.name for f in self.table().schema])
+
+        def changed(snap: dict) -> tuple[list[int], DataFrame]:
+            touched = self.buckets_of(rows, snap)
+            return touched, index.upsert(self._rows(snap, touched), rows, [self.key])
+
+        return self._change(changed, batch)
+
+    def delete(self, ids: DataFrame | None = None, where: dict | None = None, batch: tuple[str, int] | None = None) -> bool:
+        """Removes rows of these ids, and those that equal all of `where`. Buckets without such rows are not rewritten."""
+
+        def changed(snap: dict) -> tuple[list[int], DataFrame]:
+            every = self._rows(snap)
+            keep = index.delete(every, ids, where, self.key)
+            gone = every.select(*dict.fromkeys([self.key, self.by])).join(keep.select(self.key), self.key, "left_anti")
+            touched = self.buckets_of(gone, snap)
+            return touched, index.delete(self._rows(snap, touched), ids, where, self.key)
+
+        return self._change(changed, batch)
+
+    def replace(self, rows: DataFrame, stale: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """One commit that removes the keys of stale (key, bucket_by) and puts rows in."""
+        names = [f.name for f in self.table().schema]
+        keys = list(dict.fromkeys([self.key, self.by]))
+
+        def changed(snap: dict) -> tuple[list[int], DataFrame]:
+            touched = self.buckets_of(rows.select(*keys).unionByName(stale.select(*keys)), snap)
+            return touched, index.upsert(index.delete(self._rows(snap, touched), stale, None, self.key), rows.select(*names), [self.key])
+
+        return self._change(changed, batch)
 
     def get(self, ids: list[str] | None = None, where: dict | None = None, limit: int | None = None, include: list[str] | None = None) -> DataFrame:
-        return index.get(self.table(), ids, where, limit, include, self.key)
+        """Ids that decide the bucket themselves are looked for in their own buckets only."""
+        snap = self.snapshot()
+        some = None
+        if ids is not None and self.by == self.key and snap["folders"]:
+            kind = self.table().schema[self.key].dataType
+            some = self.buckets_of(self.spark.createDataFrame([(i,) for i in ids], "id string").select(F.col("id").cast(kind).alias(self.key)), snap)
+        return index.get(self._rows(snap, some), ids, where, limit, include, self.key)
 
     def count(self) -> int:
         return self.table().count()
 
+    def expire(self, keep: int = 2) -> list[int]:
+        """Forgets all versions but the last `keep`, with folders that only they name; returns the versions forgotten. Run it when no reader is on an
+        old version and no writer is at work: what a writer has not committed yet is not named either."""
+        found = self.log.versions()
+        old, kept = found[: max(0, len(found) - max(1, keep))], found[-max(1, keep) :]
+        named = {f for v in kept for f in self.log.read(v)["folders"].values()}
+        whole = {f.split("/")[1] for f in named}
+        for name in self.log.names(f"{self.path}/data"):
+            if name not in whole:
+                self.log.delete(f"{self.path}/data/{name}")
+                continue
+            for part in self.log.names(f"{self.path}/data/{name}"):
+                if part.startswith("_bucket=") and f"data/{name}/{part}" not in named:
+                    self.log.delete(f"{self.path}/data/{name}/{part}")
+        self.log.forget(old)
+        return old
+
     def drop(self) -> None:
-        _, root, fs = self._fs()
-        fs.delete(root, True)
+        self.log.delete(self.path)
 
 
 def backend(name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Ingestion as a stream of files: each batch is cleaned, chunked, embedded and put into the collections, once, however often it is run."""
+"""Ingestion as a stream of files: each batch is cleaned, chunked, embedded and put into the collections and the word index, once, however often it is run."""
 
 from __future__ import annotations
 
@@ -6,46 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.workspace import written
 from ..operators import chunking, embedding, index
+from ..operators.lexical_index import LexicalIndex
 from ..sources.store import Collection
 
-CHUNKS = "chunk_id string, doc_id long, chunk_index int, char_start int, char_end int, text string, content_hash string, token_count int"
+CHUNKS = "chunk_id string, doc_id long, chunk_index int, char_start int, char_end int, text string, content_hash string, token_count int, page_number int, source string"
 VECTORS = "chunk_id string, doc_id long, embedding array<float>"
-POSTINGS = "posting_id string, scope string, chunk_id string, term string, tf long, dl int"
+#: A word index of more segments than this is made one.
+MOST_SEGMENTS = 16
 
 
 class Ingest:
-    """foreachBatch writes are upserts by key into versioned folders, so a batch that is replayed after a failure changes nothing. Chunks whose
-    content hash is unchanged are not embedded again; chunks that their document no longer has are deleted first. Of a batch's texts with one doc_id
-    the largest counts, so that a replay takes the same one."""
+    """A library in a folder: chunks, vectors and postings. foreachBatch writes carry the stream's name and the batch's number, so a batch that is
+    replayed after a failure goes on where it stopped and changes nothing that it has changed already. Chunks whose content hash is unchanged are not
+    embedded again; chunks that their document no longer has are removed. Of a batch's texts with one doc_id the largest counts, so that a replay
+    takes the same one. A batch reads and rewrites the buckets of its own documents only.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, strategy: str = "fixed"):
+    def __init__(self, spark: SparkSession, path: str, strategy: str = "fixed", buckets: int = 16):
         self.strategy = strategy
-        self.chunks = Collection(spark, f"{path}/chunks", CHUNKS)
-        self.vectors = Collection(spark, f"{path}/vectors", VECTORS)
-        self.postings = Collection(spark, f"{path}/postings", POSTINGS, "posting_id")
-
-    def batch(self, docs: DataFrame, batch_id: int = 0) -> None:
-        docs = docs.groupBy("doc_id").agg(T.clean(F.coalesce(F.max("text"), F.lit(""))).alias("text"))
-        new = chunking.chunks(docs, self.strategy).select(*[c.split()[0] for c in CHUNKS.split(", ")]).persist()
-        try:
-            current = self.chunks.table()
-            plan = index.reconcile(current.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), new)
-            gone, changed = plan.filter("action = 'delete'").select("chunk_id").persist(), plan.filter("action = 'upsert'").select("chunk_id").persist()
-            if not gone.isEmpty() or not changed.isEmpty():
-                rows = new.join(changed, "chunk_id", "left_semi")
-                vectors = embedding.dense_vectors(rows, "chunk_id").join(rows.select("chunk_id", "doc_id"), "chunk_id").select("chunk_id", "doc_id", "embedding")
-                posted = index.postings(rows).withColumn("posting_id", F.concat_ws(":", "chunk_id", "term"))
-                stale = self.postings.table().join(gone.unionByName(changed), "chunk_id", "left_semi").select("posting_id")
-                self.vectors._write(index.upsert(index.delete(self.vectors.table(), gone), vectors, ["chunk_id"]))
-                self.postings._write(index.upsert(index.delete(self.postings.table(), stale, None, "posting_id"), posted.select(*self.postings.table().columns), ["posting_id"]))
-                self.chunks._write(index.upsert(index.delete(current, gone), rows, ["chunk_id"]))  # last: it is what the next batch compares with
-        finally:
-            new.unpersist()
+        self.chunks = Collection(spark, f"{path}/chunks", CHUNKS, bucket_by="doc_id", buckets=buckets)
+        self.vectors = Collection(spark, f"{path}/vectors", VECTORS, bucket_by="doc_id", buckets=buckets)
+        self.lexical = LexicalIndex(spark, f"{path}/lexical")
+
+    def batch(self, docs: DataFrame, batch_id: int | None = None, name: str = "batch") -> None:
+        """batch_id None: not a stream's batch, and never skipped."""
+        mark = None if batch_id is None else (name, batch_id)
+        source = F.max("source") if "source" in docs.columns else F.lit(None).cast("string")
+        docs = docs.groupBy("doc_id").agg(T.clean(F.coalesce(F.max("text"), F.lit(""))).alias("text"), source.alias("source"))
+        docs = written(docs.filter("doc_id is not null"), "batch")
+        new = chunking.chunks(docs, self.strategy).join(docs.select("doc_id", "source"), "doc_id")
+        new = written(new.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "new-chunks")
+        snap = self.chunks.snapshot()
+        current = self.chunks._rows(snap, self.chunks.buckets_of(docs, snap)).join(docs.select("doc_id"), "doc_id", "left_semi")
+        plan = written(index.reconcile(current, new).filter("action <> 'unchanged'"), "plan")
+        if plan.isEmpty():
+            return
+        rows = new.join(plan.filter("action = 'upsert'"), "chunk_id", "left_semi")
+        stale = written(current.join(plan, "chunk_id", "left_semi").select("chunk_id", "doc_id", "text"), "stale")
+        vectors = embedding.dense_vectors(rows, "chunk_id").join(rows.select("chunk_id", "doc_id"), "chunk_id")
+        self.vectors.replace(vectors, stale, mark)
+        self.lexical.apply(rows, stale, batch=mark)
+        self.chunks.replace(rows, stale, mark)  # last: it is what the next batch compares with
+        if len(self.lexical.segments()) > MOST_SEGMENTS:
+            self.lexical.compact()
 
     def stream(self, source: DataFrame, checkpoint: str, available_now: bool = True):
-        """Starts the stream; its checkpoint says which files are done."""
-        writer = source.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        """Starts the stream; its checkpoint says which files are done, and its path names the stream's batches."""
+        writer = source.writeStream.foreachBatch(lambda docs, n: self.batch(docs, n, checkpoint)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

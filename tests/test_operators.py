@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import agent, chunking, context, embedding, evaluate, index, library, retrieval, stats, understanding, verify
+from quillstone.operators import agent, chunking, context, embedding, evaluate, index, lexical_index, library, retrieval, stats, understanding, verify
 from quillstone.sources import store, uploads
 from quillstone.streaming import cache, ingest
 
@@ -162,11 +162,26 @@ def test_ground_truth_equals_all_pairs(spark):
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == want
 
 
-def test_agent_loop():
-    replies = {"a": ['{"tool": "retrieve_docs", "args": {"query": "x"}}', '{"tool": "retrieve_docs", "args": {"query": "x"}}'], "b": ["nonsense"], "c": ['{"tool": "nope"}', '{"tool": "fetch_document", "args": {}}', '{"tool": "finish"}']}
-    state = agent.run_loop([(q, q) for q in replies], lambda q, _, h: replies[q][len(h)], {"retrieve_docs": lambda b: {q: ["c1"] for q, _ in b}, "fetch_document": lambda b: {}})
-    assert {q: s["stop"] for q, s in state.items()} == {"a": "repeated", "b": "unreadable", "c": "finish"} and state["a"]["collected"] == ["c1"]
-    assert [h["status"] for h in state["c"]["history"]] == ["unknown_tool", "missing_argument"]
+def test_agent_loop(spark):
+    replies = {
+        "a": ['{"tool": "retrieve_docs", "args": {"query": "x"}}', '{"tool": "retrieve_docs", "args": {"query": "x"}}'], "b": ["nonsense"], "c": ['{"tool": "nope"}', '{"tool": "fetch_document", "args": {}}', '{"tool": "finish"}'],
+        "d": ['{"tool": "retrieve_docs", "args": {"query": "x"}}', '{"tool": "retrieve_docs", "args": {"query": "y"}}'], "e": [None], "f": ['{"tool": "retrieve_docs", "args": {"query": "none"}}'] + [f'{{"tool": "retrieve_docs", "args": {{"query": "none", "k": {i}}}}}' for i in range(9)],
+        "g": ['{"tool": "nope"}', '{"tool": "nope"}', "nonsense", "nonsense", '{"tool": "finish"}'],
+    }
+
+    def planner(q, history):
+        return replies[q][len(history)].strip()
+
+    def retrieve(calls):
+        return calls.filter("arguments['query'] <> 'none'").selectExpr("query_id", "explode(array('c1', 'c2', 'c1')) AS item").selectExpr("query_id", "item", "1 AS rank")
+
+    out = agent.run_loop(spark.createDataFrame([(q, q) for q in replies], "query_id string, text string"), planner, {"retrieve_docs": retrieve, "fetch_document": lambda calls: None})
+    state = {r.query_id: (r.stop, r.steps, r.chunks) for r in out["outcome"].collect()}
+    assert state == {"a": ("repeated", 1, 2), "b": ("unreadable", 1, 0), "c": ("finish", 2, 0), "d": ("no_progress", 2, 2), "e": ("planner_failed", 0, 0), "f": (None, 5, 0), "g": ("finish", 4, 0)}
+    assert [r.status for r in out["history"].filter("query_id = 'c'").orderBy("step").collect()] == ["unknown_tool", "missing_argument"]
+    assert sorted(map(tuple, out["collected"].collect())) == [(q, c, 1, 1) for q in "ad" for c in ("c1", "c2")]
+    nothing = agent.run_loop(spark.createDataFrame([], "query_id string, text string"), planner, {"retrieve_docs": retrieve})
+    assert nothing["outcome"].count() == nothing["history"].count() == 0
     assert agent.parse_action('x {"action": "go", "k": "}"} y') == {"tool": "go", "args": {"k": "}"}} and agent.parse_action("{") is None
 
 
@@ -185,9 +200,9 @@ def test_collection_versions(spark, tmp_path):
     c.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, v int"))
     c.upsert(spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "chunk_id string, v int"))
     c.delete(where={"chunk_id": "a"})
-    assert sorted(map(tuple, c.table().collect())) == [("b", 3), ("c", 1)] and c.get(["c"]).count() == 1 and len(c.versions()) == 3
+    assert sorted(map(tuple, c.table().collect())) == [("b", 3), ("c", 1)] and c.get(["c"]).count() == 1 and len(c.log.versions()) == 3
     c.drop()
-    assert c.versions() == []
+    assert c.log.versions() == []
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
@@ -199,13 +214,13 @@ def test_ingest_is_idempotent(spark, tmp_path):
     first = sorted(map(tuple, sink.chunks.table().collect()))
     run()
     sink.batch(spark.read.parquet(f"{root}/in/1"))  # a replayed batch
-    assert sorted(map(tuple, sink.chunks.table().collect())) == first and len(sink.chunks.versions()) == 1
+    assert sorted(map(tuple, sink.chunks.table().collect())) == first and len(sink.chunks.log.versions()) == 1
     rows((1, "alpha")).write.parquet(f"{root}/in/2")
     run()
     assert {r.doc_id: r.text for r in sink.chunks.table().collect()} == {1: "alpha", 2: "gamma"}
     sink.batch(rows((2, "beta"), (2, ""), (2, "delta"), (2, "delta")))  # several texts of one id
     assert {r.doc_id: r.text for r in sink.chunks.table().collect()} == {1: "alpha", 2: "delta"}
-    assert {r.chunk_id for r in sink.vectors.table().collect()} == {r.chunk_id for r in sink.chunks.table().collect()} == {r.chunk_id for r in sink.postings.table().collect()}
+    assert {r.chunk_id for r in sink.vectors.table().collect()} == {r.chunk_id for r in sink.chunks.table().collect()} == {r.chunk_id for r in sink.lexical.postings().collect()}
 
 
 def test_cache_stream(spark, tmp_path):
@@ -223,11 +238,18 @@ def test_library(spark):
     assert stats.labels() == ["0-200", "200-400", "400-600", "600-800", "800+"]
 
 
-def test_queries_in_several_blocks(spark):
+def test_queries_in_several_blocks(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", f"word{i % 7} alpha beta{i % 3} gamma{i % 11}") for i in range(60)], "chunk_id string, text string")
     queries = spark.createDataFrame([(i, f"word{i % 7} beta{i % 3} delta{i}") for i in range(23)] + [(99, "nothing"), (100, "")], "query_id int, text string")
-    for leg, place in ((retrieval.dense_top, "dense_rank"), (retrieval.bm25_top, "bm25_rank")):
-        found = [sorted(map(tuple, leg(queries, chunks, 8, block_queries=n).select("query_id", "chunk_id", "score", place).collect())) for n in (4096, 4, 1)]
+    def dense(n):
+        return retrieval.dense_top(queries, chunks, 8, block_queries=n)
+
+    def lexical(n):
+        monkeypatch.setattr(lexical_index, "QUERIES", n)
+        return retrieval.bm25_top(queries, chunks, 8)
+
+    for leg in (dense, lexical):
+        found = [sorted(map(tuple, leg(n).collect())) for n in (4096, 4, 1)]
         assert found[0] == found[1] == found[2] and len(found[0]) > 100
 
 
