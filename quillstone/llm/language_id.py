@@ -3,7 +3,7 @@
 A language is a unigram distribution over the pieces of a fixed public vocabulary. The probability of a word is the sum over all its segmentations
 into pieces of the product of their probabilities, which the forward algorithm gives in one pass; a text's is the product over its words. Letters
 that no piece covers count as an unknown piece. Distributions are fitted by expectation-maximisation: expected piece counts come from forward and
-backward sums over the word types of a sample of labelled rows (about ROWS_PER_LANG rows a language, chosen by a hash of the id).
+backward sums over the word types of a sample of labelled rows (at most ROWS_PER_LANG rows a language, chosen by a hash of id and text).
 
 Scoring is one pass over whole texts. Words of a batch are scored once each, all at the same time, position by position.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal, ship, slices
@@ -181,7 +181,8 @@ class Model:
 
 
 def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
-    """(pieces, languages, probabilities) learned from rows whose lang isn't null: a sample by a hash of id and text, about rows_per_lang each."""
+    """(pieces, languages, probabilities) learned from rows whose lang and text aren't null: of each language the rows_per_lang rows with the smallest
+    hash of id and text, or all if it has fewer. Null and repeated ids are ids like others, and repeated rows count each."""
     ship(spark := docs.sparkSession)
     pieces = vocabulary(vocabulary_path)
     base = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and text is not null")
@@ -189,8 +190,15 @@ def fit(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
     languages = sorted(counts)
     if not languages:
         return pieces, [], np.zeros((len(pieces), 0))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_lang / counts[k]))]), F.col("lang"))
-    chosen = base.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20))
+    key = F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 40))
+    # twice the share that is wanted; a language of which too few rows are below it, as with repeated rows, goes whole to the ranking
+    share = {k: min(1.0, 2 * rows_per_lang / counts[k]) for k in languages}
+    below = lambda: key < F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, share[k])]), F.col("lang")) * (1 << 40)
+    enough = {r["lang"]: r["n"] for r in base.filter(below()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share |= {k: 1.0 for k in languages if enough.get(k, 0) < min(rows_per_lang, counts[k])}
+    # Spark keeps the smallest rows_per_lang of each task before it shuffles
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = base.filter(below()).withColumn("key", key).withColumn("place", place).filter(F.col("place") <= rows_per_lang)
     types = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     types = Scratch(spark, "langid").table(types.repartition(8), "types")
     index = {k: i for i, k in enumerate(languages)}

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -191,3 +193,28 @@ def test_sweep_plan_is_within_a_sequence_of_plain_sweeps():
         first, sequence, each, _, _ = packing.sweep_plan(counts, 2048)
         opened = int((sequence + (np.diff([*first, len(draw)]) - 1) // each).max()) + 1
         assert -(-int(draw.sum()) // 2048) <= opened <= sweeps(draw.tolist(), 2048) + 1
+
+
+def test_language_sample_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    words = {"en": "the house is big and the garden was green with many trees".split(), "de": "das haus ist gross und der garten war schön mit vielen bäumen".split()}
+    text = lambda k: " ".join(rng.choices(words[k], k=12))
+    schema = "doc_id bigint, text string, lang string"
+    nulls = spark.createDataFrame([(None, text(k), k) for k in words for _ in range(3000)], schema)
+    few = spark.createDataFrame([(i % 3, text(k), k) for k in words for i in range(3000)], schema)
+    same = spark.createDataFrame([(1, " ".join(words[k]), k) for k in words for _ in range(3000)], schema)
+    asked = spark.createDataFrame([(1, "the house is big"), (2, "das haus ist gross"), (3, None), (4, "123")], "doc_id bigint, text string")
+    for docs in (nulls, few, same):
+        model = language_id.fit(docs, default_path("piece_bpe_32k.model"), rows_per_lang=200, rounds=2)
+        found = {r.row.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()}
+        assert found == {1: "en", 2: "de", 3: "und", 4: "und"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_language_of_held_out_documents(spark):
+    from quillstone.llm import queries
+
+    langs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = [r for r in queries.op4_segment_unigrams(spark, "/root/testdata/sf0.01").collect() if r.held_out and langs[r.doc_id]]
+    assert len(rows) > 150 and sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.99 * len(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
