@@ -35,15 +35,17 @@ def sparse_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = DIM
     return tf.join(norms, key)
 
 
-def dense_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """(key, embedding): the same vectors of length 1 as arrays, a row for each row; a text without words has only zeros. Nothing is shuffled."""
+def dense_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = DIM, unit: bool = True) -> DataFrame:
+    """(key, embedding): the same vectors as arrays, of length 1 or as counts, a row for each row; a text without words has only zeros. Nothing is
+    shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 x = counted(batch.column("words"), dim)
-                x /= np.sqrt(np.maximum((x * x).sum(1, keepdims=True), 1))
+                if unit:
+                    x /= np.sqrt(np.maximum((x * x).sum(1, keepdims=True), 1))
                 flat = pa.array(x.astype(np.float32).ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), flat)], [key, "embedding"])
 

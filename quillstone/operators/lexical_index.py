@@ -17,6 +17,7 @@ Shards and queries meet in groups of one shard and one block of queries: at most
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.shipping import ship
-from ..functions.workspace import new_folder, written
+from ..functions.workspace import new_folder, shuffle_partitions, written
 from ..sources.log import Conflict, Log
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -39,7 +40,8 @@ FIRST = 2
 #: Up to so many distinct words, a search also hands them to the Parquet readers, which skip row groups without them.
 PUSHED_WORDS = 2_000
 BLOCKS = "scope string, term string, shard string, n int, max_tf int, min_dl int, places array<int>, tfs array<int>"
-DOCS = "scope string, shard string, n int, total bigint, chunk_ids array<string>, dls array<int>"
+DOCS = "scope string, shard string, n int, chunk_ids array<string>, dls array<int>"
+NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 MARKED = "kind int, " + BLOCKS + ", chunk_ids array<string>, dls array<int>"
 
 
@@ -96,25 +98,25 @@ def _scored(n: int, kind: pa.DataType):
         terms, lists = blocks["term"].combine_chunks(), [blocks[c].combine_chunks() for c in ("places", "tfs")]
         at = lists[0].offsets.to_numpy().astype(np.int64)
         place, tf = (x.values.to_numpy() for x in lists)
-        block = pc.index_in(right["term"].combine_chunks(), terms).to_numpy(zero_copy_only=False)
-        asked = ~np.isnan(block.astype(float))
-        block, weight, avgdl = block[asked].astype(np.int64), right["weight"].to_numpy()[asked], right["avgdl"].to_numpy()[asked]
-        names = right["query_id"].combine_chunks().dictionary_encode()
-        query = names.indices.to_numpy()[asked]
+        names, words = right["query_id"].combine_chunks(), right["words"].combine_chunks()
+        block = pc.fill_null(pc.index_in(words.flatten().field("term"), terms), -1).to_numpy()
+        asked = block >= 0
+        query = np.repeat(np.arange(len(names)), np.diff(words.offsets.to_numpy()))[asked]
+        block, weight, avgdl = block[asked].astype(np.int64), words.flatten().field("weight").to_numpy()[asked], right["avgdl"].to_numpy()[query]
         size = at[block + 1] - at[block]
         entry = np.repeat(at[block] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         spread = lambda x: np.repeat(x, size)
         p, f = place[entry], tf[entry]
         part = spread(weight) * f * (K1 + 1) / (f + K1 * (1 - B + B * dls[p] / spread(avgdl)))
         cell = spread(query).astype(np.int64) * len(ids) + p
-        shape = (len(names.dictionary), len(ids))
+        shape = (len(names), len(ids))
         total = np.bincount(cell, np.floor(part * 1e10 + 0.5), shape[0] * shape[1]).reshape(shape)
         met = (np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape) > 0) & live
         score = np.where(met, np.floor(total / 1e4 + 0.5) / 1e6, -np.inf)
         if len(ids) > n:
             met &= score >= -np.partition(-score, n - 1, 1)[:, n - 1 : n]
         q, c = np.nonzero(met)
-        return pa.table([names.dictionary.take(pa.array(q)).cast(kind), ids.take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+        return pa.table([names.take(pa.array(q)).cast(kind), ids.take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -131,49 +133,60 @@ class LexicalIndex:
         self.spark, self.path, self.shard = spark, path.rstrip("/"), shard
         self.log = Log(spark, f"{self.path}/log")
 
+    def _entries(self) -> dict[str, dict]:
+        """Segments in their order, each with what it has: by_term (blocks in the order of terms), removes (tombstones), made (the kinds)."""
+        return self.log.latest()[1].get("segments", {})
+
     def segments(self) -> list[str]:
-        return self.log.latest()[1].get("segments", [])
+        return list(self._entries())
 
     def _read(self, part: str, schema: str, segments: list[str] | None = None) -> DataFrame:
         found = [f"{self.path}/{s}/{part}" for s in (self.segments() if segments is None else segments)]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
-    def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, scope: Column | None = None, batch: tuple[str, int] | None = None) -> bool:
+    def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, scope: Column | None = None, batch: tuple[str, int] | None = None, by_term: bool = False) -> bool:
         """Adds and removes chunks (chunk_id, text, and what scope reads) in one commit. removed must carry the text that was added. A chunk that
-        changes is in both. A batch (name, number) that is in already is skipped, and the call says False."""
+        changes is in both. A batch (name, number) that is in already is skipped, and the call says False. by_term: blocks are put in the order of
+        terms, as `compact` does, so that searches read fewer row groups: for large segments."""
         version, entry = self.log.latest()
-        if batch and entry.get("batches", {}).get(batch[0], -1) >= batch[1]:
-            return False
-        segment = f"segments/{uuid.uuid4().hex}"
-        self._write(segment, added, removed, scope)
-        segments, batches = entry.get("segments", []) + [segment], entry.get("batches", {}) | (dict([batch]) if batch else {})
-        for _ in range(5):
+        segment, said = f"segments/{uuid.uuid4().hex}", {}
+        for attempt in range(5):
+            if batch and entry.get("batches", {}).get(batch[0], -1) >= batch[1]:
+                return False
+            if not attempt:
+                said = self._write(segment, added, removed, scope, by_term)
             try:
-                self.log.commit(version + 1, {"segments": segments, "batches": batches})
+                self.log.commit(version + 1, {"segments": entry.get("segments", {}) | {segment: said}, "batches": entry.get("batches", {}) | (dict([batch]) if batch else {})})
                 return True
             except Conflict:  # another segment was first; this one goes after it
                 version, entry = self.log.latest()
-                if batch and entry["batches"].get(batch[0], -1) >= batch[1]:
-                    return False
-                segments, batches = entry["segments"] + [segment], entry["batches"] | (dict([batch]) if batch else {})
         raise Conflict(f"{self.path}: other writers were first")
 
-    def _write(self, segment: str, added: DataFrame | None, removed: DataFrame | None, scope: Column | None) -> None:
+    def _write(self, segment: str, added: DataFrame | None, removed: DataFrame | None, scope: Column | None, by_term: bool) -> dict:
+        """Writes a segment; returns its entry for the log."""
         at = f"{self.path}/{segment}"
         worded = lambda rows: rows.select(F.coalesce(scope_column(scope), F.lit("")).alias("scope"), "chunk_id", T.words(F.coalesce("text", F.lit(""))).alias("words"))
         save = lambda df, part: df.write.option("compression", "zstd").parquet(f"{at}/{part}")
-        nothing = self.spark.createDataFrame([], "chunk_id string, text string, scope string")
-        made = written(worded(added).mapInArrow(_sharded(self.shard), MARKED), "postings") if added is not None else self.spark.createDataFrame([], MARKED)
-        blocks = made.filter("kind = 0").select(*[c.split()[0] for c in BLOCKS.split(", ")])
-        docs = made.filter("kind = 1").select("scope", "shard", "n", F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), "chunk_ids", "dls")
-        save(blocks.repartition("term").sortWithinPartitions("term", "scope"), "blocks")
-        save(docs, "docs")
-        gone = worded(removed) if removed is not None else nothing.select("scope", "chunk_id", F.array().cast("array<string>").alias("words"))
-        save(gone.select("chunk_id"), "tombstones")
-        minus = gone.select("scope", F.explode(F.array_distinct("words")).alias("term"), F.lit(-1).alias("n"))
-        save(blocks.select("scope", "term", "n").unionByName(minus).groupBy("scope", "term").agg(F.sum("n").alias("df")).filter("df <> 0"), "df")
-        sizes = docs.select("scope", F.col("n").cast("long").alias("n"), "total").unionByName(gone.select("scope", F.lit(-1).cast("long").alias("n"), (-F.size("words")).cast("long").alias("total")))
+        made = worded(added).mapInArrow(_sharded(self.shard), MARKED) if added is not None else self.spark.createDataFrame([], MARKED)
+        # the tasks that make shards write them, in folders of blocks and of documents; a shard's name comes from the attempt that is committed
+        made.write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/made")
+        made = self.spark.read.schema(MARKED).parquet(f"{at}/made")
+        blocks, docs = made.filter("kind = 0"), made.filter("kind = 1").select("scope", "n", F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+        if by_term:  # of no blocks, an empty folder
+            save(blocks.select(*NAMES).repartition("term").sortWithinPartitions("term", "scope"), "blocks")
+        df, sizes = blocks.select("scope", "term", F.col("n").cast("long").alias("n")), docs.select("scope", F.col("n").cast("long").alias("n"), "total")
+        if removed is not None:
+            gone = written(worded(removed), "removed")
+            save(gone.select("chunk_id"), "tombstones")
+            df = df.unionByName(gone.select("scope", F.explode(F.array_distinct("words")).alias("term"), F.lit(-1).cast("long").alias("n")))
+            sizes = sizes.unionByName(gone.select("scope", F.lit(-1).cast("long").alias("n"), (-F.size("words")).cast("long").alias("total")))
+        save(df.groupBy("scope", "term").agg(F.sum("n").alias("df")).filter("df <> 0"), "df")
         save(sizes.groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "sizes")
+        return {"by_term": by_term, "removes": removed is not None, "made": [x for x in self.log.names(f"{at}/made") if x.startswith("kind=")]}
+
+    def _blocks(self) -> DataFrame:
+        found = [f"{self.path}/{s}/{'blocks' if e['by_term'] else 'made/kind=0'}" for s, e in self._entries().items() if "kind=0" in e["made"]]
+        return self.spark.read.schema(BLOCKS).parquet(*found) if found else self.spark.createDataFrame([], BLOCKS)
 
     def frequencies(self) -> DataFrame:
         """(scope, term, df) of what is in the index now: the sum of all deltas."""
@@ -188,22 +201,21 @@ class LexicalIndex:
     def postings(self) -> DataFrame:
         """(scope, chunk_id, term, tf, dl) of what is in the index now."""
         docs = self._docs().select("shard", "chunk_ids", "dls", F.coalesce("dead", F.array().cast("array<int>")).alias("dead"))
-        at = self._read("blocks", BLOCKS).join(docs, "shard").select("scope", "term", "chunk_ids", "dls", "dead", F.explode(F.arrays_zip("places", "tfs")).alias("x"))
+        at = self._blocks().join(docs, "shard").select("scope", "term", "chunk_ids", "dls", "dead", F.explode(F.arrays_zip("places", "tfs")).alias("x"))
         at = at.filter(~F.array_contains("dead", F.col("x.places")))
         return at.select("scope", F.get("chunk_ids", F.col("x.places")).alias("chunk_id"), "term", F.col("x.tfs").cast("long").alias("tf"), F.get("dls", F.col("x.places")).alias("dl"))
 
     def _docs(self) -> DataFrame:
         """Shards with their chunks and the places of those that a later segment removed (null: none)."""
-        segments = self.segments()
-        numbered = lambda part, schema: [self._read(part, schema, [s]).withColumn("nth", F.lit(i)) for i, s in enumerate(segments)]
-        docs, stones = numbered("docs", DOCS), numbered("tombstones", "chunk_id string")
-        if not segments:
+        entries = self._entries()
+        if not entries:
             return self.spark.createDataFrame([], DOCS + ", dead array<int>")
-        every, dead = docs[0], stones[0]
-        for d, t in zip(docs[1:], stones[1:], strict=True):
-            every, dead = every.unionByName(d), dead.unionByName(t)
-        if len(segments) == 1:
+        docs = [self._read("made/kind=1", DOCS, [s] if "kind=1" in e["made"] else []).withColumn("nth", F.lit(i)) for i, (s, e) in enumerate(entries.items())]
+        stones = [self._read("tombstones", "chunk_id string", [s]).withColumn("nth", F.lit(i)) for i, (s, e) in enumerate(entries.items()) if e["removes"]]
+        every = functools.reduce(DataFrame.unionByName, docs)
+        if not stones:
             return every.drop("nth").withColumn("dead", F.lit(None).cast("array<int>"))
+        dead = functools.reduce(DataFrame.unionByName, stones)
         last = dead.groupBy("chunk_id").agg(F.max("nth").alias("until"))
         places = every.select("shard", "nth", F.posexplode("chunk_ids").alias("place", "chunk_id")).join(last, "chunk_id").filter("nth < until")
         return every.drop("nth").join(places.groupBy("shard").agg(F.collect_list("place").alias("dead")), "shard", "left")
@@ -214,8 +226,8 @@ class LexicalIndex:
         alive = self._docs().select("scope", F.explode(F.array_except(F.col("chunk_ids"), F.transform(F.coalesce("dead", F.array().cast("array<int>")), lambda p: F.get(F.col("chunk_ids"), p)))).alias("chunk_id"))
         version, entry = self.log.latest()
         segment = f"segments/{uuid.uuid4().hex}"
-        self._write(segment, alive.join(words, ["scope", "chunk_id"], "left"), None, F.col("scope"))
-        self.log.commit(version + 1, {"segments": [segment], "batches": entry.get("batches", {})})
+        said = self._write(segment, alive.join(words, ["scope", "chunk_id"], "left"), None, F.col("scope"), by_term=True)
+        self.log.commit(version + 1, {"segments": {segment: said}, "batches": entry.get("batches", {})})
 
     def expire(self) -> None:
         """Deletes what only older versions name; for when no reader is on them."""
@@ -241,36 +253,39 @@ class LexicalIndex:
         """(query_id, chunk_id, score, bm25_rank) of queries (query_id, text, and scope if scoped). prune=False scores all shards with a word of the query."""
         kind = queries.schema["query_id"].dataType.simpleString()
         weights = written(self.weights(queries, scoped), "weights")
-        blocks = self._read("blocks", BLOCKS)
+        blocks = self._blocks()
         words = [r["term"] for r in weights.select("term").distinct().limit(PUSHED_WORDS + 1).collect()]
         if len(words) <= PUSHED_WORDS:
             blocks = blocks.filter(F.col("term").isin(words))
+        groups = max(1, -(-weights.select("query_id").distinct().count() // QUERIES))
         most = F.col("weight") * F.col("max_tf") * (K1 + 1) / (F.col("max_tf") + K1 * (1 - B + B * F.col("min_dl") / F.col("avgdl")))
         met = weights.join(blocks.select("scope", "term", "shard", "max_tf", "min_dl"), ["scope", "term"])
         bounds = met.groupBy("query_id", "shard").agg(F.sum(F.greatest(most, F.lit(0.0))).alias("bound"))
         bounds = written(bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "shard"))), "bounds")
         if not prune:
-            scored = self._score(bounds, weights, blocks, n, kind)
+            scored = self._score(bounds, weights, blocks, groups, n, kind)
         else:
-            first = written(self._score(bounds.filter(F.col("nth") <= FIRST), weights, blocks, n, kind), "first")
+            first = written(self._score(bounds.filter(F.col("nth") <= FIRST), weights, blocks, groups, n, kind), "first")
             floor = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("n") == n).select("query_id", F.col("score").alias("floor"))
             # scores are rounded to 6 places, and sums of bounds to a double
             more = bounds.filter(F.col("nth") > FIRST).join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") + 1e-5 >= F.col("floor")))
-            scored = first.unionByName(self._score(more, weights, blocks, n, kind))
+            scored = first.unionByName(self._score(more, weights, blocks, groups, n, kind))
         return scored.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).filter(F.col("bm25_rank") <= n)
 
-    def _score(self, pairs: DataFrame, weights: DataFrame, blocks: DataFrame, n: int, kind: str) -> DataFrame:
+    def _score(self, pairs: DataFrame, weights: DataFrame, blocks: DataFrame, groups: int, n: int, kind: str) -> DataFrame:
         """Scores of the shards in pairs (query_id, shard) for the query of each."""
-        block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-weights.select("query_id").distinct().count() // QUERIES)))).cast("int").alias("block")
-        wanted = pairs.select("query_id", "shard").join(weights, "query_id").select("shard", block, "query_id", "term", "weight", "avgdl")
+        block = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("block")
+        packed = weights.groupBy("query_id").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("term", "weight")).alias("words"))
+        wanted = pairs.select("query_id", "shard").join(packed, "query_id").select("shard", block, "query_id", "avgdl", "words")
         shards = pairs.select("shard", block).distinct()
         marked = [F.lit(0).alias("kind"), "shard", "block", "term", "places", "tfs", F.lit(None).cast("array<string>").alias("chunk_ids"), F.lit(None).cast("array<int>").alias("dls")]
         terms = weights.select("term", block).distinct()
         postings = blocks.join(shards, "shard").join(terms, ["term", "block"]).select(*marked)
         heads = self._docs().join(shards, "shard").select(F.lit(1).alias("kind"), "shard", "block", F.lit(None).cast("string").alias("term"), F.col("dead").alias("places"), F.lit(None).cast("array<int>").alias("tfs"), "chunk_ids", "dls")
         run = _scored(n, to_arrow_type(pairs.schema["query_id"].dataType))
-        keys = ["shard", "block"]
-        return postings.unionByName(heads).groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(run, f"query_id {kind}, chunk_id string, score double")
+        # a number of partitions of our own: the groups are small in bytes but not in work, and adaptive plans would put them into few tasks
+        dealt = lambda rows: rows.repartition(shuffle_partitions(self.spark), "shard", "block").groupBy("shard", "block")
+        return dealt(postings.unionByName(heads)).cogroup(dealt(wanted)).applyInArrow(run, f"query_id {kind}, chunk_id string, score double")
 
 
 def build(chunks: DataFrame, scope: Column | None = None, shard: int = SHARD) -> LexicalIndex:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import index, retrieval
+from ..operators import dense_index, embedding, index, retrieval
 from ..operators import understanding as U
 from . import base
 from .base import BM25, CHUNKS, DENSE, QUESTIONS, RERANKED, SEARCH, fixture, literal, query, read, values
@@ -21,6 +21,16 @@ def dense_top(spark, d):
     return retrieval.dense_top(base.questions(spark, d), base.chunks(spark, d), 50)
 
 
+def _hashed(rows, key):
+    return embedding.dense_vectors(rows, key, unit=False).withColumnRenamed("embedding", "vector")
+
+
+@query("r01_dense_index", f"WITH {QUESTIONS},{CHUNKS},{DENSE} SELECT query_id, chunk_id, score, dense_rank FROM dense")
+def dense_index_exact(spark, d):
+    """Exact search in a stored index; counts are integers, so scores are those of dense_top."""
+    return dense_index.build(_hashed(base.chunks(spark, d), "chunk_id")).search(_hashed(base.questions(spark, d), "query_id"), 50, exact=True)
+
+
 @query("r02_words", f"SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {base.words_sql('text')} AS w FROM documents)")
 def words(spark, d):
     return read(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.engine import Engine
-from quillstone.operators import lexical_index, retrieval, verify
+from quillstone.operators import dense_index, lexical_index, retrieval, verify
 from quillstone.operators.lexical_index import LexicalIndex
 from quillstone.sources.log import Conflict, Log
 from quillstone.sources.store import Collection
@@ -306,3 +306,32 @@ def test_copied_sentences_against_plain_loops(spark):
         want[a] = (len(parts), sum(flagged(p, [t.split() for b, _, t in sources if b == a]) for p in parts))
     out = verify.verbatim(spark.createDataFrame(answers, "answer_id int, answer string"), spark.createDataFrame(sources, "answer_id int, rank int, text string"))
     assert {r.answer_id: (r.total, r.flagged) for r in out.collect()} == want and 5 < sum(v[1] for v in want.values()) < sum(v[0] for v in want.values())
+
+
+def nearest(x, q, n):
+    import numpy as np
+
+    score = np.floor((q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)) * 1e9 + 0.5) / 1e9
+    return [[(float(s), i) for s, i in sorted(((-score[k, i], str(i)) for i in range(len(x))))[:n]] for k in range(len(q))]
+
+
+@pytest.mark.parametrize(("rows", "dims"), [(2_000, 16), (12_000, 48)])
+def test_dense_index_recall_and_exact_search(spark, rows, dims):
+    import numpy as np
+
+    rng = np.random.default_rng(rows)
+    x = (rng.normal(size=(40, dims))[rng.integers(0, 40, rows)] + 0.7 * rng.normal(size=(rows, dims))).astype(np.float32)
+    x[5] = x[6]  # a tie
+    q = x[::97][:60] + 0.3 * rng.normal(size=(len(x[::97][:60]), dims)).astype(np.float32)
+    frame = lambda v, name: spark.createDataFrame([(str(i) if name == "chunk_id" else i, r.tolist()) for i, r in enumerate(v)], f"{name} {'string' if name == 'chunk_id' else 'int'}, vector array<float>")
+    odd = spark.createDataFrame([("z1", None), ("z2", [0.0] * dims), ("z3", [float("nan")] * dims), (None, [1.0] * dims)], "chunk_id string, vector array<float>")
+    index = dense_index.build(frame(x, "chunk_id").unionByName(odd))
+    want = nearest(x.astype(float), q.astype(float), 10)
+    got = {}
+    for exact in (False, True):
+        for r in index.search(frame(q, "query_id"), 10, probes=10, exact=exact, above=None).collect():
+            got.setdefault((exact, r.query_id), []).append((r.dense_rank, -r.score, r.chunk_id))
+    assert all([(s, i) for _, s, i in sorted(got[True, k])] == want[k] for k in range(len(q)))
+    recall = np.mean([len({i for _, _, i in got[False, k]} & {i for _, i in want[k]}) / 10 for k in range(len(q))])
+    assert recall >= 0.9
+    assert dense_index.build(odd).search(frame(q, "query_id"), 3).count() == 0 and index.search(odd.withColumnRenamed("chunk_id", "query_id"), 3).count() == 0
