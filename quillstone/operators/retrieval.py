@@ -196,8 +196,10 @@ def whole_document(queries: DataFrame, chunks: DataFrame, cap: int = WHOLE_DOCUM
     return top_by(met, "query_id", [F.col("chunk_index")], cap, "place").withColumn("fused_score", F.lit(1.0))
 
 
-def pool_size(k: int, caller: str = "search") -> int:
+def pool_size(k: int | Column, caller: str = "search") -> int | Column:
     """Candidates fetched before reranking."""
+    if isinstance(k, Column):
+        return {"search": F.least(6 * k, F.lit(50)), "answer": F.lit(50), "evaluation": F.greatest(10 * k, F.lit(50))}[caller]
     return {"search": min(6 * k, 50), "answer": 50, "evaluation": max(10 * k, 50)}[caller]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,21 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name} AS (SELECT {select} FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") v({', '.join(n for n, _ in fields)}))"
 
 
+class Mixed:
+    """Odd rows and rows of the given tables as one input: a DataFrame, and a common table expression for the oracle.
+
+    select gives the table rows; tables are named in braces, and its words mean the same to Spark and to DuckDB.
+    """
+
+    def __init__(self, name: str, columns: str, odd: list[tuple], select: str):
+        self.columns, self.odd, self.select = columns, odd, select
+        self.cte = f"{values(f'{name}_odd', columns, odd)}, {name} AS (SELECT * FROM {name}_odd UNION ALL {select.replace('{', '').replace('}', '')})"
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: read(spark, sf_dir, t) for t in set(re.findall(r"{(\w+)}", self.select))}
+        return fixture(spark, self.columns, self.odd).union(spark.sql(self.select, **tables))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return chunking.chunks(docs.select("doc_id", "text"), "fixed")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.workspace import written
 from ..operators import agent, context, evaluate, lexical_index, retrieval, verify
 from ..streaming import cache
 from . import base
@@ -35,9 +37,14 @@ SPANS = [(1, "a", 0, 0, 10, "0123456789"), (1, "b", 1, 6, 16, "6789abcdef"), (1,
 _MERGED = [("a", "0123456789abcdef", [0, 1], 0, 16), ("b", "0123456789abcdefghij", [0, 1, 2], 0, 20), ("c", "6789abcdefghij … xyz", [1, 2, 3], 6, 28), ("d", "ghij … xyz", [2, 3, 4], 16, 28), ("e", "xyz", [3, 4], 25, 28), ("f", "wxyz", [0], 0, 4), ("g", "none", [0], 5, 5)]
 
 
-@query("g01_expand_fixture", "SELECT * FROM (VALUES " + ", ".join(literal(r).replace("[", "(", 1)[:-1] + ")" for r in _MERGED) + ") v(key, merged_text, chunk_indices, range_start, range_end)")
+_MERGED_SQL = "SELECT * FROM (VALUES " + ", ".join(literal(r).replace("[", "(", 1)[:-1] + ")" for r in _MERGED) + ") v(key, merged_text, chunk_indices, range_start, range_end)"
+
+
+@query("g01_expand_fixture", _EXPAND.split(" SELECT n.key")[0] + f" {_MERGED_SQL} UNION ALL SELECT n.key, substring(d.text, CAST(n.a + 1 AS BIGINT), CAST(n.b - n.a AS BIGINT)), n.chunk_indices, n.a, n.b FROM near n JOIN chunks h ON h.chunk_id = n.key JOIN documents d ON d.doc_id = h.doc_id")
 def expand_fixture(spark, d):
-    rows = fixture(spark, SPAN, SPANS)
+    """Odd spans beside all chunks of the documents."""
+    own = base.chunks(spark, d).select((F.col("doc_id") + 1000).alias("doc_id"), "chunk_id", "chunk_index", "char_start", "char_end", "text")
+    rows = written(fixture(spark, SPAN, SPANS).unionByName(own), "spans")
     return context.expand(rows.withColumn("key", F.col("chunk_id")), rows, 1)
 
 
@@ -77,15 +84,19 @@ ANSWERS = [
 ]
 SOURCES = [(a, r, f"c{r}", t) for a in range(1, 11) for r, t in [(1, "The pump GX-4200 runs at 85 bar and 145°C. The steel housing of the pump is rated at eighty five bar under load."), (2, "Its housing is made of steel and rated at 85 bar."), (3, "A valve opens when pressure falls; slowly at first.")]]
 JUDGED = [(2, 1, "This is not supported by the source"), (2, 2, "supported"), (6, 1, "It contradicts the source"), (6, 3, "no idea")]
-_A, _S, _J = values("answers", "answer_id int, answer string", ANSWERS), values("sources", "answer_id int, rank int, chunk_id string, text string", SOURCES), values("judged", "answer_id int, index int, reply string", JUDGED)
+# every benchmark text as an answer that cites itself and the document of its number
+SAID = base.Mixed("answers", "answer_id int, answer string", ANSWERS, "SELECT CAST(1000 + item_id AS INT) AS answer_id, text || ' [1]. ' || text || ' [2-3].' FROM {benchmark}")
+READ = base.Mixed("sources", "answer_id int, rank int, chunk_id string, text string", SOURCES, "SELECT CAST(1000 + item_id AS INT) AS answer_id, 1, 'c1', text FROM {benchmark} UNION ALL SELECT CAST(1000 + b.item_id AS INT), 2, 'd', d.text FROM {benchmark} b JOIN {documents} d ON d.doc_id = b.item_id")
+ASKED_JUDGE = base.Mixed("judged", "answer_id int, index int, reply string", JUDGED, "SELECT CAST(1000 + item_id AS INT) AS answer_id, 2, CASE item_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'It contradicts the source' ELSE 'Not mentioned there' END FROM {benchmark}")
+_A, _S, _J = SAID.cte, READ.cte, ASKED_JUDGE.cte
 
 
-def _answers(spark):
-    return fixture(spark, "answer_id int, answer string", ANSWERS)
+def _answers(spark, d):
+    return SAID.frame(spark, d)
 
 
-def _sources(spark):
-    return fixture(spark, "answer_id int, rank int, chunk_id string, text string", SOURCES)
+def _sources(spark, d):
+    return READ.frame(spark, d)
 
 
 _ENDS = "list_filter(list_transform(string_split(t, '-'), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x IS NOT NULL)"
@@ -101,7 +112,7 @@ def _cited_sql(source: str, key: str, text: str) -> str:
 
 @query("g05_citations", f"WITH {_A}, {_cited_sql('answers', 'answer_id', 'answer')} SELECT a.answer_id, coalesce((SELECT list(idx ORDER BY idx) FROM cites c WHERE c.answer_id = a.answer_id), []) AS cited, coalesce((SELECT list(DISTINCT i ORDER BY i) FROM tokens t, (VALUES (1::BIGINT), (2), (3)) v(i) WHERE t.answer_id = a.answer_id AND i BETWEEN list_min(e) AND list_max(e)), []) AS valid FROM answers a")
 def citations(spark, d):
-    return _answers(spark).select("answer_id", verify.cited(F.col("answer")).alias("cited"), verify.cited(F.col("answer"), F.lit(3)).alias("valid"))
+    return _answers(spark, d).select("answer_id", verify.cited(F.col("answer")).alias("cited"), verify.cited(F.col("answer"), F.lit(3)).alias("valid"))
 
 
 _ABSTAINS = "(" + " OR ".join(f"contains(replace(lower(coalesce(answer, '')), '’', ''''), {literal(p)})" for p in verify.ABSTENTIONS) + ")"
@@ -109,7 +120,7 @@ _ABSTAINS = "(" + " OR ".join(f"contains(replace(lower(coalesce(answer, '')), '
 
 @query("g06_abstention", f"WITH {_A} SELECT answer_id, {_ABSTAINS} AS abstains FROM answers")
 def abstention(spark, d):
-    return _answers(spark).select("answer_id", verify.abstains(F.col("answer")).alias("abstains"))
+    return _answers(spark, d).select("answer_id", verify.abstains(F.col("answer")).alias("abstains"))
 
 
 _CLAIMS = f"""{_cited_sql('answers', 'answer_id', 'answer')},
@@ -123,7 +134,7 @@ _CLAIMS = f"""{_cited_sql('answers', 'answer_id', 'answer')},
 
 @query("g07_claims", f"WITH {_A}, {_CLAIMS} SELECT answer_id, idx AS index, claim_text FROM claims")
 def claims(spark, d):
-    rows = _answers(spark).select("answer_id", "answer", F.explode(verify.cited(F.col("answer"))).alias("index"))
+    rows = _answers(spark, d).select("answer_id", "answer", F.explode(verify.cited(F.col("answer"))).alias("index"))
     return rows.select("answer_id", "index", verify.claim(F.col("answer"), F.col("index")).alias("claim_text"))
 
 
@@ -136,7 +147,7 @@ def _facts_sql(c: str) -> str:
 
 @query("g08_facts", f"WITH {_A} SELECT answer_id, {_facts_sql('answer')} AS facts FROM answers")
 def facts(spark, d):
-    return _answers(spark).select("answer_id", verify.facts(F.col("answer")).alias("facts"))
+    return _answers(spark, d).select("answer_id", verify.facts(F.col("answer")).alias("facts"))
 
 
 _MINE = f"list_distinct(list_filter({base.words_sql('regexp_replace(claim_text, ' + literal(chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']') + ', ' + literal(' ') + ', ' + literal('g') + ')')}, lambda w: NOT list_contains({literal(T.CITATION_STOPWORDS)}, w)))"
@@ -150,12 +161,12 @@ _VERDICTS = f"""{_CLAIMS},
 
 @query("g09_verdicts", f"WITH {_A}, {_S}, {_VERDICTS} SELECT answer_id, idx AS index, claim_text, chunk_id, v1 AS verdict, CASE v1 WHEN 'supported' THEN 0.9 ELSE 0.0 END AS confidence, CASE v1 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM tier1")
 def verdicts(spark, d):
-    return verify.validate(_answers(spark), _sources(spark))
+    return verify.validate(_answers(spark, d), _sources(spark, d))
 
 
 @query("g10_judged", f"WITH {_A}, {_S}, {_J}, {_VERDICTS}, t2 AS (SELECT t.*, CASE WHEN v1 = 'unverified' THEN CASE WHEN j.reply IS NULL THEN 'unverified' ELSE {_JUDGE} END ELSE v1 END AS v2 FROM tier1 t LEFT JOIN judged j ON j.answer_id = t.answer_id AND j.index = t.idx) SELECT answer_id, idx AS index, claim_text, chunk_id, v2 AS verdict, CASE WHEN v2 = 'supported' AND v1 <> 'supported' THEN 0.75 WHEN v2 = 'supported' THEN 0.9 WHEN v2 = 'contradicted' THEN 0.9 WHEN v2 = 'not_mentioned' THEN 0.75 ELSE 0.0 END AS confidence, CASE v2 WHEN 'supported' THEN 'valid' WHEN 'unverified' THEN 'unverified' ELSE 'dropped' END AS state FROM t2")
 def judged(spark, d):
-    return verify.validate(_answers(spark), _sources(spark), fixture(spark, "answer_id int, index int, reply string", JUDGED))
+    return verify.validate(_answers(spark, d), _sources(spark, d), ASKED_JUDGE.frame(spark, d))
 
 
 _EXTRACT = f"""
@@ -189,7 +200,7 @@ _ISLANDS = f"""
 
 @query("g11_verbatim_fixture", f"WITH {_A}, {_S},{_ISLANDS}")
 def verbatim_fixture(spark, d):
-    return verify.verbatim(_answers(spark), _sources(spark))
+    return verify.verbatim(_answers(spark, d), _sources(spark, d))
 
 
 @query("g11_verbatim", SEARCH + RERANKED + "," + _EXTRACT + f", answers AS (SELECT query_id AS answer_id, answer FROM extracted), sources AS (SELECT r.query_id AS answer_id, r.rank, c.text FROM ranked r JOIN chunks c USING (chunk_id)),{_ISLANDS}")
@@ -205,11 +216,14 @@ VERIFIER = [
 ]
 
 
+VERIFIED = base.Mixed("replies", "id int, reply string, answer string", VERIFIER, "SELECT CAST(1000 + a.conv_id * 100 + a.turn AS INT) AS id, b.text, a.text FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+
+
 def _phrases(c: str, cues: list[str]) -> str:
     return f"regexp_matches({c}, {literal('|'.join(cues))})"
 
 
-_GROUND = f"""WITH {values('replies', 'id int, reply string, answer string', VERIFIER)}, t AS (SELECT id, regexp_replace(coalesce(reply, ''), '^\\s+|\\s+$', '', 'g') AS text, answer FROM replies),
+_GROUND = f"""WITH {VERIFIED.cte}, t AS (SELECT id, regexp_replace(coalesce(reply, ''), '^\\s+|\\s+$', '', 'g') AS text, answer FROM replies),
  f AS (SELECT *, regexp_replace(trim(string_split(lower(text), chr(10))[1]), '[.:]+$', '') AS first, list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(trim(s), '^[-•*0123456789.) ]+', ''))) AS lines FROM t),
  b AS (SELECT *, list_filter(lines, lambda s: length(s) > 8 AND NOT {_phrases('lower(s)', verify.NOT_CLAIMS)} AND NOT ({_phrases('lower(s)', verify.AFFIRMING)} AND NOT {_phrases('lower(s)', verify.NEGATING)})) AS bad,
    greatest(len(list_filter(string_split(answer, '.'), lambda s: trim(s) <> '')), 1) AS total, ({_phrases('first', verify.ALL_GROUNDED)} OR starts_with(first, 'none') OR list_contains({literal(verify.CLEAR)}, first)) AS clean FROM f)
@@ -219,17 +233,19 @@ _GROUND = f"""WITH {values('replies', 'id int, reply string, answer string', VER
 
 @query("g12_groundedness", _GROUND)
 def groundedness(spark, d):
-    rows = fixture(spark, "id int, reply string, answer string", VERIFIER)
-    return rows.select("id", verify.groundedness(F.col("reply"), F.col("answer")).alias("g")).select("id", "g.*")
+    return VERIFIED.frame(spark, d).select("id", verify.groundedness(F.col("reply"), F.col("answer")).alias("g")).select("id", "g.*")
 
 
 SIGNALS = [(1, 0.8, 3, 1, 0.95, True), (2, 0.9, 0, 0, 0.5, True), (3, 0.7, 2, 0, 0.7, True), (4, 0.2, 1, 1, 1.0, False), (5, 1.0, 4, 0, 1.0, True)]
 _SIGNALS = "answer_id int, retrieval double, n_valid int, n_dropped int, groundedness double, verified boolean"
 
 
-@query("g13_confidence", f"WITH {values('s', _SIGNALS, SIGNALS)}, c AS (SELECT *, CASE WHEN n_valid + n_dropped > 0 THEN round(n_valid / (n_valid + n_dropped), 3) ELSE 0.0 END AS citation_coverage FROM s) SELECT *, verified AND groundedness > least(retrieval, citation_coverage) + 1e-9 AS capped FROM c")
+MEASURED = base.Mixed("s", _SIGNALS, SIGNALS, "SELECT CAST(1000 + doc_id AS INT) AS answer_id, CAST(doc_id % 11 AS DOUBLE) / 10, CAST(doc_id % 4 AS INT), CAST(doc_id % 3 AS INT), CAST(doc_id % 7 AS DOUBLE) / 6, doc_id % 2 = 0 FROM {documents}")
+
+
+@query("g13_confidence", f"WITH {MEASURED.cte}, c AS (SELECT *, CASE WHEN n_valid + n_dropped > 0 THEN round(n_valid / (n_valid + n_dropped), 3) ELSE 0.0 END AS citation_coverage FROM s) SELECT *, verified AND groundedness > least(retrieval, citation_coverage) + 1e-9 AS capped FROM c")
 def confidence(spark, d):
-    return verify.confidence(fixture(spark, _SIGNALS, SIGNALS))
+    return verify.confidence(MEASURED.frame(spark, d))
 
 
 @query("g14_answers")
@@ -260,21 +276,27 @@ FOUND = [(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "a", 1), (1, 2, "c", 2), (2, 1,
 _FOUND = "query_id int, step int, chunk_id string, rank int"
 
 
-@query("l03_collect_first", f"WITH {values('f', _FOUND, FOUND)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY step, rank) AS n FROM f) SELECT query_id, step, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY step, rank, chunk_id) AS seen FROM k WHERE n = 1")
+MET = base.Mixed("f", _FOUND, FOUND, "SELECT CAST(1000 + user_id AS INT) AS query_id, CAST(event_id % 5 AS INT), event_type, CAST(event_id % 9 AS INT) FROM {events}")
+PLAIN = base.Mixed("p", "query_id int, chunk_id string, rank int", [(1, "p", 1), (3, "q", 1), (3, "r", 2)], "SELECT CAST(1000 + doc_id AS INT) AS query_id, coalesce(source, ''), 1 FROM {documents}")
+
+
+@query("l03_collect_first", f"WITH {MET.cte}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY step, rank) AS n FROM f) SELECT query_id, step, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY step, rank, chunk_id) AS seen FROM k WHERE n = 1")
 def collect_first(spark, d):
-    return agent.collect_first(fixture(spark, _FOUND, FOUND))
+    return agent.collect_first(MET.frame(spark, d))
 
 
-@query("l02_fallback", f"WITH {values('f', _FOUND, FOUND)} SELECT query_id, chunk_id, rank FROM (VALUES (1, 'p', 1), (3, 'q', 1), (3, 'r', 2)) p(query_id, chunk_id, rank) WHERE query_id NOT IN (SELECT query_id FROM f)")
+@query("l02_fallback", f"WITH {MET.cte}, {PLAIN.cte} SELECT query_id, chunk_id, rank FROM p WHERE query_id NOT IN (SELECT query_id FROM f)")
 def fallback(spark, d):
-    plain = fixture(spark, "query_id int, chunk_id string, rank int", [(1, "p", 1), (3, "q", 1), (3, "r", 2)])
-    asked = fixture(spark, "query_id int", [(1,), (2,), (3,)])
-    return agent.fallback(asked, fixture(spark, _FOUND, FOUND), plain)
+    plain = PLAIN.frame(spark, d)
+    return agent.fallback(plain.select("query_id").distinct(), MET.frame(spark, d), plain)
+
+
+LIMITS = base.Mixed("v", "k int", [(x,) for x in (-3, 0, 1, 8, 20, 99, None)], "SELECT CAST(doc_id % 40 - 10 AS INT) AS k FROM {documents}")
 
 
-@query("l04_tool_limits", "SELECT k, CAST(greatest(1, least(coalesce(k, 8), 20)) AS INTEGER) AS top_k FROM (VALUES (-3), (0), (1), (8), (20), (99), (NULL)) v(k)")
+@query("l04_tool_limits", f"WITH {LIMITS.cte} SELECT k, CAST(greatest(1, least(coalesce(k, 8), 20)) AS INTEGER) AS top_k FROM v")
 def tool_limits(spark, d):
-    return fixture(spark, "k int", [(x,) for x in (-3, 0, 1, 8, 20, 99, None)]).select("k", agent.clamp_k(F.col("k")).alias("top_k"))
+    return LIMITS.frame(spark, d).select("k", agent.clamp_k(F.col("k")).alias("top_k"))
 
 
 REPLIES = [
@@ -284,10 +306,19 @@ REPLIES = [
 ]
 
 
-@query("l05_parse_action", "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({literal(t)} AS VARCHAR), {literal(n)})" for i, (_, t, n) in enumerate(REPLIES)) + ") v(id, tool, n_args)")
+PARSED = base.Mixed("v", "id int, tool string, n_args int", [(i, t, n) for i, (_, t, n) in enumerate(REPLIES)], "SELECT CAST(1000 + doc_id AS INT) AS id, 'fetch_document', 1 FROM {documents} UNION ALL SELECT CAST(-1 - item_id AS INT), NULL, NULL FROM {benchmark}")
+# chr(123) and chr(125) are braces
+SPOKEN = base.Mixed("w", "id int, reply string", [(i, r) for i, (r, _, _) in enumerate(REPLIES)], """SELECT CAST(1000 + doc_id AS INT) AS id, coalesce(lang, '') || ': ' || chr(123) || '"tool": "fetch_document", "args": ' || chr(123) || '"doc_id": ' || doc_id || chr(125) || chr(125) || ' done' FROM {documents} UNION ALL SELECT CAST(-1 - item_id AS INT), translate(text, chr(123), ' ') FROM {benchmark}""")
+
+
+@query("l05_parse_action", f"WITH {PARSED.cte} SELECT * FROM v")
 def parse_actions(spark, d):
-    found = [agent.parse_action(r) for r, _, _ in REPLIES]
-    return fixture(spark, "id int, tool string, n_args int", [(i, a and a["tool"], len(a["args"]) if a else None) for i, a in enumerate(found)])
+    def run(frames):
+        for frame in frames:
+            found = [agent.parse_action(r) for r in frame["reply"]]
+            yield pd.DataFrame({"id": frame["id"], "tool": [a and a["tool"] for a in found], "n_args": pd.array([len(a["args"]) if a else None for a in found], "Int32")})
+
+    return SPOKEN.frame(spark, d).mapInPandas(run, "id int, tool string, n_args int")
 
 
 WANTED = [(1, "5", None), (2, "document_0", None), (3, "document_0", "7"), (4, None, "7"), (5, None, None), (6, "", None), (7, "7", "5")]

@@ -26,9 +26,12 @@ _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
   '([\w])-\n([\w])', '\1\2', 'g'), '([\w])-\n([\w])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '(?m)[ \t\r\f]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"""
 
 
-@query("c01_clean_fixture", f"WITH {base.values('dirty', 'id int, text string', DIRTY)}, c AS (SELECT id, length(text) AS original, regexp_replace({_CLEAN}, '^\\s+|\\s+$', '', 'g') AS cleaned FROM dirty) SELECT id, original AS original_chars, length(cleaned) AS cleaned_chars, cleaned FROM c WHERE cleaned <> ''")
+DIRTY_ROWS = base.Mixed("dirty", "id int, text string", DIRTY, "SELECT CAST(1000 + doc_id AS INT) AS id, text FROM {documents}")
+
+
+@query("c01_clean_fixture", f"WITH {DIRTY_ROWS.cte}, c AS (SELECT id, length(text) AS original, regexp_replace({_CLEAN}, '^\\s+|\\s+$', '', 'g') AS cleaned FROM dirty) SELECT id, original AS original_chars, length(cleaned) AS cleaned_chars, cleaned FROM c WHERE cleaned <> ''")
 def clean_fixture(spark, d):
-    rows = base.fixture(spark, "id int, text string", DIRTY).withColumn("cleaned", T.clean(F.col("text")))
+    rows = DIRTY_ROWS.frame(spark, d).withColumn("cleaned", T.clean(F.col("text")))
     return rows.filter("cleaned <> ''").select("id", F.length("text").alias("original_chars"), F.length("cleaned").alias("cleaned_chars"), "cleaned")
 
 
@@ -150,13 +153,14 @@ def chunks_per_page(spark, d):
 
 ODD = [(1, 0, 1, 0, 20, "x" * 20), (1, 1, 1, 10, 1200, "y" * 1190), (1, 2, 2, 1200, 1700, "z" * 500), (2, 0, 1, 0, 49, "w" * 49)]
 ODD_PAGES = [(1, 1, 900), (1, 2, 700), (1, 3, 80), (1, 4, 0), (2, 1, 49), (2, 2, 10)]
-_ODD = base.values("odd", "doc_id bigint, chunk_index int, page_number int, char_start int, char_end int, text string", ODD) + ", " + base.values("odd_pages", "doc_id bigint, page_number int, cleaned_char_count int", ODD_PAGES)
+_ODD = base.CHUNKS + ", " + base.values("odd_rows", "doc_id bigint, chunk_index int, page_number int, char_start int, char_end int, text string", ODD) + ", odd AS (SELECT * FROM odd_rows UNION ALL SELECT doc_id + 1000, chunk_index, 1, char_start, char_end, text FROM chunks), " + (PAGE_ROWS := base.Mixed("odd_pages", "doc_id bigint, page_number int, cleaned_char_count int", ODD_PAGES, "SELECT doc_id + 1000 AS doc_id, CAST(1 + doc_id % 2 AS INT), CAST(length(text) AS INT) FROM {documents}")).cte
 
 
 @query("a05_warnings", f"WITH {_ODD} SELECT doc_id, 'tiny' AS kind, list(chunk_index ORDER BY chunk_index) AS places FROM odd WHERE length(text) < 50 GROUP BY doc_id UNION ALL SELECT doc_id, 'oversized', list(chunk_index ORDER BY chunk_index) FROM odd WHERE length(text) > 1000 GROUP BY doc_id UNION ALL SELECT doc_id, 'page_without_chunks', list(page_number ORDER BY page_number) FROM odd_pages p WHERE cleaned_char_count > 0 AND NOT EXISTS (SELECT 1 FROM odd o WHERE o.doc_id = p.doc_id AND o.page_number = p.page_number) GROUP BY doc_id")
 def warnings(spark, d):
     rows = base.fixture(spark, "doc_id bigint, chunk_index int, page_number int, char_start int, char_end int, text string", ODD)
-    return stats.warnings(rows, base.fixture(spark, "doc_id bigint, page_number int, cleaned_char_count int", ODD_PAGES))
+    own = base.chunks(spark, d).select((F.col("doc_id") + 1000).alias("doc_id"), "chunk_index", "page_number", "char_start", "char_end", "text")
+    return stats.warnings(rows.unionByName(own), PAGE_ROWS.frame(spark, d))
 
 
 @query("a06_compare_strategies")

@@ -121,10 +121,13 @@ OUTCOMES = [(1, 0.0, True, 0.0, 0.0), (2, 1.0, True, 0.9, 0.9), (3, 1.0, False,
 _OUT = "id int, recall double, abstained boolean, faithful double, relevant double"
 
 
-@query("v07_failure_class", f"WITH {values('o', _OUT, OUTCOMES)} SELECT id, CASE WHEN recall = 0 THEN 'retrieval_miss' WHEN abstained THEN 'over_refusal' WHEN faithful < 0.55 THEN 'hallucination' WHEN relevant < 0.3 THEN 'off_topic' WHEN relevant < 0.5 THEN 'partial_answer' ELSE 'ok' END AS failure_class, CASE WHEN recall = 0 THEN 'retrieval_miss' WHEN abstained THEN 'over_refusal' WHEN faithful < 0.85 THEN 'hallucination' WHEN relevant < 0.4 THEN 'off_topic' WHEN relevant < 0.7 THEN 'partial_answer' ELSE 'ok' END AS neural FROM o")
+ENDED = base.Mixed("o", _OUT, OUTCOMES, "SELECT CAST(1000 + doc_id AS INT) AS id, CAST(doc_id % 3 AS DOUBLE) / 2, doc_id % 5 = 0, CAST(doc_id % 21 AS DOUBLE) / 20, CAST(doc_id % 11 AS DOUBLE) / 10 FROM {documents}")
+
+
+@query("v07_failure_class", f"WITH {ENDED.cte} SELECT id, CASE WHEN recall = 0 THEN 'retrieval_miss' WHEN abstained THEN 'over_refusal' WHEN faithful < 0.55 THEN 'hallucination' WHEN relevant < 0.3 THEN 'off_topic' WHEN relevant < 0.5 THEN 'partial_answer' ELSE 'ok' END AS failure_class, CASE WHEN recall = 0 THEN 'retrieval_miss' WHEN abstained THEN 'over_refusal' WHEN faithful < 0.85 THEN 'hallucination' WHEN relevant < 0.4 THEN 'off_topic' WHEN relevant < 0.7 THEN 'partial_answer' ELSE 'ok' END AS neural FROM o")
 def failure_class(spark, d):
     c = [F.col(x) for x in ("recall", "abstained", "faithful", "relevant")]
-    return fixture(spark, _OUT, OUTCOMES).select("id", evaluate.failure_class(*c).alias("failure_class"), evaluate.failure_class(*c, evaluate.FLOORS_NEURAL).alias("neural"))
+    return ENDED.frame(spark, d).select("id", evaluate.failure_class(*c).alias("failure_class"), evaluate.failure_class(*c, evaluate.FLOORS_NEURAL).alias("neural"))
 
 
 @query("v08_failure_breakdown", SEARCH + RERANKED + _ANSWERS + f" SELECT k.c AS failure_class, count(f.query_id) AS n, round(count(f.query_id) / (SELECT greatest(count(*), 1) FROM final), 4) AS rate FROM (SELECT unnest({literal(evaluate.FAILURES)}) AS c) k LEFT JOIN final f ON f.failure_class = k.c GROUP BY 1")
@@ -180,9 +183,14 @@ OURS = [("faithfulness", 0.91), ("answer_relevancy", 0.80), ("context_recall", N
 THEIRS = [("faithfulness", 0.4607), ("answer_relevancy", 0.85), ("context_recall", 0.5), ("other", 1.0)]
 
 
-@query("v11_deltas", f"WITH {values('o', 'name string, value double', OURS)}, {values('t', 'name string, value double', THEIRS)}, b AS (SELECT o.name, o.value AS ours, t.value AS theirs, round(abs(o.value - t.value), 4) AS delta FROM o JOIN t USING (name) WHERE o.value IS NOT NULL AND t.value IS NOT NULL) SELECT *, max(delta) OVER () AS max_delta FROM b")
+# beside the odd ones, thousands of documents of each source, and of these in one language
+OURS_ROWS = base.Mixed("o", "name string, value double", OURS, "SELECT source, CAST(count(*) AS DOUBLE) / 1000 FROM {documents} WHERE source IS NOT NULL GROUP BY source")
+THEIRS_ROWS = base.Mixed("t", "name string, value double", THEIRS, "SELECT source, CAST(count(*) AS DOUBLE) / 1000 FROM {documents} WHERE source IS NOT NULL AND lang = 'en' GROUP BY source")
+
+
+@query("v11_deltas", f"WITH {OURS_ROWS.cte}, {THEIRS_ROWS.cte}, b AS (SELECT o.name, o.value AS ours, t.value AS theirs, round(abs(o.value - t.value), 4) AS delta FROM o JOIN t USING (name) WHERE o.value IS NOT NULL AND t.value IS NOT NULL) SELECT *, max(delta) OVER () AS max_delta FROM b")
 def deltas(spark, d):
-    return evaluate.deltas(fixture(spark, "name string, value double", OURS), fixture(spark, "name string, value double", THEIRS))
+    return evaluate.deltas(OURS_ROWS.frame(spark, d), THEIRS_ROWS.frame(spark, d))
 
 
 def _steps(spark, d):
@@ -207,9 +215,12 @@ def nearest_rank(spark, d):
 SMALL = [(g, float(i)) for g in (1, 2, 4, 6, 10, 11) for i in range(1, g + 1)]
 
 
-@query("v12_nearest_rank_small", f"WITH {values('s', 'g int, v0 double', SMALL)} " + _percentiles("g", (50, 95), "s", "v0"))
+SMALL_ROWS = base.Mixed("s", "g int, v0 double", SMALL, "SELECT CAST(1000 + user_id AS INT) AS g, value FROM {events}")
+
+
+@query("v12_nearest_rank_small", f"WITH {SMALL_ROWS.cte} " + _percentiles("g", (50, 95), "s", "v0"))
 def nearest_rank_small(spark, d):
-    return M.nearest_rank(fixture(spark, "g int, v double", SMALL), ["g"], "v", [50, 95])
+    return M.nearest_rank(SMALL_ROWS.frame(spark, d).withColumnRenamed("v0", "v"), ["g"], "v", [50, 95])
 
 
 @query("v13_stage_latency", f"WITH r AS ({_percentiles('event_type')}), b AS (SELECT e.event_type AS stage, count(*) AS n, round(any_value(r.p50), 1) AS p50, round(any_value(r.p95), 1) AS p95, round(max(value), 1) AS max FROM events e JOIN r USING (event_type) GROUP BY 1) SELECT *, round(100 * p50 / CASE WHEN sum(p50) OVER () = 0 THEN 1 ELSE sum(p50) OVER () END, 1) AS share FROM b")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import dense_index, embedding, index, retrieval
 from ..operators import understanding as U
 from . import base
-from .base import BM25, CHUNKS, DENSE, QUESTIONS, RERANKED, SEARCH, fixture, literal, query, read, values
+from .base import BM25, CHUNKS, DENSE, QUESTIONS, RERANKED, SEARCH, literal, query, read
 
 
 def _search(spark, d):
@@ -125,9 +125,12 @@ def mmr(spark, d):
 REPLIES = [(1, "how fast is it", "1. How quick is it?\n- What is its speed?\n\n* \"Top speed of it\"\n4) How fast is it"), (2, "plain", ""), (3, "abc", "x\nab\nABC\nabcd\nAbcd\nfive\nsix\nseven"), (4, "q", None)]
 
 
-@query("r11_rewrites", f"WITH {values('replies', 'id int, q string, reply string', REPLIES)}, l AS (SELECT id, q, i, regexp_replace(regexp_replace(regexp_replace(s, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''), '^\\s+|\\s+$', '', 'g'), '^\"+|\"+$', '', 'g') AS s FROM (SELECT id, q, unnest(string_split(coalesce(reply, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(reply, ''), chr(10)), 1) AS i FROM replies)), u AS (SELECT *, row_number() OVER (PARTITION BY id, lower(s) ORDER BY i) AS copy FROM l WHERE length(s) >= 3 AND lower(s) <> lower(q)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM u WHERE copy = 1) SELECT r.id, list_concat([r.q], coalesce((SELECT list(s ORDER BY n) FROM k WHERE k.id = r.id AND n <= 3), [])) AS variants FROM replies r")
+ANSWERED = base.Mixed("replies", "id int, q string, reply string", REPLIES, "SELECT CAST(1000 + a.conv_id * 100 + a.turn AS INT) AS id, a.text, b.text FROM {conversations} a LEFT JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+
+
+@query("r11_rewrites", f"WITH {ANSWERED.cte}, l AS (SELECT id, q, i, regexp_replace(regexp_replace(regexp_replace(s, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''), '^\\s+|\\s+$', '', 'g'), '^\"+|\"+$', '', 'g') AS s FROM (SELECT id, q, unnest(string_split(coalesce(reply, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(reply, ''), chr(10)), 1) AS i FROM replies)), u AS (SELECT *, row_number() OVER (PARTITION BY id, lower(s) ORDER BY i) AS copy FROM l WHERE length(s) >= 3 AND lower(s) <> lower(q)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM u WHERE copy = 1) SELECT r.id, list_concat([r.q], coalesce((SELECT list(s ORDER BY n) FROM k WHERE k.id = r.id AND n <= 3), [])) AS variants FROM replies r")
 def rewrites(spark, d):
-    return fixture(spark, "id int, q string, reply string", REPLIES).select("id", U.parsed_rewrites(F.col("reply"), F.col("q"), 3).alias("variants"))
+    return ANSWERED.frame(spark, d).select("id", U.parsed_rewrites(F.col("reply"), F.col("q"), 3).alias("variants"))
 
 
 @query("r12_fuse_lists", SEARCH + ", lists AS (SELECT query_id, chunk_id, dense_rank AS rank FROM dense UNION ALL SELECT query_id, chunk_id, bm25_rank FROM bm25 UNION ALL SELECT query_id, chunk_id, place FROM hybrid), f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS fused_score FROM lists GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) AS place FROM f")
@@ -148,10 +151,10 @@ def whole_document(spark, d):
     return retrieval.whole_document(asked, base.chunks(spark, d)).select("query_id", "chunk_id", "chunk_index", "fused_score", "place")
 
 
-@query("r14_pool_size", "SELECT k, least(6 * k, 50) AS search, 50 AS answer, greatest(10 * k, 50) AS evaluation FROM (SELECT unnest(range(1, 51)) AS k)")
+@query("r14_pool_size", "SELECT doc_id, least(6 * k, 50) AS search, 50 AS answer, greatest(10 * k, 50) AS evaluation FROM (SELECT doc_id, CAST(doc_id % 50 + 1 AS INTEGER) AS k FROM documents)")
 def pool_size(spark, d):
-    rows = [(k, *[retrieval.pool_size(k, c) for c in ("search", "answer", "evaluation")]) for k in range(1, 51)]
-    return fixture(spark, "k bigint, search int, answer int, evaluation int", rows)
+    k = (F.col("doc_id") % 50 + 1).cast("int")
+    return read(spark, d, "documents").select("doc_id", *[retrieval.pool_size(k, c).alias(c) for c in ("search", "answer", "evaluation")])
 
 
 @query("r15_thin_retry", SEARCH + ", kinds AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'analytical' WHEN query_id % 3 = 1 THEN 'definitional' ELSE 'informational' END AS kind FROM questions), first AS (SELECT query_id, chunk_id, dense_rank AS place FROM dense WHERE dense_rank <= query_id % 5), second AS (SELECT query_id, chunk_id, bm25_rank AS place FROM bm25 WHERE bm25_rank <= 6), n AS (SELECT k.query_id, count(f.chunk_id) AS n, coalesce(max(f.place), 0) AS last FROM kinds k LEFT JOIN first f USING (query_id) WHERE kind <> 'analytical' GROUP BY 1 HAVING count(f.chunk_id) < 3), more AS (SELECT s.query_id, s.chunk_id, n.last + row_number() OVER (PARTITION BY s.query_id ORDER BY s.place) AS place FROM second s JOIN n USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = s.query_id AND f.chunk_id = s.chunk_id)) SELECT * FROM first UNION ALL SELECT * FROM more")
@@ -170,18 +173,21 @@ QUERIES = [
     "give me all the results in total", "torque", "Pumps And Valves", "what are the parts and what is the load versus the speed of the GX-1?", "a-b c_d e",
 ]
 _Q = [(i, q) for i, q in enumerate(QUERIES)]
-_QSQL = values("q", "id int, text string", _Q)
+_TURNS = "CAST(1000 + a.conv_id * 100 + a.turn AS INT)"
+ASKED = base.Mixed("q", "id int, text string", _Q, f"SELECT {_TURNS} AS id, a.text FROM {{conversations}} a UNION ALL SELECT CAST(-1 - item_id AS INT), text FROM {{benchmark}}")
+_QSQL = ASKED.cte
 
 
 def _like(c: str, cues: list[str]) -> str:
     return "(" + " OR ".join(f"contains({c}, {literal(x)})" for x in cues) + ")"
 
 
-def _asked(spark):
-    return fixture(spark, "id int, text string", _Q)
+def _asked(spark, d):
+    """Odd questions, all turns of conversations and all benchmark texts."""
+    return ASKED.frame(spark, d)
 
 
-_BROAD = f"""WITH {_QSQL}, t AS (SELECT id, text, regexp_extract_all(text, '[\\w-]+') AS w FROM q),
+_BROAD = f"""WITH {_QSQL}, t AS (SELECT id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_-]+') AS w FROM q),
  c AS (SELECT id, text, w, CASE WHEN len(list_filter(w, lambda x: NOT list_contains({literal(T.BROADEN_STOPWORDS)}, lower(x)))) > 0 THEN list_filter(w, lambda x: NOT list_contains({literal(T.BROADEN_STOPWORDS)}, lower(x))) ELSE w END AS c FROM t),
  k AS (SELECT *, list_position(list_transform(c, lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '\\d')), true) AS pos FROM c)
  SELECT id, CASE WHEN len(w) = 0 THEN text ELSE array_to_string(CASE WHEN len(c) > 1 AND pos > 0 THEN list_concat(c[1:pos - 1], c[pos + 1:]) ELSE c END, ' ') END AS broadened FROM k"""
@@ -189,7 +195,7 @@ _BROAD = f"""WITH {_QSQL}, t AS (SELECT id, text, regexp_extract_all(text, '[\\w
 
 @query("r16_broaden", _BROAD)
 def broaden(spark, d):
-    return _asked(spark).select("id", U.broadened(F.col("text")).alias("broadened"))
+    return _asked(spark, d).select("id", U.broadened(F.col("text")).alias("broadened"))
 
 
 @query("r17_route", SEARCH + ", asked2 AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'global' ELSE 'local' END AS scope, CASE WHEN query_id % 8 <> 0 THEN query_id END AS doc_id FROM questions) SELECT h.query_id, h.chunk_id, h.place, 'local' AS leg FROM hybrid h JOIN asked2 a USING (query_id) WHERE NOT (a.scope = 'global' AND a.doc_id IS NOT NULL) UNION ALL SELECT a.query_id, c.chunk_id, c.chunk_index + 1, 'whole' FROM asked2 a JOIN chunks c ON c.doc_id = a.doc_id WHERE a.scope = 'global' AND c.chunk_index < 400")
@@ -226,31 +232,31 @@ _TASK = "CASE " + " ".join(f"WHEN {_like('p', cues)} THEN {literal(task)}" for t
 
 @query("q01_query_type", f"WITH {_QSQL} {_TYPE}")
 def query_type(spark, d):
-    return _asked(spark).select("id", U.query_type(F.col("text")).alias("kind"))
+    return _asked(spark, d).select("id", U.query_type(F.col("text")).alias("kind"))
 
 
 @query("q02_task", f"WITH {_QSQL} SELECT id, {_TASK} AS task FROM (SELECT id, ' ' || {_LOW} || ' ' AS p FROM q)")
 def task(spark, d):
-    return _asked(spark).select("id", U.answer_task(F.col("text")).alias("task"))
+    return _asked(spark, d).select("id", U.answer_task(F.col("text")).alias("task"))
 
 
 @query("q03_scope", f"WITH {_QSQL} SELECT id, CASE WHEN {_TASK} <> 'answer' OR {_like('p', U.GLOBAL_CUES)} THEN 'global' ELSE 'local' END AS scope FROM (SELECT id, ' ' || {_LOW} || ' ' AS p FROM q)")
 def scope(spark, d):
-    return _asked(spark).select("id", U.retrieval_scope(F.col("text")).alias("scope"))
+    return _asked(spark, d).select("id", U.retrieval_scope(F.col("text")).alias("scope"))
 
 
 @query("q04_hints", f"WITH {_QSQL}, k AS ({_TYPE}), t AS (SELECT id, {_TASK} AS task FROM (SELECT id, ' ' || {_LOW} || ' ' AS p FROM q)) SELECT k.id, CASE k.kind " + " ".join(f"WHEN {literal(a)} THEN {literal(b)}" for a, b in U.HINTS.items()) + " END AS hint, CASE t.task " + " ".join(f"WHEN {literal(a)} THEN {literal(b)}" for a, b in U.TASK_INSTRUCTIONS.items()) + " END AS instructions FROM k JOIN t USING (id)")
 def hints(spark, d):
     q = F.col("text")
-    return _asked(spark).select("id", U.lookup(U.query_type(q), U.HINTS).alias("hint"), U.lookup(U.answer_task(q), U.TASK_INSTRUCTIONS).alias("instructions"))
+    return _asked(spark, d).select("id", U.lookup(U.query_type(q), U.HINTS).alias("hint"), U.lookup(U.answer_task(q), U.TASK_INSTRUCTIONS).alias("instructions"))
 
 
 @query("q05_sub_questions", f"WITH {_QSQL}, p AS (SELECT id, text, i, regexp_replace(s, '^[ ,.\\-]+|[ ,.\\-]+$', '', 'g') AS s FROM (SELECT id, text, unnest(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?')) AS s, generate_subscripts(string_split_regex(text, '(?i)\\band\\b|\\bversus\\b|\\bvs\\b|;|\\?'), 1) AS i FROM q)), u AS (SELECT *, row_number() OVER (PARTITION BY id, lower(s) ORDER BY i) AS copy FROM p WHERE length(s) > 3), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM u WHERE copy = 1) SELECT id, coalesce((SELECT list(s ORDER BY n) FROM k WHERE k.id = q.id AND n <= 3), [{_TRIM}]) AS subs FROM q")
 def sub_questions(spark, d):
-    return _asked(spark).select("id", U.sub_questions(F.col("text")).alias("subs"))
+    return _asked(spark, d).select("id", U.sub_questions(F.col("text")).alias("subs"))
 
 
 @query("q06_cache_key", f"WITH {_QSQL} SELECT id, sha256('u1:d' || id || ':3:' || {_LOW}) AS key, sha256('u1:d' || id || ':3:' || {_LOW} || ':offline') AS model_key FROM q")
 def cache_key(spark, d):
     doc, q = F.concat(F.lit("d"), F.col("id")), F.col("text")
-    return _asked(spark).select("id", U.cache_key(F.lit("u1"), doc, F.lit(3), q).alias("key"), U.cache_key(F.lit("u1"), doc, F.lit(3), q, F.lit("offline")).alias("model_key"))
+    return _asked(spark, d).select("id", U.cache_key(F.lit("u1"), doc, F.lit(3), q).alias("key"), U.cache_key(F.lit("u1"), doc, F.lit(3), q, F.lit("offline")).alias("model_key"))

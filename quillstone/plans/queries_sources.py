@@ -8,14 +8,18 @@ from ..operators import index, library, retrieval
 from ..sources import store, uploads
 from ..functions.workspace import new_folder
 from . import base
-from .base import CHUNKS, PAGES, fixture, query, read, values
+from .base import CHUNKS, PAGES, query, read
 
 FILES = [("/u/a.pdf", 10), ("/u/b.DOCX", 20971520), ("/u/c.docx", 20971521), ("/u/d.txt", 5), ("/u/e.pdf", 0), ("/u/noext", 7), ("/u/x.tar.pdf", 3)]
 
 
-@query("s05_upload_validation", f"WITH {values('f', 'path string, length bigint', FILES)}, s AS (SELECT *, CASE WHEN NOT list_contains(['pdf', 'docx'], lower(regexp_extract(path, '\\.([^./]+)$', 1))) THEN 415 WHEN length > 20971520 THEN 413 WHEN length = 0 THEN 422 ELSE 200 END AS status FROM f) SELECT *, status = 200 AS accepted FROM s")
+# pages stand for files that someone uploads under their url
+FILE_ROWS = base.Mixed("f", "path string, length bigint", FILES, "SELECT url, CAST(length(html) AS BIGINT) FROM {pages} UNION ALL SELECT '/u/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DocX' ELSE '.md' END, CAST(length(text) * 7000 AS BIGINT) FROM {documents}")
+
+
+@query("s05_upload_validation", f"WITH {FILE_ROWS.cte}, s AS (SELECT *, CASE WHEN NOT list_contains(['pdf', 'docx'], lower(regexp_extract(path, '\\.([^./]+)$', 1))) THEN 415 WHEN length > 20971520 THEN 413 WHEN length = 0 THEN 422 ELSE 200 END AS status FROM f) SELECT *, status = 200 AS accepted FROM s")
 def upload_validation(spark, d):
-    return uploads.validate(fixture(spark, "path string, length bigint", FILES))
+    return uploads.validate(FILE_ROWS.frame(spark, d))
 
 
 @query("s04_docx_paging", f"WITH {PAGES} SELECT doc_id, page_number, md5(text) AS digest FROM pages")
@@ -33,7 +37,9 @@ def parse_files(spark, d):
     with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
     files = spark.createDataFrame([("/u/a.docx", bytearray(out.getvalue())), ("/u/b.docx", bytearray(b"broken")), ("/u/c.xyz", bytearray(b""))], "path string, content binary")
-    return uploads.parse(files).select("doc_id", "page_number", F.length("text").alias("chars"), F.col("error").isNotNull().alias("failed"))
+    texts = read(spark, d, "documents").select(F.concat(F.lit("/d/"), "doc_id", F.when(F.col("doc_id") % 7 == 0, ".xyz").otherwise(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    forty = lambda data: ["\n".join(lines[i : i + 40]) for lines in [data.decode().split("\n")] for i in range(0, len(lines), 40)]
+    return uploads.parse(files.unionByName(texts), parsers={"txt": forty}).select("doc_id", "page_number", F.length("text").alias("chars"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("s06_relational_scan", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000")
@@ -84,9 +90,12 @@ def fan_out(spark, d):
 DOCS = [("u1", "PGVECTOR ", "ready"), ("u1", None, "ready"), ("u1", "weird", "ready"), ("u2", "pinecone", "failed"), ("u2", "pinecone", "ready"), ("u3", "chroma", "parsing")]
 
 
-@query("s12_backend_routing", f"WITH {values('x', 'user_id string, vector_backend string, status string', DOCS)} SELECT DISTINCT user_id, CASE WHEN lower(trim(vector_backend)) IN ('chroma', 'pgvector', 'pinecone') THEN lower(trim(vector_backend)) ELSE 'chroma' END AS backend FROM x WHERE status = 'ready'")
+DOC_ROWS = base.Mixed("x", "user_id string, vector_backend string, status string", DOCS, "SELECT 'd' || coalesce(source, ''), CASE doc_id % 4 WHEN 0 THEN 'pinecone' WHEN 1 THEN ' PgVector' WHEN 2 THEN 'other' END, CASE WHEN doc_id % 3 = 0 THEN 'parsing' ELSE 'ready' END FROM {documents}")
+
+
+@query("s12_backend_routing", f"WITH {DOC_ROWS.cte} SELECT DISTINCT user_id, CASE WHEN lower(trim(vector_backend)) IN ('chroma', 'pgvector', 'pinecone') THEN lower(trim(vector_backend)) ELSE 'chroma' END AS backend FROM x WHERE status = 'ready'")
 def backend_routing(spark, d):
-    return store.backends_of(fixture(spark, "user_id string, vector_backend string, status string", DOCS))
+    return store.backends_of(DOC_ROWS.frame(spark, d))
 
 
 @query("s13_distance", "SELECT event_id, 1 - value AS distance FROM events")
