@@ -53,7 +53,17 @@ def token_estimate(spark, d):
     return base.read(spark, d, "documents").select("doc_id", context.estimate(F.col("text")).alias("tokens"))
 
 
-@query("g03_token_budget")
+# the sources' lengths, cut from the last to the second until the estimate fits: what is cut keeps its ends and gets a mark between them
+_BUDGET = f""",
+ lens AS (SELECT r.query_id, list(length(c.text) ORDER BY r.rank) AS l FROM ranked r JOIN chunks c USING (chunk_id) GROUP BY 1),
+ walk AS (SELECT query_id, l, len(l) AS i FROM lens
+  UNION ALL
+  SELECT query_id, CASE WHEN over > 0 AND greatest({context.FLOOR}, l[i] - over * 4) < l[i] THEN list_concat(l[1:i - 1], [greatest({context.FLOOR}, l[i] - over * 4) + {len(context.CUT)}], l[i + 1:]) ELSE l END, i - 1
+  FROM (SELECT *, list_sum(list_transform(l, lambda n: n // 4)) - 600 AS over FROM walk WHERE i > 1))
+ SELECT query_id, len(l) AS n, CAST(list_sum(list_transform(l, lambda n: n // 4)) AS BIGINT) AS tokens FROM walk WHERE i = 1"""
+
+
+@query("g03_token_budget", SEARCH.replace("WITH", "WITH RECURSIVE", 1) + RERANKED + _BUDGET)
 def token_budget(spark, d):
     lists = ranked(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("texts"))
     return context.budgeted(lists, 600).select("query_id", F.explode("texts").alias("t")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum(context.estimate(F.col("t"))).alias("tokens"))

@@ -212,7 +212,7 @@ def query_vectors(spark, d):
     return embedding.sparse_vectors(base.questions(spark, d), "query_id")
 
 
-@query("e02_model_embedding")
+@query("e02_model_embedding", "SELECT item_id AS query_id, [CAST(length(text) AS FLOAT), CAST(1 AS FLOAT)] AS embedding FROM benchmark")
 def model_embedding(spark, d):
     rows = base.questions(spark, d)
     return embedding.embed_with(rows, "query_id", lambda texts: [[float(len(t)), 1.0] for t in texts])

@@ -94,7 +94,7 @@ def hybrid_search(spark, d):
     return _search(spark, d).select("query_id", "place", "chunk_id", "doc_id", "chunk_index", "dense_rank", "bm25_rank", F.round("fused_score", 9).alias("fused_score"))
 
 
-@query("r08_rerank_model")
+@query("r08_rerank_model", SEARCH + " SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, place) AS rank FROM (SELECT h.query_id, h.chunk_id, h.place, CAST(-abs(length(q.text) - length(c.text)) AS DOUBLE) AS reranker_score FROM hybrid h JOIN chunks c USING (chunk_id) JOIN questions q ON q.query_id = h.query_id) QUALIFY rank <= 5")
 def rerank_model(spark, d):
     q = base.questions(spark, d)
     return retrieval.rerank_with(_search(spark, d), q, lambda pairs: [-abs(len(a) - len(b)) for a, b in pairs], 5)
