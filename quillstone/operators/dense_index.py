@@ -174,6 +174,24 @@ class DenseIndex:
         return dealt(held).cogroup(dealt(wanted)).applyInArrow(_scored(n, to_arrow_type(kind), above, dim), f"query_id {kind.simpleString()}, chunk_id string, score double")
 
 
+def exact_top(queries: DataFrame, rows: DataFrame, n: int = 50, above: float | None = 0.0) -> DataFrame:
+    """What an exact search gives, without an index: every block of rows (chunk_id, vector) meets every group of queries (query_id, vector) in a task of
+    its own, and passes on the best."""
+    ship(rows.sparkSession)
+    held, asked = DenseIndex._usable(rows, "chunk_id"), DenseIndex._usable(queries, "query_id")
+    first = held.first()
+    blocks, groups = (max(1, -(-x.count() // size)) for x, size in ((held, BLOCK), (asked, QUERIES)))
+    spread = lambda n_: F.explode(F.sequence(F.lit(0), F.lit(n_ - 1)))
+    left = held.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), spread(groups).alias("group"), F.col("id").cast("string").alias("row_id"), F.col("vector").alias("row"))
+    packed = left.groupBy("block", "group").agg(F.collect_list("row_id").alias("ids"), F.flatten(F.collect_list("row")).alias("vectors"))
+    right = asked.select(spread(blocks).alias("q_block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("q_group"), F.col("id").alias("query_id"), "vector")
+    kind = queries.schema["query_id"].dataType
+    run = _scored(n, to_arrow_type(kind), above, len(first["vector"]) if first else 1)
+    dealt = lambda x, *keys: x.repartition(shuffle_partitions(rows.sparkSession), *keys).groupBy(*keys)
+    scored = dealt(packed, "block", "group").cogroup(dealt(right, "q_block", "q_group")).applyInArrow(run, f"query_id {kind.simpleString()}, chunk_id string, score double")
+    return scored.withColumn("dense_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).filter(F.col("dense_rank") <= n)
+
+
 def build(rows: DataFrame, **options) -> DenseIndex:
     """An index of rows (chunk_id, vector), in a folder of its own under the shared one."""
     return DenseIndex(rows.sparkSession, new_folder(rows.sparkSession, "dense")).build(rows, **options)

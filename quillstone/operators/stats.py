@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from . import embedding
+from .dense_index import matrix
 
 HEALTHY, BOUNDS = 50, [0, 200, 400, 600, 800]
 
@@ -62,13 +66,47 @@ def embedding_stats(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(key, F.size(v).alias("dim"), F.round(embedding.norm(v), 4).alias("l2_norm"), F.slice(v, 1, 8).alias("preview"))
 
 
-def neighbours(vectors: DataFrame, group: str, key: str, k: int = 3) -> DataFrame:
-    """(key, neighbour, similarity, rank): the k nearest others of the same group (a document's chunks) by cosine."""
-    a = vectors.select(group, F.col(key).alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select(group, F.col(key).alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, group).filter("a <> b").select("a", "b", F.round(embedding.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))
-    return pairs.withColumn("rank", place).filter(F.col("rank") <= k).select(F.col("a").alias(key), F.col("b").alias("neighbour"), "similarity", "rank")
+def _nearest_others(k: int, dim: int, names: list[str]):
+    """For two blocks of a group: the k rows of the second that are nearest to each row of the first, and what ties with the last of them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, others = left["key"].combine_chunks(), right["r_key"].combine_chunks()
+        x, y = matrix(left["embedding"].combine_chunks(), dim), matrix(right["r_embedding"].combine_chunks(), dim)
+        norms = np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1))
+        score = np.where(norms > 0, np.floor(np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0) * 1e6 + 0.5) / 1e6, 0.0)
+        if not len(left) or not len(right):
+            return pa.table([ids[:0], others[:0], pa.array([], pa.float64())], names)
+        if left["a"][0].as_py() == left["b"][0].as_py():  # a block and itself
+            place = pc.index_in(others, ids).to_numpy(zero_copy_only=False).astype(int)
+            score[place, np.arange(len(others))] = -np.inf
+        if len(others) > k:
+            score[score < -np.partition(-score, k - 1, 1)[:, k - 1 : k]] = -np.inf
+        i, j = np.nonzero(score > -np.inf)
+        return pa.table([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(score[i, j])], names)
+
+    return run
+
+
+def neighbours(vectors: DataFrame, group: str, key: str, k: int = 3, block: int = 1_024) -> DataFrame:
+    """(key, neighbour, similarity, rank): the k nearest others of the same group (a document's chunks) by cosine, rounded to 6 places. A key names one
+    vector of one group; rows without a group or a vector take no part.
+
+    A group's rows go in blocks of about `block`; every two blocks meet in a task of their own as two matrices and pass on the nearest only, so a group
+    of any size is many tasks.
+    """
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("embedding")).filter("g is not null and key is not null and embedding is not null")
+    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.select("g", F.col("own").alias("a"), F.col("other").alias("b"), "key", "embedding")
+    right = dealt.select(*[F.col(c).alias(f"r_{n}") for n, c in (("g", "g"), ("a", "other"), ("b", "own"), ("key", "key"), ("embedding", "embedding"))])
+    first = rows.first()
+    kind = vectors.schema[key].dataType.simpleString()
+    meet = left.groupBy("g", "a", "b").cogroup(right.groupBy("r_g", "r_a", "r_b"))
+    names = [key, "neighbour", "similarity"]
+    met = meet.applyInArrow(_nearest_others(k, len(first["embedding"]) if first else 1, names), f"`{key}` {kind}, neighbour {kind}, similarity double")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "neighbour"))
+    return met.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def project_2d(vectors: DataFrame, group: str, key: str) -> DataFrame:

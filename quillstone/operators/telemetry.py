@@ -25,16 +25,28 @@ def rounded(c: Column, digits: int) -> Column:
     return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], buckets: int = 64) -> DataFrame:
     """One column p<percent> for each: the k-th smallest value, k = percent / 100 * n + 0.5 rounded half to even, from 1 to n.
 
-    Values are counted first, so what is sorted is distinct values with running counts, however often one repeats.
+    Values are counted first, so one that repeats is one row. Approximate quantiles, which tasks merge, cut a group's values into `buckets` ranges;
+    the ranges' counts say in which of them each rank lies, and only those ranges are sorted, each in a task of its own. So no task sees a whole
+    group, and the result is exact however good the quantiles are.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    own = Window.partitionBy(*keys)
-    placed = counted.withColumn("upto", F.sum("c").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(own))
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    counted = known.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    cuts = known.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("cuts"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys]
+    dealt = counted.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.*", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("range"))
+    sums = dealt.groupBy(*keys, "range").agg(F.sum("c").alias("here"))
+    own = Window.partitionBy(*keys)  # one row a range
+    sums = sums.withColumn("before", F.sum("here").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("here")).withColumn("n", F.sum("here").over(own))
     k = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p / 100) * F.col("n") + 0.5, 0).cast("long")))
-    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= k(p), F.col("v"))).alias(f"p{p}") for p in percents])
+    ranks = F.filter(F.array(*[F.struct(F.lit(p).alias("p"), k(p).alias("k")) for p in percents]), lambda r: (r["k"] > F.col("before")) & (r["k"] <= F.col("before") + F.col("here")))
+    wanted = sums.withColumn("ranks", ranks).filter(F.size("ranks") > 0).select(*keys, "range", "before", "ranks")
+    met = dealt.alias("a").join(wanted.alias("b"), [*same("a", "b"), F.col("a.range") == F.col("b.range")]).select("a.*", "before", "ranks")
+    upto = F.sum("c").over(Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+    placed = met.withColumn("upto", upto).select(*keys, "v", "upto", F.explode("ranks").alias("r")).filter(F.col("upto") >= F.col("r.k"))
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("r.p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def stage_latency(steps: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, library, retrieval
-from ..sources import store, uploads
 from ..functions.workspace import new_folder
+from ..operators import dense_index, index, library
+from ..sources import backends, store, uploads
 from . import base
 from .base import CHUNKS, PAGES, query, read
 
@@ -76,15 +76,20 @@ _COS = "round(1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embeddi
 
 @query("s11_fan_out", f"WITH b AS (SELECT vec_id, embedding, ['chroma', 'pgvector', 'pinecone'][vec_id % 3 + 1] AS backend FROM embeddings), p AS (SELECT q.vec_id AS query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, e.backend, {_COS} AS distance FROM b q JOIN b e ON q.vec_id % 50 = 0 AND e.backend <> 'pinecone'), l AS (SELECT *, row_number() OVER (PARTITION BY query_id, backend ORDER BY distance, chunk_id) AS n FROM p QUALIFY n <= 10) SELECT query_id, chunk_id, backend, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id, backend) AS place FROM l QUALIFY place <= 10")
 def fan_out(spark, d):
-    from ..operators import embedding
-
+    """Each backend searches its own rows; the third one can't be reached."""
     rows = read(spark, d, "embeddings").withColumn("backend", F.get(F.array(*map(F.lit, store.BACKENDS)), (F.col("vec_id") % 3).cast("int")))
-    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    parts = []
-    for name in store.BACKENDS[:2]:  # the third one can't be reached
-        own = rows.filter(F.col("backend") == name).join(asked, F.lit(True)).select("query_id", F.col("vec_id").cast("string").alias("chunk_id"), "backend", (F.round(store.distance(embedding.cosine(F.col("q"), F.col("embedding"))), 6) + F.lit(0.0)).alias("distance"))
-        parts.append(retrieval.top_by(own, "query_id", [F.col("distance"), F.col("chunk_id")], 10, "n").drop("n"))
-    return retrieval.merge_backends(parts, 10)
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+    def search(name):
+        own = rows.filter(F.col("backend") == name).select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
+        found = dense_index.exact_top(asked, own, 10, above=None)
+        return found.select("query_id", "chunk_id", (F.round(store.distance(F.col("score")), 6) + F.lit(0.0)).alias("distance"))
+
+    def unreachable(queries):
+        raise ConnectionError("no such host")
+
+    own = {name: lambda queries, name=name: search(name) for name in store.BACKENDS[:2]}
+    return backends.fan_out(asked, own | {store.BACKENDS[2]: unreachable}, 10)[0]
 
 
 DOCS = [("u1", "PGVECTOR ", "ready"), ("u1", None, "ready"), ("u1", "weird", "ready"), ("u2", "pinecone", "failed"), ("u2", "pinecone", "ready"), ("u3", "chroma", "parsing")]

@@ -332,6 +332,8 @@ def test_dense_index_recall_and_exact_search(spark, rows, dims):
         for r in index.search(frame(q, "query_id"), 10, probes=10, exact=exact, above=None).collect():
             got.setdefault((exact, r.query_id), []).append((r.dense_rank, -r.score, r.chunk_id))
     assert all([(s, i) for _, s, i in sorted(got[True, k])] == want[k] for k in range(len(q)))
+    plain = dense_index.exact_top(frame(q, "query_id"), frame(x, "chunk_id").unionByName(odd), 10, above=None).collect()
+    assert sorted((r.query_id, r.dense_rank, -r.score, r.chunk_id) for r in plain) == sorted((k, *x_) for (e, k), rows_ in got.items() if e for x_ in rows_)
     recall = np.mean([len({i for _, _, i in got[False, k]} & {i for _, i in want[k]}) / 10 for k in range(len(q))])
     assert recall >= 0.9
     assert dense_index.build(odd).search(frame(q, "query_id"), 3).count() == 0 and index.search(odd.withColumnRenamed("chunk_id", "query_id"), 3).count() == 0
