@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import boundaries
 
 SEPARATOR = "\n\n"
 #: Defaults of the strategies; the guard's windows hold 254 and step 222 tokens of four characters.
@@ -96,8 +97,10 @@ def _packed(rule):
     return run
 
 
-def sentence_spans(docs: DataFrame, most: int = 800, overlap: int = 2) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_packed(lambda t: pack(sentence_offsets(t), most, overlap)), SPANS + ", text string")
+def sentence_spans(docs: DataFrame, most: int = 800, overlap: int = 2, model: boundaries.Model | None = None) -> DataFrame:
+    """Runs of sentences; with a model, of sentences as `boundaries` has learned them."""
+    cut = sentence_offsets if model is None else (lambda t: boundaries.sentence_offsets(t, model))
+    return docs.select("doc_id", "text").mapInPandas(_packed(lambda t: pack(cut(t), most, overlap)), SPANS + ", text string")
 
 
 def paragraph_spans(docs: DataFrame, most: int = 1000, overlap: int = 1) -> DataFrame:

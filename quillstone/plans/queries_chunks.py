@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, embedding, stats
+from ..operators import boundaries, chunking, embedding, stats
 from . import base
 from .base import query, read
 
@@ -68,6 +68,14 @@ def sentences(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
+@query("k03_learned_sentences")
+def learned_sentences(spark, d):
+    """Sentences of all documents by boundaries learned from them."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = boundaries.sentences(docs, boundaries.learn(docs))
+    return found.select("doc_id", "sentence_no", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
 _PACK = r"""WITH RECURSIVE cut AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) AS parts FROM documents),
  pieces AS (SELECT doc_id, i, CASE WHEN i = 1 THEN p ELSE split_part(p, chr(2), 2) END AS s, CASE WHEN i = 1 THEN 0 ELSE length(split_part(p, chr(2), 1)) END AS gap
             FROM (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM cut)),
