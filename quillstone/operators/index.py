@@ -14,12 +14,6 @@ def postings(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
     return rows.select("scope", "chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("scope", "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def scope_stats(posted: DataFrame, chunks: DataFrame, scope: Column | None = None) -> DataFrame:
-    """(scope, n, avgdl): chunks without a word count too."""
-    rows = chunks.select((F.lit("all") if scope is None else scope.cast("string")).alias("scope"), F.size(T.words(F.col("text"))).alias("dl"))
-    return rows.groupBy("scope").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-
-
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
     """(chunk_id, action): delete what is gone, upsert what is new or has another content_hash, leave the rest. Nulls count as different."""
     o, n = old.select("chunk_id", F.col("content_hash").alias("old_hash")), new.select(F.col("chunk_id").alias("new_id"), F.col("content_hash").alias("new_hash"))

@@ -12,7 +12,7 @@ from ..functions.workspace import written
 from ..operators import agent, context, evaluate, lexical_index, retrieval, verify
 from ..streaming import cache
 from . import base
-from .base import CHUNKS, QUESTIONS, RERANKED, SEARCH, content_sql, fixture, literal, query, sentences_sql, values
+from .base import CHUNKS, RERANKED, SEARCH, content_sql, fixture, literal, query, sentences_sql, values
 
 
 def ranked(spark, d, k: int = 8):

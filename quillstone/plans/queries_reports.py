@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import agent, evaluate, retrieval, verify
 from ..operators import telemetry as M
 from . import base
-from .base import CHUNKS, RERANKED, SEARCH, content_sql, fixture, literal, query, values
+from .base import CHUNKS, RERANKED, SEARCH, content_sql, literal, query, values
 from .queries_answer import _EXTRACT, _MULTI, _multi, ranked
 
 

@@ -337,3 +337,12 @@ def test_dense_index_recall_and_exact_search(spark, rows, dims):
     recall = np.mean([len({i for _, _, i in got[False, k]} & {i for _, i in want[k]}) / 10 for k in range(len(q))])
     assert recall >= 0.9
     assert dense_index.build(odd).search(frame(q, "query_id"), 3).count() == 0 and index.search(odd.withColumnRenamed("chunk_id", "query_id"), 3).count() == 0
+
+
+def test_tables_between_steps_are_cleared(spark):
+    from quillstone.functions import workspace
+
+    kept = workspace.written(spark.range(3), "three")
+    assert kept.count() == 3 and f"/{spark.sparkContext.applicationId}/three-" in kept.inputFiles()[0]
+    workspace.clear(spark)
+    assert Log(spark, workspace.shared_root(spark)).names(f"{workspace.shared_root(spark)}/quillstone/{spark.sparkContext.applicationId}") == []
