@@ -28,12 +28,12 @@ def clamp_k(k: Column, default: int = 8) -> Column:
     return F.greatest(F.lit(1), F.least(F.coalesce(k, F.lit(default)), F.lit(TOP_K_CAP)))
 
 
-def offline_plan(queries: DataFrame, most: int = 3) -> DataFrame:
-    """(query_id, step, text): one retrieval step for each sub-question; no loop is needed, as the plan doesn't depend on what is found."""
+def offline_plan(queries: DataFrame, most: int | None = 3) -> DataFrame:
+    """(query_id, step, text): of the first `most` sub-questions (None: all), one retrieval step each; no loop is needed, as the plan doesn't depend on what is found."""
     return queries.select("query_id", F.posexplode(understanding.sub_questions(F.col("text"), most)).alias("p", "text")).select("query_id", (F.col("p") + 1).alias("step"), "text")
 
 
-def run_offline(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
+def run_offline(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], most: int | None = 3) -> DataFrame:
     """Chunks gathered for each query by its plan; retrieve maps (query_id, text) to (query_id, chunk_id, rank)."""
     steps = offline_plan(queries, most).withColumn("step_id", F.concat_ws("#", "query_id", "step"))
     hits = retrieve(steps.select(F.col("step_id").alias("query_id"), "text"))

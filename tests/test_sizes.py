@@ -17,3 +17,15 @@ def test_mmr_of_a_last_short_list(spark, tmp_path, rows):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     found = [tuple(r) for r in entry.queries()["r10_mmr"](spark, str(tmp_path)).select("query_id", "rank", "chunk_id").collect()]
     assert sorted(found, key=repr) == sorted(con.sql(entry.oracle_sql()["r10_mmr"]).fetchall(), key=repr)
+
+
+def test_offline_agent_searches_every_sub_question(spark, tmp_path):
+    text = "red pump and blue valve and green filter and black motor; white tank"
+    pq.write_table(pa.table({"item_id": pa.array([7], pa.int64()), "text": [text]}), tmp_path / "benchmark.parquet")
+    docs = ["red pump here", "blue valve here", "green filter here", "black motor here", "white tank here", "nothing"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(6), pa.int64()), "text": docs}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    found = entry.queries()["l06_offline_agent"](spark, str(tmp_path)).select("query_id", "step", "chunk_id", "rank", "seen").collect()
+    assert sorted(map(tuple, found)) == sorted(con.sql(entry.oracle_sql()["l06_offline_agent"]).fetchall()) and {r.step for r in found} == {1, 2, 3, 4, 5}
