@@ -8,11 +8,13 @@ A search scores the blocks of each query's `probes` nearest cells. That is all i
 query's n-th best score so far is a floor, and all other blocks are scored whose rows can reach it: a row's angle to the query is at least the angle
 between query and centroid less the block's radius. Scores are taken from the stored vectors in double precision, in either case.
 
-Blocks and queries meet in groups of one block and one group of queries, at most BLOCK and QUERIES rows.
+Queries go in groups of about QUERIES, each of which travels with the code; blocks of at most BLOCK rows meet it where they are read, so nothing but
+results is shuffled. The driver holds one group and its nearness to the cells.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +29,9 @@ from ..functions.workspace import new_folder, shuffle_partitions, written
 from ..sources.log import Log
 
 SAMPLE, BLOCK, QUERIES, SALTS, ROUNDS = 20_000, 1_024, 1_024, 16, 10
-CELLS = "cell int, block string, n int, radius double, ids array<string>, vectors array<float>"
+CELLS = "cell int, block string, n int, radius double, ids array<string>, vectors binary"
+#: Bytes of vectors in a file: a reader may hold all rows of one at a time.
+FILE_BYTES = 32_000_000
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -56,25 +60,23 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 11, rounds: int = ROUN
     return centres
 
 
-def _nearest(centres: np.ndarray, top: int, dim: int):
-    """(id, vector) to (id, cell, cosine, vector) for the `top` nearest cells of each row."""
+def _nearest(centres: np.ndarray, dim: int):
+    """(id, vector) to (id, cell, cosine, vector) for the nearest cell of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 near = units(matrix(batch.column(1), dim)) @ centres.T
-                cells = np.argsort(-near, axis=1, kind="stable")[:, :top]
-                rows = np.repeat(np.arange(batch.num_rows), cells.shape[1])
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(cells.ravel().astype(np.int32)), pa.array(near[rows, cells.ravel()]), batch.column(1).take(take)], ["id", "cell", "cosine", "vector"])
+                cells = near.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells.astype(np.int32)), pa.array(near[np.arange(len(near)), cells]), batch.column(1)], ["id", "cell", "cosine", "vector"])
 
     return run
 
 
 def _blocks(size: int):
     """Rows sorted by cell to blocks of one cell. Rows of a partition's cell may be several blocks."""
-    schema = pa.schema([("cell", pa.int32()), ("block", pa.string()), ("n", pa.int32()), ("radius", pa.float64()), ("ids", pa.list_(pa.string())), ("vectors", pa.list_(pa.float32()))])
+    schema = pa.schema([("cell", pa.int32()), ("block", pa.string()), ("n", pa.int32()), ("radius", pa.float64()), ("ids", pa.list_(pa.string())), ("vectors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,12 +85,38 @@ def _blocks(size: int):
                 for at in range(0, len(run_), size):
                     rows = batch.slice(int(run_[at]), len(run_[at : at + size]))
                     angle = np.arccos(np.clip(rows.column("cosine").to_numpy(), -1, 1)).max()
-                    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (rows.column("id").cast(pa.string()), rows.column("vector").flatten().cast(pa.float32()))]
+                    ids = rows.column("id").cast(pa.string())
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([rows.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays([pa.array([cells[run_[at]]], pa.int32()), pa.array([uuid.uuid4().hex]), pa.array([rows.num_rows], pa.int32()), pa.array([float(angle)]), *lists], schema=schema)
 
     return run
 
 
+def _best(q: np.ndarray, x: np.ndarray, n: int, above: float | None):
+    """Places and scores of each query's n best rows and what ties with the last of them."""
+    norms = np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1))
+    score = np.floor((q @ x.T) / np.maximum(norms, 1e-300) * 1e9 + 0.5) / 1e9
+    if len(x) > n:
+        score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = -np.inf
+    a, b = np.nonzero(score > (-np.inf if above is None else above))
+    return a, b, score[a, b]
+
+
+def _visited(ids: pa.Array, q: np.ndarray, n: int, above: float | None, wants):
+    """For each block: the best of it for those queries that want it, by wants(cell, radius)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asks = np.flatnonzero(wants(batch.column("cell")[i].as_py(), batch.column("radius")[i].as_py()))
+                if len(asks):
+                    x = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f4").astype(float).reshape(-1, q.shape[1])
+                    a, b, score = _best(q[asks], x, n, above)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(asks[a])), batch.column("ids")[i].values.take(pa.array(b)), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def _scored(n: int, kind: pa.DataType, above: float | None, dim: int):
     """For one block and one group of queries: each query's n best rows and what ties with the last of them."""
 
@@ -96,13 +124,8 @@ def _scored(n: int, kind: pa.DataType, above: float | None, dim: int):
         if not len(left) or not len(right):
             return pa.table([pa.array([], kind), pa.array([], pa.string()), pa.array([], pa.float64())], ["query_id", "chunk_id", "score"])
         ids, x = left["ids"][0].values, left["vectors"][0].values.to_numpy().astype(float).reshape(-1, dim)
-        q = matrix(right["vector"].combine_chunks(), dim)
-        norms = np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1))
-        score = np.floor((q @ x.T) / np.maximum(norms, 1e-300) * 1e9 + 0.5) / 1e9
-        if len(ids) > n:
-            score[score < -np.partition(-score, n - 1, 1)[:, n - 1 : n]] = -np.inf
-        a, b = np.nonzero(score > (-np.inf if above is None else above))
-        return pa.table([right["query_id"].combine_chunks().take(pa.array(a)).cast(kind), ids.take(pa.array(b)), pa.array(score[a, b])], ["query_id", "chunk_id", "score"])
+        a, b, score = _best(matrix(right["vector"].combine_chunks(), dim), x, n, above)
+        return pa.table([right["query_id"].combine_chunks().take(pa.array(a)).cast(kind), ids.take(pa.array(b)), pa.array(score)], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -132,9 +155,9 @@ class DenseIndex:
         centres = fit_cells(matrix(drawn["vector"].combine_chunks(), dim), cells or min(1024, int(n**0.5) + 1), seed) if len(drawn) else np.zeros((0, dim))
         name = f"cells/{uuid.uuid4().hex}"
         if len(centres):
-            placed = rows.mapInArrow(_nearest(centres, 1, dim), "id string, cell int, cosine double, vector array<float>")
+            placed = rows.mapInArrow(_nearest(centres, dim), "id string, cell int, cosine double, vector array<float>")
             dealt = placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("cell", "id")
-            dealt.mapInArrow(_blocks(self.block), CELLS).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+            dealt.mapInArrow(_blocks(self.block), CELLS).write.option("compression", "zstd").option("maxRecordsPerFile", max(1, FILE_BYTES // (4 * dim * self.block))).parquet(f"{self.path}/{name}")
         version, _ = self.log.latest()
         self.log.commit(version + 1, {"cells": name if len(centres) else None, "dim": dim, "centres": centres.round(12).tolist()})
         return self
@@ -148,30 +171,30 @@ class DenseIndex:
         centres, dim = np.array(entry["centres"]), entry["dim"]
         blocks = self.spark.read.schema(CELLS).parquet(f"{self.path}/{entry['cells']}")
         asked = written(self._usable(queries, "query_id"), "asked")
-        near = asked.mapInArrow(_nearest(centres, len(centres) if exact else max(1, probes), dim), f"id {kind}, cell int, cosine double, vector array<float>").select("id", "cell", "cosine")
-        near = near.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "cell")))
-        pairs = written(near.join(blocks.select("cell", "block", "radius"), "cell"), "pairs")
         groups = max(1, -(-asked.count() // QUERIES))
-        scored = self._score(pairs.filter(F.col("nth") <= probes), asked, blocks, groups, n, above, dim)
-        if exact:
-            scored = written(scored, "first")
-            floor = scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("k") == n).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-            # a row of the block is no nearer to the query than this; 1e-6 covers the rounding of angles and scores
-            angle = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) - F.col("radius")
-            most = F.cos(F.greatest(angle, F.lit(0.0))) + 1e-6
-            open_ = F.col("floor").isNull() | (most >= F.col("floor"))
-            more = pairs.filter(F.col("nth") > probes).join(floor, "id", "left").filter(open_)
-            scored = scored.unionByName(self._score(more, asked, blocks, groups, n, above, dim))
+        # a group of queries travels with the code, as in retrieval.dense_top; blocks are read where they lie
+        parts = [self._group(asked.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == g), centres, blocks, n, probes, exact, above, kind) for g in range(groups)]
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-        return scored.withColumn("dense_rank", F.row_number().over(best)).filter(F.col("dense_rank") <= n)
-
-    def _score(self, pairs: DataFrame, asked: DataFrame, blocks: DataFrame, groups: int, n: int, above: float | None, dim: int) -> DataFrame:
-        group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group")
-        wanted = pairs.select("id", "block").join(asked, "id").select("block", group, F.col("id").alias("query_id"), "vector")
-        held = blocks.join(pairs.select("block", group).distinct(), "block").select("block", "group", "ids", "vectors")
-        kind = asked.schema["id"].dataType
-        dealt = lambda rows: rows.repartition(shuffle_partitions(self.spark), "block", "group").groupBy("block", "group")
-        return dealt(held).cogroup(dealt(wanted)).applyInArrow(_scored(n, to_arrow_type(kind), above, dim), f"query_id {kind.simpleString()}, chunk_id string, score double")
+        return functools.reduce(DataFrame.unionByName, parts).withColumn("dense_rank", F.row_number().over(best)).filter(F.col("dense_rank") <= n)
+
+    def _group(self, asked: DataFrame, centres: np.ndarray, blocks: DataFrame, n: int, probes: int, exact: bool, above: float | None, kind: str) -> DataFrame:
+        rows = asked.toArrow()
+        ids, q = rows["id"].combine_chunks(), matrix(rows["vector"].combine_chunks(), centres.shape[1])
+        near = units(q) @ centres.T
+        probed = np.zeros(near.shape, bool)
+        np.put_along_axis(probed, np.argsort(-near, axis=1, kind="stable")[:, : max(1, probes)], True, 1)
+        scored = lambda wants: blocks.mapInArrow(_visited(ids, q, n, above, wants), f"query_id {kind}, chunk_id string, score double")
+        first = scored(lambda cell, _: probed[:, cell])
+        if not exact:
+            return first
+        first = written(first, "first")
+        nth = first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("k") == n)
+        known = {r["query_id"]: r["score"] for r in nth.select("query_id", "score").collect()}
+        floor = np.array([known.get(i, -np.inf) for i in ids.to_pylist()])
+        angle = np.arccos(np.clip(near, -1, 1))
+        # a row of the block is no nearer to the query than this; 1e-6 covers the rounding of angles and scores
+        more = lambda cell, radius: ~probed[:, cell] & (np.cos(np.maximum(angle[:, cell] - radius, 0)) + 1e-6 >= floor)
+        return first.unionByName(scored(more))
 
 
 def exact_top(queries: DataFrame, rows: DataFrame, n: int = 50, above: float | None = 0.0) -> DataFrame:

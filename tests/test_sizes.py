@@ -5,8 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillstone.operators import dense_index
 
 
 @pytest.mark.parametrize("rows", [25 + 8, 25 + 5, 25 + 3])
@@ -29,3 +31,14 @@ def test_offline_agent_searches_every_sub_question(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     found = entry.queries()["l06_offline_agent"](spark, str(tmp_path)).select("query_id", "step", "chunk_id", "rank", "seen").collect()
     assert sorted(map(tuple, found)) == sorted(con.sql(entry.oracle_sql()["l06_offline_agent"]).fetchall()) and {r.step for r in found} == {1, 2, 3, 4, 5}
+
+
+def test_dense_search_carries_no_vectors_between_tasks(spark):
+    """Neither a vector for each pair of query and block is shuffled, nor may one file hold many blocks."""
+    rng = np.random.default_rng(3)
+    frame = lambda n, key: spark.createDataFrame([(f"v{i}", v) for i, v in enumerate(rng.integers(0, 4, (n, 512)).astype(float).tolist())], f"{key} string, vector array<float>")
+    index = dense_index.build(frame(600, "chunk_id"), cells=20)
+    found = index.search(frame(30, "query_id"), 5, exact=True)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    files = spark.read.parquet(f"{index.path}/cells/*").withColumn("file", F.input_file_name()).groupBy("file").count()
+    assert found.count() == 150 and files.agg(F.max("count")).first()[0] <= dense_index.FILE_BYTES // (4 * 512 * dense_index.BLOCK)
