@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.runs import whole_keys
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scope, chunk_id, dl, w) in the order of the first three to one row for them, with its distinct words."""
+    for batch, key in whole_keys(batches, ["scope", "chunk_id", "dl"]):
+        lists = batch.column("w")
+        at = lists.offsets.to_numpy()
+        words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        n, size = int(key[-1]) + 1, max(len(words.dictionary), 1)
+        keys, tf = np.unique(np.repeat(key, np.diff(at)) * size + words.indices.to_numpy().astype(np.int64), return_counts=True)
+        row, term = np.divmod(keys, size)
+        bounds = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+        first = batch.take(pa.array(np.searchsorted(key, np.arange(n))))
+        lists = [pa.ListArray.from_arrays(bounds, x) for x in (words.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays([*[first.column(c) for c in ("scope", "chunk_id", "dl")], *lists], ["scope", "chunk_id", "dl", "terms", "tfs"])
+
+
+def word_lists(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
+    """(scope, chunk_id, dl, terms, tfs): the postings of a chunk as one row. The texts are shuffled by chunk_id, not their words."""
+    rows = chunks.select((F.lit("all") if scope is None else scope.cast("string")).alias("scope"), "chunk_id", F.coalesce("text", F.lit("")).alias("text")).repartition("chunk_id")
+    rows = rows.select("scope", "chunk_id", T.words(F.col("text")).alias("w")).select("scope", "chunk_id", F.size("w").alias("dl"), "w").sortWithinPartitions("scope", "chunk_id", "dl")
+    return rows.mapInArrow(_counted, f"scope string, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<bigint>")
 
 
 def postings(chunks: DataFrame, scope: Column | None = None) -> DataFrame:
     """(scope, chunk_id, term, tf, dl). Scope keys the statistics: one user, one document, or all."""
-    rows = chunks.select((F.lit("all") if scope is None else scope.cast("string")).alias("scope"), "chunk_id", T.words(F.col("text")).alias("w"))
-    return rows.select("scope", "chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("scope", "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return word_lists(chunks, scope).select("scope", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("scope", "chunk_id", F.col("x.terms").alias("term"), "dl", F.col("x.tfs").alias("tf"))
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:

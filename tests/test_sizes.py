@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillstone.operators import dense_index
+from quillstone.operators import dense_index, embedding, index
 
 
 @pytest.mark.parametrize("rows", [25 + 8, 25 + 5, 25 + 3])
@@ -42,3 +42,13 @@ def test_dense_search_carries_no_vectors_between_tasks(spark):
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
     files = spark.read.parquet(f"{index.path}/cells/*").withColumn("file", F.input_file_name()).groupBy("file").count()
     assert found.count() == 150 and files.agg(F.max("count")).first()[0] <= dense_index.FILE_BYTES // (4 * 512 * dense_index.BLOCK)
+
+
+def test_words_are_not_shuffled(spark):
+    """Postings and hashed vectors shuffle texts, once; rows of one key are counted together."""
+    rows = spark.createDataFrame([("a", "x y x"), ("a", "y z z"), ("b", ""), ("c", None), (None, "x")], "chunk_id string, text string").coalesce(1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    listed, vectors = index.postings(rows), embedding.sparse_vectors(rows, "chunk_id")
+    assert plan(listed).count("Exchange") == 1 and plan(vectors).count("Exchange") == 1
+    assert sorted(((r.chunk_id or "", r.term, r.tf, r.dl) for r in listed.collect())) == [("", "x", 1, 1), ("a", "x", 2, 3), ("a", "y", 2, 3), ("a", "z", 2, 3)]
+    assert sorted((r.chunk_id or "", r.tf, r.norm2) for r in vectors.collect()) == [("", 1, 1), ("a", 2, 12), ("a", 2, 12), ("a", 2, 12)]
