@@ -1,5 +1,7 @@
 """Inputs whose sizes don't fit a query's lists, and steps whose tasks must stay small."""
 
+import unicodedata
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillstone.operators import dense_index, embedding, index
+from quillstone.functions import text as T
+from quillstone.llm import nn_descent
+from quillstone.operators import chunking, dense_index, embedding, index
 
 
 @pytest.mark.parametrize("rows", [25 + 8, 25 + 5, 25 + 3])
@@ -52,3 +56,29 @@ def test_words_are_not_shuffled(spark):
     assert plan(listed).count("Exchange") == 1 and plan(vectors).count("Exchange") == 1
     assert sorted(((r.chunk_id or "", r.term, r.tf, r.dl) for r in listed.collect())) == [("", "x", 1, 1), ("a", "x", 2, 3), ("a", "y", 2, 3), ("a", "z", 2, 3)]
     assert sorted((r.chunk_id or "", r.tf, r.norm2) for r in vectors.collect()) == [("", 1, 1), ("a", 2, 12), ("a", 2, 12), ("a", 2, 12)]
+
+
+def test_few_texts_are_python_objects_at_a_time():
+    """A batch of Spark's 10,000 rows is packed in parts, so what Python holds doesn't grow with the batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(["One. Two."] * 1000)], ["doc_id", "text"])
+    parts = list(chunking._packed(chunking.pack_paragraphs)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= chunking.PACK_ROWS and sum(p.num_rows for p in parts) == 1000
+
+
+def test_nfkc_of_long_columns(spark):
+    rows = [(i, None if i % 7 == 0 else "plain" if i % 3 else "ﬁ①é") for i in range(1500)] + [(1500, "")]
+    found = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", T.nfkc(F.col("t")).alias("n"))
+    assert "], 200" not in found._jdf.queryExecution().executedPlan().toString()  # 200: a UDF that makes Python objects of a whole batch
+    assert {r.i: r.n for r in found.collect()} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in rows}
+
+
+def test_search_frees_the_driver_after_each_step(spark, monkeypatch):
+    """Broadcasts, shuffles and generated classes of finished steps are not kept until the driver's heap is full."""
+    steps, freed, advanced = [], [], nn_descent._advanced
+    monkeypatch.setattr(nn_descent, "_advanced", lambda *a: steps.append(1) or advanced(*a))
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    index = nn_descent.build(rows)
+    monkeypatch.setattr(index.work, "release", lambda: freed.append(1))
+    assert nn_descent.search(index, rows.filter("vec_id % 50 = 0"), 5).count() == 30
+    assert len(freed) >= len(steps) - 1 > 0
