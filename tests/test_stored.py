@@ -57,6 +57,43 @@ def test_changes_touch_their_buckets_only(spark, tmp_path):
     assert {p.name for p in (tmp_path / "data").iterdir()} == kept
 
 
+def test_new_rows_are_put_beside_and_merged_by_levels(spark, tmp_path):
+    c = Collection(spark, tmp_path.as_uri(), ROW, buckets=4)
+    put = lambda pairs, at: c.add(c.stage(rows(spark, pairs), at)[0], at["version"])
+    written = []
+    for n in range(8):
+        put([(f"k{n}-{i}", i) for i in range(40)], c.snapshot())
+        written.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        c.merge(fan=100)
+    assert written[7] < 9 * written[0]  # eight batches of one size: no row was written twice
+    want = sorted((f"k{n}-{i}", i) for n in range(8) for i in range(40))
+    found = lambda: sorted(map(tuple, c.table().collect()))
+    assert found() == want and {len(p) for p in c.snapshot()["parts"].values()} == {8}
+    c.merge(fan=2)  # a merge takes all parts of a level
+    assert found() == want and {tuple(at for _, at in p) for p in c.snapshot()["parts"].values()} == {(1,)}
+    old = c.snapshot()
+    c.upsert(rows(spark, [("k0-0", 7)]))  # rewrites its bucket with its parts
+    put([("k0-0", 8), ("new", 1)], old)  # compared with a version that others have changed since: no key comes twice
+    want = sorted([w for w in want if w[0] != "k0-0"] + [("k0-0", 8), ("new", 1)])
+    assert found() == want and c.expire(1) and found() == want
+
+
+def test_ingesting_new_documents_rewrites_nothing(spark, tmp_path):
+    sink = Ingest(spark, tmp_path.as_uri(), buckets=2)
+    batch = lambda ids: spark.createDataFrame([(i, f"text of document {i} " * 40) for i in ids], "doc_id long, text string")
+    sink.batch(batch(range(20)), 0, "s")
+    kept = [{p: p.stat().st_mtime_ns for p in (tmp_path / c / "data").rglob("*.parquet")} for c in ("chunks", "vectors")]
+    rows_of = lambda c: set(c.table(0).inputFiles())
+    first = [rows_of(c) for c in (sink.chunks, sink.vectors)]
+    sink.batch(batch(range(20, 40)), 1, "s")
+    for c, files, times in zip((sink.chunks, sink.vectors), first, kept, strict=True):
+        assert files <= set(c.table().inputFiles()) and c.count() == 2 * len(c.table(0).collect())
+        assert all(p.stat().st_mtime_ns == t for p, t in times.items())
+    sink.batch(batch([5]).withColumn("text", F.lit("changed")), 2, "s")  # a known document: its chunks are replaced
+    assert [r.text for r in sink.chunks.table().filter("doc_id = 5").collect()] == ["changed"]
+    assert sink.vectors.table().filter("doc_id = 5").count() == 1 and sink.chunks.table().select("doc_id").distinct().count() == 40
+
+
 def test_replayed_batches_and_other_writers(spark, tmp_path):
     a, b = (Collection(spark, tmp_path.as_uri(), ROW, buckets=8) for _ in range(2))
     assert a.upsert(rows(spark, [("x", 1)]), ("s", 0)) and not b.upsert(rows(spark, [("x", 9)]), ("s", 0))
