@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -101,3 +102,28 @@ def test_query_takes_all_documents(spark):
         by.setdefault(r.doc_id, []).append((r.char_start, r.char_end))
     assert by.keys() == texts.keys() and all(not texts[d][: spans[0][0]].strip() and not texts[d][spans[-1][1] :].strip() for d, spans in by.items())
     assert all(not texts[d][b:c].strip() for d, spans in by.items() for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_counts_are_those_of_all_tokens_and_few_rows(spark, monkeypatch):
+    texts = ["Dr. Who said (3.5) \"Stop!\" then 7. The end.", "", None, "- ... \"quoted.\" Next\tone two? Ünï X. x", "a b " * 50, "1. 2, A-1. Ça va. ½ Ⅷ. É"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    words, nexts, ends = Counter(), Counter(), Counter()
+    for t in texts:
+        kept = []
+        for raw in re.split(r"[ \t\n\x0b\f\r]+", t or ""):
+            token = re.sub(r"""^["'“‘(\[]+|["'”’)\],;:]+\Z""", "", raw)
+            if any(unicodedata.category(c)[0] in "LN" for c in token):
+                bare = re.sub(r"[.!?]+\Z", "", token).lower()
+                number = all(c in ".,-" or unicodedata.category(c)[0] == "N" for c in bare)
+                kept.append(("##number##" if number else bare, token.endswith("."), token[-1] in "!?", unicodedata.category(token[0]) == "Lu"))
+        words.update((w, p) for w, p, _, _ in kept)
+        nexts.update(w for w, *_ in kept[1:])
+        ends.update((a[0], a[1], a[2], b[0], b[3]) for a, b in zip(kept, kept[1:], strict=False) if a[1] or a[2])
+    for size in (8_000_000, 40):
+        monkeypatch.setattr(boundaries, "BYTES", size)
+        rows = boundaries.counted(docs).collect()
+        assert {(r.word, r.period): r.n for r in rows if r.kind == boundaries.WORD} == words
+        assert {r.next: r.n for r in rows if r.kind == boundaries.NEXT} == nexts
+        assert {(r.word, r.period, r.stop, r.next, r.capital): r.n for r in rows if r.kind == boundaries.END} == ends
+        # plain tokens are not counted as pairs, of which there are as many as tokens
+        assert len(rows) == len(words) + len(nexts) + len(ends)
