@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -26,13 +26,32 @@ def expand(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     are merged in order: what a span repeats is cut off, a gap is shown, a contained span adds nothing. A hit without place or with unusable
     offsets keeps its own text.
     """
-    near = chunks.select("doc_id", F.col("chunk_index").alias("place"), F.struct(F.col("char_start").alias("a"), F.col("char_end").alias("b"), F.col("text").alias("t"), F.col("chunk_index").alias("i")).alias("s"))
+    near = chunks.select("doc_id", F.col("chunk_index").alias("place"), _span().alias("s"))
     asked = hits.select("key", "doc_id", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("place"))
-    own = F.struct(F.col("char_start").alias("a"), F.col("char_end").alias("b"), F.col("text").alias("t"), F.col("chunk_index").alias("i"))
     found = asked.join(near, ["doc_id", "place"]).groupBy("key").agg(F.collect_list("s").alias("met"))
-    rows = hits.join(found, "key", "left").withColumn("own", own)
-    met = F.coalesce("met", F.array("own"))
-    met = F.when(F.exists(met, lambda s: s["i"] == F.col("chunk_index")), met).otherwise(F.concat(met, F.array("own")))
+    return _merged(hits.join(found, "key", "left"))
+
+
+def expand_all(chunks: DataFrame, window: int = 1) -> DataFrame:
+    """`expand` of all chunks (key, doc_id, chunk_index, char_start, char_end, text), each being a hit and a neighbour of others.
+
+    A document's chunks pass in order, each with those around it, so a text is shuffled once at most, and not at all where the chunks are dealt by
+    document already, as `chunking` leaves them. Beyond that no copy of a text is stored.
+    """
+    around = Window.partitionBy("doc_id").orderBy("chunk_index").rangeBetween(-window, window)
+    placed = F.when(F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull(), _span())  # nothing is beside a chunk without place
+    return _merged(chunks.withColumn("met", F.collect_list(placed).over(around)))
+
+
+def _span() -> Column:
+    return F.struct(F.col("char_start").alias("a"), F.col("char_end").alias("b"), F.col("text").alias("t"), F.col("chunk_index").alias("i"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Hits with met, the spans around them and their own (null: none), as one span each."""
+    own = F.array(_span())
+    met = F.coalesce("met", own)
+    met = F.when(F.exists(met, lambda s: s["i"] == F.col("chunk_index")), met).otherwise(F.concat(met, own))
     rows = rows.withColumn("spans", F.array_sort(met))
     usable = F.col("chunk_index").isNotNull() & F.coalesce(F.forall("spans", lambda s: s["b"] > s["a"]), F.lit(False))
     first = F.get("spans", F.lit(0))
@@ -44,7 +63,7 @@ def expand(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
         return F.struct(joined.alias("text"), F.greatest(acc["end"], s["b"].cast("int")).alias("end"))
 
     merged = F.aggregate(F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))), begin, step)
-    out = rows.withColumn("merged", F.when(usable, merged)).drop("own", "met")
+    out = rows.withColumn("merged", F.when(usable, merged)).drop("met")
     return out.select(
         "key",
         F.coalesce("merged.text", "text").alias("merged_text"),

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillstone.functions import text as T
+from quillstone.functions import workspace
 from quillstone.llm import nn_descent
-from quillstone.operators import chunking, dense_index, embedding, index
+from quillstone.operators import chunking, context, dense_index, embedding, index
 
 
 @pytest.mark.parametrize("rows", [25 + 8, 25 + 5, 25 + 3])
@@ -82,3 +83,23 @@ def test_search_frees_the_driver_after_each_step(spark, monkeypatch):
     monkeypatch.setattr(index.work, "release", lambda: freed.append(1))
     assert nn_descent.search(index, rows.filter("vec_id % 50 = 0"), 5).count() == 30
     assert len(freed) >= len(steps) - 1 > 0
+
+
+def test_expanding_all_chunks_shuffles_texts_once(spark):
+    """The texts move to number the chunks, and not again to meet their neighbours; no span differs from what the join of hits gives."""
+    docs = spark.createDataFrame([(i, "abcdefghij" * (40 * i)) for i in range(1, 9)] + [(90, None), (91, ""), (92, " ")], "doc_id bigint, text string")
+    rows = chunking.chunks(docs).withColumn("key", F.col("chunk_id"))
+    assert context.expand_all(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rng = np.random.default_rng(5)
+    odd = [(i % 7 or None, f"o{i}", int(rng.integers(0, 12)) if i % 5 else None, a := int(rng.integers(0, 90)), a + int(rng.integers(-1, 12)), f"text {i}") for i in range(80)]
+    odd = spark.createDataFrame(odd, "doc_id bigint, chunk_id string, chunk_index int, char_start int, char_end int, text string").withColumn("key", F.col("chunk_id"))
+    for chunks in (rows, odd):
+        for window in (0, 1, 3):
+            assert sorted(map(repr, context.expand_all(chunks, window).collect())) == sorted(map(repr, context.expand(chunks, chunks, window).collect()))
+
+
+def test_expand_fixture_stores_no_table(spark, tmp_path, monkeypatch):
+    pq.write_table(pa.table({"doc_id": pa.array(range(6), pa.int64()), "text": [f"{i} word" * 300 for i in range(6)]}), tmp_path / "documents.parquet")
+    monkeypatch.setattr(workspace, "new_folder", lambda *a: pytest.fail("a table is written"))
+    plan = entry.queries()["g01_expand_fixture"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # one of the chunks, one of the odd spans
