@@ -127,3 +127,30 @@ def test_counts_are_those_of_all_tokens_and_few_rows(spark, monkeypatch):
         assert {(r.word, r.period, r.stop, r.next, r.capital): r.n for r in rows if r.kind == boundaries.END} == ends
         # plain tokens are not counted as pairs, of which there are as many as tokens
         assert len(rows) == len(words) + len(nexts) + len(ends)
+
+
+def test_a_model_beyond_memory_keeps_all_its_words(spark, model):
+    from quillstone.operators import chunking
+
+    train = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(corpus(random.Random(1), 300))], "doc_id int, text string")
+    sizes = [len(model.abbreviations), len(model.collocations), len(model.starters)]
+    assert boundaries.learn(train, most=max(sizes)) == model and min(sizes[0], sizes[2]) > 1
+    tables = boundaries.learn(train, most=1)
+    words = lambda rows: sorted(map(tuple, rows.collect()))
+    assert words(tables.abbreviations) == sorted((w,) for w in model.abbreviations) and words(tables.starters) == sorted((w,) for w in model.starters) and words(tables.collocations) == sorted(model.collocations)
+    held = [" ".join(s) for s in corpus(random.Random(4), 30)]
+    docs = spark.createDataFrame([*enumerate(held), (3, held[3]), (3, held[4]), (None, held[5]), (91, None), (92, ""), (93, " no end")], "doc_id int, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(boundaries.sentences(docs, tables)) == rows(boundaries.sentences(docs, model))
+    assert rows(chunking.sentence_spans(docs, 90, 1, tables)) == rows(chunking.sentence_spans(docs, 90, 1, model))
+
+
+def test_tables_answer_all_that_a_model_does(spark):
+    m = boundaries.Model(frozenset({"dr", "e.g", "etc"}), frozenset({("etc", "the"), ("##number##", "then"), ("x", "then")}), frozenset({"the", "then"}))
+    of = lambda words, names: spark.createDataFrame([w if isinstance(w, tuple) else (w,) for w in words], names)
+    tables = boundaries.Tables(of(m.abbreviations, "word string"), of(m.collocations, "word string, next string"), of(m.starters, "next string"))
+    tokens = ["Dr.", "etc.", "(e.g.", "5.", "X.", "Q.", "end.", 'so."', "what?", "plain", "The", "the", "Then", "then", "Smith", '"The']
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(tokens, k=40))) for i in range(40)], "doc_id bigint, text string")
+    rows = lambda model: sorted(map(repr, boundaries.sentences(docs, model).collect()))
+    assert rows(tables) == rows(m) != rows(boundaries.Model(m.abbreviations, frozenset(), m.starters))
